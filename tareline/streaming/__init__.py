@@ -1,0 +1,6 @@
+"""No streaming jobs.
+
+Every source of this work is a yearly batch extract, so there is no windowed
+or stateful operator to offer.  The row-wise functions in
+``tareline.functions`` are ordinary columns and work on streaming DataFrames.
+"""
