@@ -31,10 +31,10 @@ def range_summary(
     )
 
 
-def relative_to_minimum(df: DataFrame, keys: Sequence[str], factor: str) -> DataFrame:
+def relative_to_minimum(df: DataFrame, keys: Sequence[str], factor: str, null_safe: bool = True) -> DataFrame:
     """Each factor against the smallest of its group, with the group's range."""
     spread = attach_group_stats(
-        df, keys,
+        df, keys, null_safe,
         min_in_group=F.min(factor), max_in_group=F.max(factor),
         range_in_group=F.max(factor) - F.min(factor),
     )

@@ -16,10 +16,14 @@ from tareline.operators.joins import join_on, semi_keys
 from tareline.session import materialise
 
 
-def max_rows_per_group(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Rows holding the largest value of their group, ties kept."""
+def max_rows_per_group(df: DataFrame, keys: Sequence[str], value: str, null_safe: bool = True) -> DataFrame:
+    """Rows holding the largest value of their group, ties kept.
+
+    Reads ``df`` twice; store it first if it is costly to compute.  Without
+    missing keys ``null_safe=False`` saves a shuffle.
+    """
     best = df.groupBy(*keys).agg(F.max(value).alias(value))
-    return semi_keys(df, best.where(F.col(value).isNotNull()), [*keys, value], null_safe=True)
+    return semi_keys(df, best.where(F.col(value).isNotNull()), [*keys, value], null_safe)
 
 
 def rows_at_maximum(df: DataFrame, value: str) -> DataFrame:
@@ -124,6 +128,7 @@ def prefer_source(df: DataFrame, keys: Sequence[str], source: Column | str, pref
     A row stays if it is the only one of its key or its source is preferred.  A
     key with several rows and no preferred source disappears.  Lone rows are
     found by an aggregate that carries the row along, so no join is needed.
+    Reads ``df`` twice; store it first if it is costly to compute.
     """
     authoritative = F.coalesce(col(source).isin(list(preferred)), F.lit(False))
     lone = only_unambiguous(df, keys).where(~authoritative)
@@ -146,7 +151,7 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
             .select("__row.*"))
 
 
-def groups_with(df: DataFrame, keys: Sequence[str], flag: Column) -> DataFrame:
+def groups_with(df: DataFrame, keys: Sequence[str], flag: Column, null_safe: bool = True) -> DataFrame:
     """All rows of the groups in which ``flag`` holds at least once."""
     hits = df.where(flag).select(*keys).distinct()
-    return semi_keys(df, hits, keys, null_safe=True)
+    return semi_keys(df, hits, keys, null_safe)

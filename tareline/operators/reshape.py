@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tareline.functions.flags import flag_letters, flagged_value
 from tareline.operators.joins import join_on
+from tareline.session import materialise
 
 YEAR_COLUMN = r"^[12]\d{3}$"
 
@@ -103,7 +104,9 @@ def complete_grid(
     (checked by reading at most ``literal_limit + 1`` values) is expanded next
     to each ``a`` without a shuffle.  A longer list is copied once per salt and
     meets the ``a`` values of that salt, so the work is spread over the salts.
+    ``df`` is read three times and therefore stored first.
     """
+    df = materialise(df, "grid")
     left, right = df.select(a).distinct(), df.select(b).distinct()
     short = [r[0] for r in right.limit(literal_limit + 1).collect()]
     if len(short) <= literal_limit:

@@ -24,6 +24,7 @@ from tareline.operators.joins import apply_factor, join_on, match_factor, semi_k
 from tareline.operators.lookup import mark_non_members
 from tareline.operators.ranking import groups_with, max_rows_per_group, row_index
 from tareline.operators.reshape import densify_years, lift_category, unpivot_measures
+from tareline.session import materialise
 
 PRODUCT = ["scientific_name", "presentation"]
 ON_PRODUCT = {"scientific_name": "scientific_name", "presentation": "landings_code"}
@@ -67,6 +68,7 @@ def catch_national_vs_wide(landings: DataFrame, factors: DataFrame, span: tuple[
     rows.  Missing years of a pair are zero.
     """
     own = consolidate_factors(factors, ["scientific_name", "landings_code", "iso3c"], digits=digits)
+    own = materialise(own, "factors")
     wide = (own.where(F.col("iso3c") == vocab.WIDE_CODE)
             .select("scientific_name", "landings_code", F.col("conversion_factor").alias("EU_wide_CF")))
     both = join_on(own.withColumnRenamed("conversion_factor", "national_CF"), wide,
@@ -74,7 +76,10 @@ def catch_national_vs_wide(landings: DataFrame, factors: DataFrame, span: tuple[
     panel = annual_panel(landings, [*PRODUCT, "iso3c"])
     matched = join_on(panel, both, {**ON_PRODUCT, "iso3c": "iso3c"}, "inner")
     caught = apply_factor(matched, "landings", {"national_catch": "national_CF", "EU_catch": "EU_wide_CF"})
-    yearly = densify_years(caught, ["iso3c", "scientific_name"], ["national_catch", "EU_catch"], span=span)
+    pair = ["iso3c", "scientific_name"]
+    totals = caught.groupBy(*pair, "year").agg(F.sum("national_catch").alias("national_catch"),
+                                               F.sum("EU_catch").alias("EU_catch"))
+    yearly = densify_years(materialise(totals, "totals"), pair, ["national_catch", "EU_catch"], span=span)
     return yearly.withColumn("difference", F.col("national_catch") - F.col("EU_catch"))
 
 
@@ -99,7 +104,7 @@ def case_study_catch(landings: DataFrame, factors: DataFrame, cases: DataFrame,
     columns = [*PRODUCT, "iso3c", *ports, "year"]
     rows = (wanted.select(*columns, "value").distinct() if grain == "row"
             else annual_panel(wanted, columns[:-1], out="value"))
-    peak = max_rows_per_group(rows, [*PRODUCT, "iso3c"], "value")
+    peak = max_rows_per_group(materialise(rows, "rows"), [*PRODUCT, "iso3c"], "value", null_safe=False)
 
     national = factors.where(F.col("iso3c") != vocab.WIDE_CODE)
     by_country = {**ON_PRODUCT, "iso3c": "iso3c"}
@@ -114,7 +119,8 @@ def case_study_catch(landings: DataFrame, factors: DataFrame, cases: DataFrame,
         products["catch_by_port_CF"] = "port_CF"
     caught = apply_factor(matched, "value", products)
     differs = if_known(F.col("catch_by_vessel_CF") != F.col("catch_by_EU_CF"), True, False)
-    return groups_with(caught, [*PRODUCT, "year"], differs).distinct()
+    caught = materialise(caught.distinct(), "caught")
+    return groups_with(caught, [*PRODUCT, "year"], differs, null_safe=False)
 
 
 def case_study_long(case_study: DataFrame, members: DataFrame) -> DataFrame:

@@ -15,8 +15,7 @@ PRODUCT = ["scientific_name", "presentation"]
 
 
 def _as_products(factors: DataFrame) -> DataFrame:
-    return factors.withColumnRenamed("landings_code", "presentation_code").drop("presentation").withColumnRenamed(
-        "presentation_code", "presentation")
+    return factors.select("scientific_name", F.col("landings_code").alias("presentation"), "iso3c")
 
 
 def coverage_grid(landings: DataFrame, factors: DataFrame) -> DataFrame:

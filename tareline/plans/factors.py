@@ -37,6 +37,7 @@ from tareline.operators.lookup import (
 from tareline.operators.ranking import only_unambiguous, prefer_source, top_k
 from tareline.operators.reshape import explode_list
 from tareline.operators.sets import union_sources
+from tareline.session import materialise
 
 PRODUCT = ["scientific_name", "landings_code"]
 CODED = ["country", "scientific_name", "state", "presentation", "conversion_factor", "note", "reference"]
@@ -117,6 +118,7 @@ def compile_factors(
         "implementation": F.when(F.col("iso3c") == vocab.WIDE_CODE, vocab.WIDE_CF).otherwise(vocab.NATIONAL_CF),
     }).select("scientific_name", "state", "presentation", "landings_code", "conversion_factor", "country",
               "iso3c", "iso2c", "continent_affiliation", "implementation", "note", "reference")
+    full = materialise(full, "compiled")
     return prefer_source(full, [*PRODUCT, "iso3c"], "reference", vocab.PREFERRED_SOURCES)
 
 
@@ -161,7 +163,8 @@ def case_products(ranges: DataFrame, k: int | None = 20) -> DataFrame:
 
 def relative_factors(factors: DataFrame, cases: DataFrame) -> DataFrame:
     """Factors of the case products against the smallest of the product."""
-    return relative_to_minimum(semi_keys(factors, cases, PRODUCT), PRODUCT, "conversion_factor")
+    kept = materialise(semi_keys(factors, cases, PRODUCT), "cases")
+    return relative_to_minimum(kept, PRODUCT, "conversion_factor", null_safe=False)
 
 
 def relative_by_presentation(factors: DataFrame, cases: DataFrame) -> DataFrame:

@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from tareline.session import new_scratch_path
 
 
-def wide_cells(df: DataFrame, keys: list[str], value: str, descending: bool = False) -> DataFrame:
-    """One text column per year: a number, a number with a flag, or ``:``.
+def calendar(line: DataFrame) -> list[int]:
+    """Years of the table; the only thing read on the driver."""
+    return sorted(r[0] for r in line.select(F.year("l_shipdate")).distinct().collect())
 
-    The calendar is the only thing read on the driver.
-    """
-    years = sorted((r[0] for r in df.select("year").distinct().collect()), reverse=descending)
+
+def wide_cells(df: DataFrame, keys: list[str], value: str, years: list[int]) -> DataFrame:
+    """One text column per year: a number, a number with a flag, or ``:``."""
 
     def cell(year: int) -> Column:
         total = F.sum(F.when(F.col("year") == year, F.col(value)))

@@ -9,9 +9,10 @@ from tareline.operators import aggregate
 from tareline.plans import catch, coverage, factors as factor_jobs, trade
 from tareline.plans.landings import clean_catch, clean_landings
 from tareline.registry.base import query, sql
-from tareline.registry.fixtures import SQL_CELLS, wide_cells, write_wide
+from tareline.registry.fixtures import SQL_CELLS, calendar, wide_cells, write_wide
 from tareline.registry.operator_queries import CODE, PRODUCT, consolidated, rounded
 from tareline.registry.views import factors, landings, members, nation_code, table
+from tareline.session import materialise
 
 
 # Factors
@@ -301,9 +302,10 @@ def synonyms_of_taxa(spark: SparkSession, sf: str) -> DataFrame:
 def wide_files(spark: SparkSession, sf: str, keys: list[str], header: str, name: str) -> list[str]:
     """Two files whose year columns run in opposite order."""
     rows = landings(spark, sf).withColumns({"dest_use": F.lit("TOTAL"), "geo": F.col("iso3c")})
-    halves = [(rows.where("unit = 'F'"), False), (rows.where("unit = 'O'"), True)]
-    return [write_wide(wide_cells(df, keys, "value", descending), keys, header, f"{name}-{i}")
-            for i, (df, descending) in enumerate(halves)]
+    years = calendar(table(spark, sf, "lineitem"))
+    halves = [(rows.where("unit = 'F'"), years), (rows.where("unit = 'O'"), years[::-1])]
+    return [write_wide(wide_cells(df, keys, "value", order), keys, header, f"{name}-{i}")
+            for i, (df, order) in enumerate(halves)]
 
 
 @query("clean_landings", sql("lv", f"""
@@ -493,18 +495,28 @@ def against_catch(spark: SparkSession, sf: str) -> DataFrame:
 # Coverage
 
 SQL_HELD = """
-    held AS (SELECT scientific_name, landings_code AS presentation, iso3c FROM fv WHERE reference = 'red'),
-    landed AS (SELECT DISTINCT scientific_name, presentation, iso3c FROM lv WHERE value > 49),
+    held AS (SELECT p_brand AS scientific_name, p_type || ' ' || split_part(p_name, ' ', 2) AS presentation,
+                    CASE WHEN p_size % 25 = 0 THEN 'EU' ELSE 'N' || CAST(p_size % 25 AS VARCHAR) END AS iso3c
+             FROM part WHERE split_part(p_name, ' ', 1) IN ('red', 'blue', 'old')),
+    landed_rows AS (SELECT p_brand AS scientific_name, p_type || ' ' || split_part(p_name, ' ', 2) AS presentation,
+                           'N' || CAST(s_nationkey AS VARCHAR) AS iso3c, l_quantity AS value
+                    FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey),
+    landed AS (SELECT DISTINCT scientific_name, presentation, iso3c FROM landed_rows),
     grid AS (SELECT * FROM (SELECT DISTINCT scientific_name FROM landed) CROSS JOIN (SELECT DISTINCT presentation FROM landed))"""
 
 
 def held_and_landed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Sparse sides: large rows as landings, one source of factors."""
-    held = factors(spark, sf).where("reference = 'red'").withColumn("presentation", F.lit(None).cast("string"))
-    return landings(spark, sf).where("value > 49"), held
+    """Finer presentations, so that some are never landed, and factors of three sources.
 
+    Landings are summed per product and vessel country and stored: the grid and
+    the ranking of taxa both start from this table.
+    """
+    rows = landings(spark, sf, fine=True).groupBy(*PRODUCT, "iso3c").agg(F.sum("value").alias("value"))
+    held = factors(spark, sf, fine=True).where(F.col("reference").isin("red", "blue", "old"))
+    return materialise(rows, "landed"), held
 
-@query("coverage_grid", sql("lv fv", """
+
+@query("coverage_grid", sql("", """
     SELECT scientific_name, presentation, n_countries_landing,
            CASE WHEN n_countries_landing IS NOT NULL THEN coalesce(n_held, 0) END AS n_CF, n_CF_with_landings,
            n_CF_with_landings / n_countries_landing AS proportion_have_CF
@@ -530,19 +542,19 @@ SQL_STATUS = SQL_HELD + """,
              USING (scientific_name, presentation))"""
 
 
-@query("availability_grid", sql("lv fv", "SELECT * FROM status", SQL_STATUS))
+@query("availability_grid", sql("", "SELECT * FROM status", SQL_STATUS))
 def availability(spark: SparkSession, sf: str) -> DataFrame:
     return coverage.availability_grid(*held_and_landed(spark, sf))
 
 
-@query("availability_counts", sql("lv fv", """
+@query("availability_counts", sql("", """
     SELECT count(*) FILTER (any_CF = 'not landed') AS not_landed, count(*) FILTER (any_CF = 'no') AS landed_no_factor,
            count(*) FILTER (any_CF = 'yes') AS landed_with_factor, count(*) AS cells FROM status""", SQL_STATUS))
 def availability_totals(spark: SparkSession, sf: str) -> DataFrame:
     return coverage.availability_counts(coverage.availability_grid(*held_and_landed(spark, sf)))
 
 
-@query("missing_factors", sql("lv fv", """
+@query("missing_factors", sql("", """
     SELECT DISTINCT scientific_name, presentation FROM landed
     WHERE (scientific_name, presentation) NOT IN (SELECT (scientific_name, presentation) FROM held)""", SQL_HELD))
 def without_factor(spark: SparkSession, sf: str) -> DataFrame:
@@ -559,12 +571,12 @@ def leading_taxa(spark: SparkSession, sf: str) -> DataFrame:
     return coverage.top_taxa(landings(spark, sf), 10)
 
 
-@query("grid_of_top_taxa", sql("lv fv", """
+@query("grid_of_top_taxa", sql("", """
     SELECT * FROM status WHERE scientific_name IN (
-        SELECT scientific_name FROM lv GROUP BY 1 ORDER BY sum(value) DESC, scientific_name LIMIT 10)""", SQL_STATUS))
+        SELECT scientific_name FROM landed_rows GROUP BY 1 ORDER BY sum(value) DESC, scientific_name LIMIT 10)""", SQL_STATUS))
 def top_grid(spark: SparkSession, sf: str) -> DataFrame:
-    grid = coverage.availability_grid(*held_and_landed(spark, sf))
-    return coverage.grid_of_top_taxa(grid, landings(spark, sf), 10)
+    landed, held = held_and_landed(spark, sf)
+    return coverage.grid_of_top_taxa(coverage.availability_grid(landed, held), landed, 10)
 
 
 # Trade

@@ -19,7 +19,7 @@ from tareline.functions.text import (
 )
 from tareline.operators import aggregate, checks, filters, joins, lookup, ranking, reshape, sets
 from tareline.registry.base import query, sql
-from tareline.registry.fixtures import SQL_CELLS, wide_cells, write_wide
+from tareline.registry.fixtures import SQL_CELLS, calendar, wide_cells, write_wide
 from tareline.registry.views import factors, landings, members, nation_code, table
 from tareline.session import new_scratch_path
 from tareline.sources.tables import curation_worklist, read_csv_table, write_safe_csv
@@ -52,7 +52,7 @@ WIDE_KEYS = ["scientific_name", "presentation", "unit", "iso3c"]
     "lv", "SELECT scientific_name AS species, presentation AS pres, unit, iso3c AS geo, year, value, flag FROM cells",
     SQL_CELLS.format(keys=", ".join(WIDE_KEYS), source="lv")))
 def read_wide(spark: SparkSession, sf: str) -> DataFrame:
-    wide = wide_cells(landings(spark, sf), WIDE_KEYS, "value")
+    wide = wide_cells(landings(spark, sf), WIDE_KEYS, "value", calendar(table(spark, sf, "lineitem")))
     path = write_wide(wide, WIDE_KEYS, "species,pres,unit,geo\\time", "wide")
     frames = [reshape.unpivot_years(f) for f in read_wide_flagged(spark, path, source_file=None)]
     return sets.union_sources(*frames)
@@ -318,7 +318,8 @@ def pattern_shares(spark: SparkSession, sf: str) -> DataFrame:
     "lv", "SELECT scientific_name, iso3c, year, value, flag FROM cells",
     SQL_CELLS.format(keys="scientific_name, iso3c", source="lv")))
 def unpivoted_years(spark: SparkSession, sf: str) -> DataFrame:
-    return reshape.unpivot_years(wide_cells(landings(spark, sf), ["scientific_name", "iso3c"], "value"))
+    years = calendar(table(spark, sf, "lineitem"))
+    return reshape.unpivot_years(wide_cells(landings(spark, sf), ["scientific_name", "iso3c"], "value", years))
 
 
 @query("unpivot_measures", sql("lv cv", """

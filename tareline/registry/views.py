@@ -21,7 +21,13 @@ def nation_code(c: Column | str) -> Column:
     return F.concat(F.lit("N"), F.col(c).cast("string") if isinstance(c, str) else c.cast("string"))
 
 
-def landings(spark: SparkSession, sf: str, port: bool = False) -> DataFrame:
+def form(fine: bool) -> Column:
+    """Presentation of a part: its type, or type and noun of its name."""
+    noun = F.split_part("p_name", F.lit(" "), F.lit(2))
+    return F.concat_ws(" ", "p_type", noun) if fine else F.col("p_type")
+
+
+def landings(spark: SparkSession, sf: str, port: bool = False, fine: bool = False) -> DataFrame:
     """Lineitems as landed quantities; ``port`` adds the customer's nation."""
     line = table(spark, sf, "lineitem")
     part = table(spark, sf, "part")
@@ -36,7 +42,7 @@ def landings(spark: SparkSession, sf: str, port: bool = False) -> DataFrame:
         ports = [nation_code("c_nationkey").alias("port_iso3c")]
     return rows.select(
         F.col("p_brand").alias("scientific_name"),
-        F.col("p_type").alias("presentation"),
+        form(fine).alias("presentation"),
         nation_code("s_nationkey").alias("iso3c"),
         *ports,
         F.year("l_shipdate").alias("year"),
@@ -47,7 +53,7 @@ def landings(spark: SparkSession, sf: str, port: bool = False) -> DataFrame:
     )
 
 
-def factors(spark: SparkSession, sf: str) -> DataFrame:
+def factors(spark: SparkSession, sf: str, fine: bool = False) -> DataFrame:
     """Parts as conversion factors; nation 0 stands for the bloc."""
     part = table(spark, sf, "part")
     nation = table(spark, sf, "nation").join(
@@ -57,7 +63,7 @@ def factors(spark: SparkSession, sf: str) -> DataFrame:
     return part.join(nation, key == F.col("n_nationkey"), "left").select(
         F.col("p_partkey"),
         F.col("p_brand").alias("scientific_name"),
-        F.col("p_type").alias("landings_code"),
+        form(fine).alias("landings_code"),
         F.when(wide, vocab.WIDE_CODE).otherwise(nation_code(key)).alias("iso3c"),
         F.round(1 + (F.col("p_retailprice") - 900) / 100, 3).alias("conversion_factor"),
         F.when(wide, vocab.WIDE_CF).otherwise(vocab.NATIONAL_CF).alias("implementation"),
