@@ -54,7 +54,7 @@ def running_total(
        shuffle partitions, so the window over chunk totals is small.
     3. Join the total of earlier chunks back and run the window inside chunks.
 
-    ``order`` must be unique inside a group.
+    ``order`` must be unique inside a group.  Missing values count as zero.
     """
     keys = list(keys)
     ranged = df.repartitionByRange(*[F.col(k).asc() for k in keys], *order)
@@ -67,13 +67,13 @@ def running_total(
         *keys,
         "__chunk",
         F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__before"),
-        F.sum("__sum").over(group).alias(total),
+        F.coalesce(F.sum("__sum").over(group), F.lit(0)).alias(total),
     )
     within = (Window.partitionBy(*keys, "__chunk").orderBy(*order)
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return (
         join_on(stored, offsets, [*keys, "__chunk"], "inner", null_safe=True)
-        .withColumn(out, F.col("__before") + F.sum(value).over(within))
+        .withColumn(out, F.col("__before") + F.coalesce(F.sum(value).over(within), F.lit(0)))
         .drop("__chunk", "__before")
     )
 
@@ -86,8 +86,8 @@ def row_index(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out:
 
 def cumulative_share(df: DataFrame, key: str, value: str) -> DataFrame:
     """Total per key, running total in descending order and its share of all."""
-    totals = df.groupBy(key).agg(F.sum(value).alias("total"))
-    order = [F.col("total").desc_nulls_last(), F.col(key).asc_nulls_last()]
+    totals = df.groupBy(key).agg(F.coalesce(F.sum(value), F.lit(0)).alias("total"))
+    order = [F.col("total").desc(), F.col(key).asc_nulls_last()]
     running = running_total(totals, order, "total", out="cumulative_sum", total="__all")
     return running.withColumn("proportion", F.col("cumulative_sum") / F.col("__all")).drop("__all")
 
