@@ -28,23 +28,24 @@ def form(fine: bool) -> Column:
 
 
 def landings(spark: SparkSession, sf: str, port: bool = False, fine: bool = False) -> DataFrame:
-    """Lineitems as landed quantities; ``port`` adds the customer's nation."""
+    """Lineitems as landed quantities; ``port`` adds the customer's nation.
+
+    Codes and labels are built on the small sides, once per part or vessel.
+    """
     line = table(spark, sf, "lineitem")
-    part = table(spark, sf, "part")
-    supplier = table(spark, sf, "supplier")
-    rows = line.join(part, line.l_partkey == part.p_partkey).join(supplier, line.l_suppkey == supplier.s_suppkey)
-    ports = []
+    part = table(spark, sf, "part").select(
+        "p_partkey", F.col("p_brand").alias("scientific_name"), form(fine).alias("presentation"))
+    supplier = table(spark, sf, "supplier").select("s_suppkey", nation_code("s_nationkey").alias("iso3c"))
+    rows = line.join(part, F.expr("l_partkey = p_partkey")).join(supplier, F.expr("l_suppkey = s_suppkey"))
     if port:
-        orders = table(spark, sf, "orders")
-        customer = table(spark, sf, "customer")
-        rows = rows.join(orders, line.l_orderkey == orders.o_orderkey).join(
-            customer, orders.o_custkey == customer.c_custkey)
-        ports = [nation_code("c_nationkey").alias("port_iso3c")]
+        orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+        customer = table(spark, sf, "customer").select("c_custkey", nation_code("c_nationkey").alias("port_iso3c"))
+        rows = rows.join(orders, F.expr("l_orderkey = o_orderkey")).join(customer, F.expr("o_custkey = c_custkey"))
     return rows.select(
-        F.col("p_brand").alias("scientific_name"),
-        form(fine).alias("presentation"),
-        nation_code("s_nationkey").alias("iso3c"),
-        *ports,
+        "scientific_name",
+        "presentation",
+        "iso3c",
+        *(["port_iso3c"] if port else []),
         F.year("l_shipdate").alias("year"),
         F.col("l_returnflag").alias("use"),
         F.col("l_linestatus").alias("unit"),

@@ -67,11 +67,14 @@ def test_last_rule_wins_and_may_reset(spark):
 
 
 def test_flagged_cells(spark):
-    cells = ["12.5 e", ": c", "3 ", "0 n", "7 bp", ":", "1d", "NaN", "", None, "1e3", "4 e p", "-2.", ".5 z"]
+    cells = ["12.5 e", ": c", "3 ", "0 n", "7 bp", ":", "1d", "NaN", "", None, "1e3", "4 e p", "-2.", ".5 z",
+             "1 e5", "2 x.5", "3 4"]
     assert apply(spark, cells, flagged_value("x")) == [
-        12.5, None, 3.0, 0.0, 7.0, None, None, None, None, None, 1000.0, 4.0, -2.0, 0.5]
+        12.5, None, 3.0, 0.0, 7.0, None, None, None, None, None, 1000.0, 4.0, -2.0, 0.5,
+        15.0, 2.5, None]
     assert apply(spark, cells, flag_letters("x")) == [
-        "e", "c", None, "n", "bp", None, None, None, None, None, None, "ep", None, "z"]
+        "e", "c", None, "n", "bp", None, None, None, None, None, None, "ep", None, "z",
+        "e", "x", None]
 
 
 def test_text_that_is_no_number_is_missing(spark):

@@ -1,5 +1,6 @@
 import pytest
 from compare import connect, differences
+from helpers import plan_of
 
 import __spark_entry__ as entry_point
 
@@ -11,10 +12,20 @@ def con():
     return connect(SF)
 
 
+def plan_faults(df):
+    """Joins without keys, Python workers, and windows over whole groups."""
+    plan = plan_of(df)
+    banned = ["CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "InPandas", "Scan ExistingRDD"]
+    faults = [b for b in banned if b in plan]
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    return faults + [line for line in windows if "__chunk" not in line]
+
+
 @pytest.mark.parametrize("name", sorted(entry_point.queries()))
 def test_query_agrees_with_sql(spark, con, name):
     df = entry_point.queries()[name](spark, SF)
     assert differences(df, con, entry_point.oracle_sql()[name]) == []
+    assert plan_faults(df) == []
 
 
 def test_entry(spark):
