@@ -123,7 +123,12 @@ def distinct_counts(df: DataFrame, columns: Sequence[str], approximate: bool = F
 
 
 def share_by_pattern(df: DataFrame, text: str, value: str, patterns: Sequence[str]) -> DataFrame:
-    """Share of the total held by rows matching each pattern, in one scan."""
+    """Share of the total held by rows matching each pattern, in one scan.
+
+    Quantities are summed per text first, so patterns are tried once per
+    different text and not once per row.
+    """
+    df = df.groupBy(text).agg(F.sum(value).alias(value))
     total = F.sum(value).alias("total")
     parts = [F.sum(F.when(F.col(text).rlike(p), F.col(value)).otherwise(F.lit(0))).alias(f"p{i}")
              for i, p in enumerate(patterns)]

@@ -40,7 +40,7 @@ def clean_filter(
 
 def drop_exception(df: DataFrame, condition: Column) -> DataFrame:
     """Drop rows meeting ``condition``; rows where it is unknown go too."""
-    return df.where(F.coalesce(~condition, F.lit(False)))
+    return df.where(~condition)
 
 
 def member_filter(df: DataFrame, column: str, members: Iterable | DataFrame, member: bool = True) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tareline.functions.nulls import col
+from tareline.functions.nulls import is_in
 from tareline.operators.joins import join_on, semi_keys
 from tareline.session import materialise
 
@@ -130,7 +130,7 @@ def prefer_source(df: DataFrame, keys: Sequence[str], source: Column | str, pref
     found by an aggregate that carries the row along, so no join is needed.
     Reads ``df`` twice; store it first if it is costly to compute.
     """
-    authoritative = F.coalesce(col(source).isin(list(preferred)), F.lit(False))
+    authoritative = is_in(source, preferred)
     lone = only_unambiguous(df, keys).where(~authoritative)
     return df.where(authoritative).unionByName(lone)
 

@@ -99,6 +99,8 @@ def case_study_catch(landings: DataFrame, factors: DataFrame, cases: DataFrame,
     result is distinct, so repeated rows are dropped at the start.
     """
     wanted = landings.where(is_in("year", years) & (F.col("value") != 0) & F.col("iso3c").isNotNull())
+    # Stored, the case list has a known size: a short one filters the facts without a shuffle.
+    cases = materialise(cases.select("scientific_name", "landings_code").distinct(), "cases")
     wanted = semi_keys(wanted, cases, ON_PRODUCT)
     ports = ["port_iso3c"] if grain == "row" else []
     columns = [*PRODUCT, "iso3c", *ports, "year"]

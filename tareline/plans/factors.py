@@ -208,6 +208,22 @@ def spread_examples(factors: DataFrame, keys: Sequence[str], factor: str, least_
     return spread.where((F.col("range") > least_range) & (F.col("n") > least_count))
 
 
+def spread_labels(examples: DataFrame, non_members: Sequence[str] = tuple(vocab.SPREAD_NON_MEMBERS)) -> DataFrame:
+    """Display names of the examples and whether their country is a member.
+
+    Columns used: ``country, scientific_name, common_name, type_of_processing``.
+    The bloc's own rows are left out; they are no country's factor.
+    """
+    national = examples.where(F.col("country") != vocab.WIDE_CODE)
+    processing = F.col("type_of_processing")
+    named = national.withColumn("scientific_name", sentence_case("scientific_name"))
+    return named.withColumns({
+        "Species_prep": paste("scientific_name", F.lit(" ("), processing, F.lit(")"), sep=""),
+        "Common_name_prep": paste("common_name", F.lit(" ("), processing, F.lit(")"), sep=""),
+        "State_membership": F.when(is_in("country", non_members), "non-EU").otherwise("EU"),
+    })
+
+
 def separation_rules(text: Column, kind: Column) -> list[tuple[Column, str | None]]:
     rules: list[tuple[Column, str | None]] = [(text.isin(vocab.WHOLE_DESCRIPTIONS), "whole")]
     rules += [(text.rlike(pattern), label) for pattern, label in vocab.SEPARATION_RULES]

@@ -26,7 +26,7 @@ def recommended_conf() -> dict[str, str]:
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
         "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
-        "spark.sql.autoBroadcastJoinThreshold": "64m",
+        "spark.sql.autoBroadcastJoinThreshold": "32m",
         "spark.sql.files.maxPartitionBytes": "256m",
         "spark.sql.session.timeZone": "UTC",
     }

@@ -262,6 +262,13 @@ def test_drift_and_spread(spark):
     assert rows(jobs.spread_examples(df, ["k"], "f"), "k", "n", "upper", "lower") == [("a", 4, 1.5, 1.0)] * 4
 
 
+def test_labels_of_spread_examples(spark):
+    df = spark.createDataFrame([("Norway", "gadus MORHUA", "Cod", "frozen"), ("EU", "a", "b", "c"), ("Spain", "x", None, "y")],
+                               "country string, scientific_name string, common_name string, type_of_processing string")
+    assert rows(jobs.spread_labels(df), "Species_prep", "Common_name_prep", "State_membership") == [
+        ("Gadus morhua (frozen)", "Cod (frozen)", "non-EU"), ("X (y)", "NA (y)", "EU")]
+
+
 def test_codes_are_flattened_to_taxa(spark):
     codes = spark.createDataFrame([("160431", "a, b", "whole"), ("0303", "c", "whole"), ("0303", "c", "whole")],
                                   "Code string, Taxa string, Separation string")
