@@ -506,14 +506,9 @@ SQL_HELD = """
 
 
 def held_and_landed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Finer presentations, so that some are never landed, and factors of three sources.
-
-    Landings are summed per product and vessel country and stored: the grid and
-    the ranking of taxa both start from this table.
-    """
-    rows = landings(spark, sf, fine=True).groupBy(*PRODUCT, "iso3c").agg(F.sum("value").alias("value"))
+    """Finer presentations, so that some are never landed, and factors of three sources."""
     held = factors(spark, sf, fine=True).where(F.col("reference").isin("red", "blue", "old"))
-    return materialise(rows, "landed"), held
+    return landings(spark, sf, fine=True), held
 
 
 @query("coverage_grid", sql("", """
@@ -576,6 +571,8 @@ def leading_taxa(spark: SparkSession, sf: str) -> DataFrame:
         SELECT scientific_name FROM landed_rows GROUP BY 1 ORDER BY sum(value) DESC, scientific_name LIMIT 10)""", SQL_STATUS))
 def top_grid(spark: SparkSession, sf: str) -> DataFrame:
     landed, held = held_and_landed(spark, sf)
+    # The grid and the ranking of taxa both start from this stored sum.
+    landed = materialise(landed.groupBy(*PRODUCT, "iso3c").agg(F.sum("value").alias("value")), "landed")
     return coverage.grid_of_top_taxa(coverage.availability_grid(landed, held), landed, 10)
 
 
