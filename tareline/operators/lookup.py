@@ -15,7 +15,8 @@ from tareline.operators.joins import join_on
 def decode_codes(df: DataFrame, dictionaries: Mapping[str, DataFrame], code_suffix: str | None = None) -> DataFrame:
     """Replace codes by labels column by column; unknown codes stay.
 
-    A dictionary has columns ``code`` and ``label``.  ``code_suffix`` keeps the
+    A dictionary has columns ``code`` and ``label``, one row per code (see
+    ``check_unique``).  ``code_suffix`` keeps the
     code beside the label, which matters where several codes share one label.
     """
     order = df.columns

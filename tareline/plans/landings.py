@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tareline import vocab
 from tareline.functions.recode import recode
 from tareline.operators.filters import clean_filter
-from tareline.operators.lookup import decode_codes, resolve_synonyms
+from tareline.operators.lookup import decode_codes, resolve_country, resolve_synonyms
 from tareline.operators.reshape import YEAR_COLUMN, split_pair, unpivot_years
 from tareline.operators.sets import union_sources
 from tareline.sources.wide import read_wide_flagged
@@ -40,19 +40,31 @@ def tidy_wide(wide: DataFrame, dictionaries: Mapping[str, DataFrame], names: Map
 
 
 def clean_landings(spark: SparkSession, paths: list[str] | str, dictionaries: Mapping[str, DataFrame],
-                   synonyms: DataFrame | None = None) -> DataFrame:
+                   synonyms: DataFrame | None = None, years: str = YEAR_COLUMN) -> DataFrame:
     """Tidy landings of any number of files whose year columns may differ."""
-    frames = [tidy_wide(w, dictionaries, LANDINGS_NAMES, synonyms) for w in read_wide_flagged(spark, paths)]
+    frames = [tidy_wide(w, dictionaries, LANDINGS_NAMES, synonyms, years) for w in read_wide_flagged(spark, paths)]
     return union_sources(*frames, allow_missing=True)
 
 
 def clean_catch(spark: SparkSession, paths: list[str] | str, dictionaries: Mapping[str, DataFrame],
-                synonyms: DataFrame | None = None) -> DataFrame:
+                synonyms: DataFrame | None = None, years: str = YEAR_COLUMN) -> DataFrame:
     """Tidy catch by fishing region, from files of the same layout."""
-    frames = [tidy_wide(w, dictionaries, CATCH_NAMES, synonyms) for w in read_wide_flagged(spark, paths)]
+    frames = [tidy_wide(w, dictionaries, CATCH_NAMES, synonyms, years) for w in read_wide_flagged(spark, paths)]
     return union_sources(*frames, allow_missing=True)
 
 
+def with_countries(landings: DataFrame, countries: DataFrame) -> DataFrame:
+    """Country codes of the vessel and of the port; unions of countries stay missing.
+
+    The two-letter codes follow the labels of the landings files.
+    """
+    vessel = {"iso3c": "iso3c", "iso2c": "iso2c"}
+    port = {"iso3c": "port_iso3c", "iso2c": "port_iso2c"}
+    coded = resolve_country(landings, "nationality_of_vessel", countries, vessel)
+    coded = resolve_country(coded, "reporting_entity", countries, port)
+    return coded.withColumns({c: recode(c, vocab.RELABELLED_ISO2) for c in ("iso2c", "port_iso2c")})
+
+
 def usable_landings(landings: DataFrame, unit: str = vocab.PRODUCT_WEIGHT, use: str = vocab.TOTAL_USE,
                     years: tuple[int | None, int | None] | None = None) -> DataFrame:
     """Known, non-zero landings of one unit and use, without presentation totals."""

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tareline.operators import aggregate
+from tareline.functions.recode import recode
 from tareline.plans import catch, coverage, factors as factor_jobs, trade
-from tareline.plans.landings import clean_catch, clean_landings
+from tareline.plans.landings import clean_catch, clean_landings, with_countries
 from tareline.registry.base import query, sql
 from tareline.registry.fixtures import SQL_CELLS, calendar, wide_cells, write_wide
 from tareline.registry.operator_queries import CODE, PRODUCT, consolidated, rounded
@@ -167,9 +167,7 @@ def classified(spark: SparkSession, sf: str) -> DataFrame:
     return factor_jobs.classify_products(general, common, known, synonyms)
 
 
-def cases_of(c: Column, mapping: dict[str, str], default: str) -> Column:
-    from tareline.functions.recode import recode
-
+def cases_of(c: Column, mapping: dict[str, str], default: str | None = None) -> Column:
     return recode(c, mapping, default)
 
 
@@ -271,6 +269,40 @@ def compiled(spark: SparkSession, sf: str) -> DataFrame:
     return factor_jobs.compile_factors(national, third_country, general, curated, synonyms, countries, members(spark, sf))
 
 
+@query("short_sources", sql("fv", """
+    SELECT p_partkey, CASE reference WHEN 'red' THEN 'EU Council' WHEN 'blue' THEN 'FAO'
+                      WHEN 'old' THEN 'National Fisheries Authority' ELSE reference END AS reference FROM fv"""))
+def sources(spark: SparkSession, sf: str) -> DataFrame:
+    long = {"red": "EU Council Regulations Annex", "blue": "FAO 2000", "old": "EU Council Website Third Country Info"}
+    rows = factors(spark, sf).select("p_partkey", cases_of(F.col("reference"), long).alias("reference"))
+    return factor_jobs.short_sources(rows)
+
+
+@query("spread_labels", """
+    SELECT p_partkey, n_name AS country, upper(left(p_brand, 1)) || lower(substr(p_brand, 2)) AS scientific_name,
+           p_name AS common_name, p_type AS type_of_processing, p_brand || ' (' || p_type || ')' AS Species_prep,
+           p_name || ' (' || p_type || ')' AS Common_name_prep,
+           CASE WHEN n_name IN ('NATION_1', 'NATION_7') THEN 'non-EU' ELSE 'EU' END AS State_membership
+    FROM part JOIN nation ON p_size % 25 = n_nationkey WHERE n_nationkey <> 0""")
+def labelled_spread(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "part").join(table(spark, sf, "nation"), F.expr("p_size % 25 = n_nationkey")).select(
+        "p_partkey", F.when(F.col("n_nationkey") == 0, "EU").otherwise(F.col("n_name")).alias("country"),
+        F.upper("p_brand").alias("scientific_name"), F.col("p_name").alias("common_name"),
+        F.col("p_type").alias("type_of_processing"))
+    return factor_jobs.spread_labels(rows, ["NATION_1", "NATION_7"])
+
+
+@query("taxa_of_codes", """
+    SELECT Code, Taxa, CASE WHEN Code = '16043' THEN 'caviar' ELSE p_type END AS Separation
+    FROM (SELECT DISTINCT '1604' || CAST(p_size % 10 AS VARCHAR) AS Code,
+                          unnest(string_split(p_brand || ', ' || p_name, ', ')) AS Taxa, p_type FROM part)""")
+def code_taxa(spark: SparkSession, sf: str) -> DataFrame:
+    codes = table(spark, sf, "part").select(
+        F.concat(F.lit("1604"), (F.col("p_size") % 10).cast("string")).alias("Code"),
+        F.concat_ws(", ", "p_brand", "p_name").alias("Taxa"), F.col("p_type").alias("Separation"))
+    return factor_jobs.taxa_of_codes(codes)
+
+
 # Landings files
 
 def dictionaries(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
@@ -335,6 +367,33 @@ def catch_files(spark: SparkSession, sf: str) -> DataFrame:
     return clean_catch(spark, paths, dictionaries(spark, sf), synonyms_of_taxa(spark, sf)).drop("source_file")
 
 
+@query("vessel_and_port_countries", """
+    SELECT 'N' || CAST(v.n_nationkey AS VARCHAR) AS iso3c, v.n_name AS iso2c, 'N' || CAST(p.n_nationkey AS VARCHAR) AS port_iso3c,
+           p.n_name AS port_iso2c, count(*) AS n, sum(l_quantity) AS value
+    FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey
+         JOIN customer ON o_custkey = c_custkey
+    LEFT JOIN (SELECT * FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA') v
+         ON s_nationkey = v.n_nationkey
+    LEFT JOIN (SELECT * FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA') p
+         ON c_nationkey = p.n_nationkey
+    GROUP BY ALL""")
+def vessel_and_port(spark: SparkSession, sf: str) -> DataFrame:
+    nation = table(spark, sf, "nation").join(table(spark, sf, "region"), F.expr("n_regionkey = r_regionkey"))
+    known = nation.where("r_name <> 'ASIA'").select(
+        F.lower("n_name").alias("name_key"), nation_code("n_nationkey").alias("iso3c"), F.col("n_name").alias("iso2c"))
+
+    def spelt(key: str, name: str) -> Column:
+        return F.concat(F.lit("Nation_"), F.col(key).cast("string")).alias(name)
+
+    vessels = table(spark, sf, "supplier").select("s_suppkey", spelt("s_nationkey", "nationality_of_vessel"))
+    ports = table(spark, sf, "customer").select("c_custkey", spelt("c_nationkey", "reporting_entity"))
+    rows = (table(spark, sf, "lineitem").join(vessels, F.expr("l_suppkey = s_suppkey"))
+            .join(table(spark, sf, "orders"), F.expr("l_orderkey = o_orderkey")).join(ports, F.expr("o_custkey = c_custkey"))
+            .groupBy("nationality_of_vessel", "reporting_entity").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("value")))
+    coded = with_countries(rows, known).groupBy("iso3c", "iso2c", "port_iso3c", "port_iso2c")
+    return coded.agg(F.sum("n").alias("n"), F.sum("value").alias("value"))
+
+
 # Catch
 
 @query("catch_min_max_by_product", sql("lv fv", """

@@ -1,3 +1,6 @@
+import random
+import re
+
 from helpers import rows
 from pyspark.sql import functions as F
 
@@ -110,3 +113,29 @@ def test_mean_does_not_depend_on_partitions(spark):
 
 def test_mean_of_several_national_factors(spark):
     assert round(one_column(spark, [1.50, 1.55, 1.74], "double").agg(exact_mean("x")).first()[0], 6) == 1.596667
+
+
+def test_flagged_cells_against_replace_and_check(spark):
+    """Random cells, compared with removing flags, then checking the rest."""
+    rng = random.Random(11)
+    cells = ["".join(rng.choice("0123456789..  :eEabcz-+") for _ in range(rng.randrange(9))) for _ in range(5000)]
+    number = re.compile(r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?")
+
+    def expected(cell):
+        bare = re.sub(" [A-Za-z]+", "", cell).strip(" ")
+        return float(bare) if ":" not in bare and number.fullmatch(bare) else None
+
+    found = apply(spark, cells, flagged_value("x"))
+    assert found == [expected(c) for c in cells]
+    assert sum(v is not None for v in found) > 200
+
+
+def test_cell_functions_work_on_a_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("12.5 e\n: c\n")
+    cells = spark.readStream.schema("x string").text(str(tmp_path / "in"))
+    parsed = cells.select(flagged_value("x").alias("value"), flag_letters("x").alias("flag"))
+    query = (parsed.writeStream.format("memory").queryName("cells").trigger(availableNow=True)
+             .option("checkpointLocation", str(tmp_path / "state")).start())
+    assert query.awaitTermination(60)
+    assert rows(spark.table("cells")) == [(12.5, "e"), (None, "c")]

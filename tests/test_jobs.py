@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tareline import vocab
 from tareline.plans import catch, coverage, factors as jobs, trade
+from tareline.plans.landings import with_countries
 
 FACTORS = "scientific_name string, landings_code string, iso3c string, conversion_factor double"
 LANDINGS = "scientific_name string, presentation string, iso3c string, port_iso3c string, year int, value double"
@@ -252,6 +253,15 @@ def test_classified_products_get_resolved_names(spark):
     assert rows(out, "scientific_name") == [("better sea",), ("gadus",), ("gadus",), ("known name",), ("lates niloticus",), ("lophiidae",), ("new name",)]
 
 
+def test_countries_of_vessel_and_port(spark):
+    df = spark.createDataFrame([("United Kingdom", "Portugal"), ("European Union", "Nowhere")],
+                               "nationality_of_vessel string, reporting_entity string")
+    table = spark.createDataFrame([("united kingdom", "GBR", "GB"), ("portugal", "PRT", "PT")],
+                                  "name_key string, iso3c string, iso2c string")
+    assert rows(with_countries(df, table), "iso3c", "iso2c", "port_iso3c", "port_iso2c") == [
+        ("GBR", "UK", "PRT", "PT"), (None, None, None, None)]
+
+
 def test_drift_and_spread(spark):
     official = spark.createDataFrame([
         ("0303 54 10", 2015, 1.2), ("303 54 10", 2016, 1.3), ("03035411", 2015, 1.2), ("03035411", 2016, 1.205),
