@@ -103,16 +103,16 @@ def mark_non_members(df: DataFrame, label: str, column: str, members: DataFrame,
 def align_vocab(a: DataFrame, b: DataFrame, term: str, names: tuple[str, str]) -> DataFrame:
     """Two vocabularies side by side; a term absent on one side is missing there.
 
-    Stacked and grouped: the full outer alignment in one shuffle.
+    Stacked and counted per term: the full outer alignment in one shuffle, and
+    repeated terms are combined before it.
     """
-    def terms(df: DataFrame, left: bool) -> DataFrame:
-        return df.select(F.col(term).alias("__term"), F.lit(left).alias("__left"))
-
-    both = terms(a, True).unionByName(terms(b, False)).where(F.col("__term").isNotNull())
-    return (both.groupBy("__term")
-            .agg(F.max(F.when(F.col("__left"), F.col("__term"))).alias(names[0]),
-                 F.max(F.when(~F.col("__left"), F.col("__term"))).alias(names[1]))
-            .orderBy("__term").select(*names))
+    def terms(df: DataFrame, a: int, b: int) -> DataFrame:
+        return df.select(F.col(term).alias("__term"), F.lit(a).alias("__a"), F.lit(b).alias("__b"))
+
+    both = terms(a, 1, 0).unionByName(terms(b, 0, 1)).where(F.col("__term").isNotNull())
+    found = both.groupBy("__term").agg(F.max("__a").alias("__a"), F.max("__b").alias("__b"))
+    sides = [F.when(F.col(c) == 1, F.col("__term")).alias(n) for c, n in zip(("__a", "__b"), names)]
+    return found.orderBy("__term").select(*sides)
 
 
 def project_rename(df: DataFrame, columns: Mapping[str, str] | Sequence[str]) -> DataFrame:

@@ -28,7 +28,7 @@ from tareline.session import materialise
     GROUP BY ALL HAVING n_CF > 1 AND n_EU > 0 AND range <> 0"""))
 def ranges(spark: SparkSession, sf: str) -> DataFrame:
     landed = landings(spark, sf).select("presentation").distinct()
-    return factor_jobs.factor_ranges(factors(spark, sf), landed, CODE)
+    return factor_jobs.factor_ranges(factors(spark, sf, affiliation=True), landed, CODE)
 
 
 SQL_CASES = """
@@ -39,7 +39,7 @@ SQL_CASES = """
 
 
 def cases(spark: SparkSession, sf: str) -> DataFrame:
-    return factor_jobs.case_products(factor_jobs.factor_ranges(factors(spark, sf), keys=CODE), k=None)
+    return factor_jobs.case_products(factor_jobs.factor_ranges(factors(spark, sf, affiliation=True), keys=CODE), k=None)
 
 
 @query("relative_factors", sql("fv", """
@@ -538,6 +538,7 @@ def case_study_rows(spark: SparkSession, sf: str) -> DataFrame:
 def valued(spark: SparkSession, sf: str) -> DataFrame:
     yearly = landings(spark, sf).groupBy(*PRODUCT, "iso3c", "year").agg(
         F.sum("value").alias("value"), (F.round(F.sum("price"), 2) / F.sum("value")).alias("Euro_per_tonne"))
+    yearly = materialise(yearly, "yearly")
     return catch.value_catch(yearly.drop("Euro_per_tonne"), yearly.drop("value"))
 
 

@@ -21,7 +21,7 @@ from tareline.operators import aggregate, checks, filters, joins, lookup, rankin
 from tareline.registry.base import query, sql
 from tareline.registry.fixtures import SQL_CELLS, calendar, wide_cells, write_wide
 from tareline.registry.views import factors, landings, members, nation_code, table
-from tareline.session import new_scratch_path
+from tareline.session import materialise, new_scratch_path
 from tareline.sources.tables import curation_worklist, read_csv_table, write_safe_csv
 from tareline.sources.wide import read_wide_flagged
 
@@ -462,6 +462,7 @@ def semi(spark: SparkSession, sf: str) -> DataFrame:
     FROM lv GROUP BY ALL"""))
 def series(spark: SparkSession, sf: str) -> DataFrame:
     rows = landings(spark, sf).groupBy("scientific_name", "unit", "year").agg(F.sum("value").alias("total"))
+    rows = materialise(rows, "series")
     return aggregate.series_difference(rows.where("unit = 'O'"), rows.where("unit = 'F'"),
                                        ["scientific_name", "year"], "total", ("open", "final"), keep="all")
 
@@ -598,7 +599,7 @@ def preferred(spark: SparkSession, sf: str) -> DataFrame:
         SELECT *, max(landings) OVER (PARTITION BY scientific_name, presentation, iso3c) AS best FROM panel)
     WHERE landings = best""", SQL_PANEL))
 def peak_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return ranking.max_rows_per_group(panel(spark, sf), [*PRODUCT, "iso3c"], "landings")
+    return ranking.max_rows_per_group(materialise(panel(spark, sf), "panel"), [*PRODUCT, "iso3c"], "landings")
 
 
 @query("cumulative_share", sql("lv", """
@@ -667,7 +668,7 @@ def ranked(spark: SparkSession, sf: str) -> DataFrame:
     SELECT DISTINCT iso3c, scientific_name, presentation FROM lv
     INTERSECT SELECT iso3c, scientific_name, landings_code FROM fv"""))
 def common(spark: SparkSession, sf: str) -> DataFrame:
-    landed = landings(spark, sf).select("iso3c", *PRODUCT).distinct()
+    landed = materialise(landings(spark, sf).select("iso3c", *PRODUCT).distinct(), "landed")
     held = factors(spark, sf).select("iso3c", "scientific_name", F.col("landings_code").alias("presentation"))
     return sets.common_categories(landed, held, ["iso3c", "scientific_name"], "presentation")[0]
 

@@ -54,22 +54,30 @@ def landings(spark: SparkSession, sf: str, port: bool = False, fine: bool = Fals
     )
 
 
-def factors(spark: SparkSession, sf: str, fine: bool = False) -> DataFrame:
-    """Parts as conversion factors; nation 0 stands for the bloc."""
-    part = table(spark, sf, "part")
-    nation = table(spark, sf, "nation").join(
-        table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
+def factors(spark: SparkSession, sf: str, fine: bool = False, affiliation: bool = False) -> DataFrame:
+    """Parts as conversion factors; nation 0 stands for the bloc.
+
+    ``affiliation`` adds whether the nation belongs to the bloc.
+    """
+    rows = table(spark, sf, "part")
     key = F.col("p_size") % 25
     wide = key == 0
-    return part.join(nation, key == F.col("n_nationkey"), "left").select(
+    belongs = []
+    if affiliation:
+        nation = table(spark, sf, "nation").join(
+            table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
+        rows = rows.join(nation, key == F.col("n_nationkey"), "left")
+        belongs = [F.when(wide | (F.col("r_name") == "EUROPE"), "EU")
+                   .when(F.col("r_name") == "MIDDLE EAST", "European, non-EU")
+                   .otherwise("other").alias("continent_affiliation")]
+    return rows.select(
         F.col("p_partkey"),
         F.col("p_brand").alias("scientific_name"),
         form(fine).alias("landings_code"),
         F.when(wide, vocab.WIDE_CODE).otherwise(nation_code(key)).alias("iso3c"),
         F.round(1 + (F.col("p_retailprice") - 900) / 100, 3).alias("conversion_factor"),
         F.when(wide, vocab.WIDE_CF).otherwise(vocab.NATIONAL_CF).alias("implementation"),
-        F.when(wide | (F.col("r_name") == "EUROPE"), "EU")
-        .when(F.col("r_name") == "MIDDLE EAST", "European, non-EU").otherwise("other").alias("continent_affiliation"),
+        *belongs,
         F.split_part("p_name", F.lit(" "), F.lit(1)).alias("reference"),
     )
 
