@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -10,15 +11,21 @@ from pyspark.sql import DataFrame, SparkSession
 _local_scratch: str | None = None
 
 
-def recommended_conf() -> dict[str, str]:
+def recommended_conf(shuffle_bytes: int | None = None) -> dict[str, str]:
     """Settings the jobs are tuned for.
 
+    ``shuffle_bytes``, the size of the largest shuffle, sets the number of
+    shuffle partitions to one per 256 MB; adaptive execution merges small ones.
+
     No operator calls ``broadcast()``.  A lookup side is broadcast only when
     Spark has measured it: by file size when the plan is made, by the size of
     the finished stage when adaptive execution re-plans.  Larger sides fall
     back to a sort-merge join whose hot partitions are split.
     """
-    return {
+    partitions = {}
+    if shuffle_bytes is not None:
+        partitions["spark.sql.shuffle.partitions"] = str(max(200, math.ceil(shuffle_bytes / (256 << 20))))
+    return partitions | {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -53,7 +60,14 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def new_scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/tareline/{name}-{uuid.uuid4().hex}"
+    """Fresh path in this application's folder, which is removed when it ends."""
+    context = spark.sparkContext
+    folder = f"{scratch_dir(spark)}/tareline/{context.applicationId}"
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(context._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, name: str = "stage") -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from helpers import rows
 from pyspark.sql import functions as F
 
-from tareline import materialise, session, vocab
+from tareline import materialise, recommended_conf, session, vocab
 from tareline.plans.landings import clean_catch, clean_landings, usable_landings
 from tareline.sources.tables import (
     curation_worklist,
@@ -149,6 +149,11 @@ def test_scratch_folder_is_the_one_the_cluster_names():
         session.scratch_dir(session_like("yarn"))
 
 
+def test_shuffle_partitions_follow_the_data():
+    assert "spark.sql.shuffle.partitions" not in recommended_conf()
+    assert recommended_conf(20 << 40)["spark.sql.shuffle.partitions"] == "81920"
+
+
 def test_stored_table_has_fixed_values_and_a_known_size(spark):
     stored = materialise(spark.range(1000).withColumn("r", F.rand()))
     assert rows(stored) == rows(stored)
