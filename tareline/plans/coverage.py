@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from tareline import vocab
 from tareline.operators.aggregate import coverage_ratio, restrict_to_top
+from tareline.operators.filters import member_filter
 from tareline.operators.joins import join_on, missing_keys
 from tareline.operators.ranking import cumulative_share, top_k
 from tareline.operators.reshape import complete_grid
+from tareline.operators.sets import union_sources
+from tareline.plans.factors import wide_member
 
 PRODUCT = ["scientific_name", "presentation"]
 
@@ -18,17 +21,26 @@ def _as_products(factors: DataFrame) -> DataFrame:
     return factors.select("scientific_name", F.col("landings_code").alias("presentation"), "iso3c")
 
 
-def coverage_grid(landings: DataFrame, factors: DataFrame) -> DataFrame:
+def _of_members(df: DataFrame, members: DataFrame | None, wide: bool = False) -> DataFrame:
+    """Rows of member countries, with ``wide`` also those of the bloc itself."""
+    if members is None:
+        return df
+    return member_filter(df, "iso3c", union_sources(members, wide_member(members)) if wide else members)
+
+
+def coverage_grid(landings: DataFrame, factors: DataFrame, members: DataFrame | None = None) -> DataFrame:
     """Share of landing countries with an own factor, for every taxon x presentation.
 
     Cells never landed are kept with missing counts.
     """
+    landings, factors = _of_members(landings, members), _of_members(factors, members)
     ratios = coverage_ratio(landings, _as_products(factors), PRODUCT, "iso3c")
     return complete_grid(ratios, *PRODUCT)
 
 
-def availability_grid(landings: DataFrame, factors: DataFrame) -> DataFrame:
+def availability_grid(landings: DataFrame, factors: DataFrame, members: DataFrame | None = None) -> DataFrame:
     """Status of every taxon x presentation: bloc-wide factor, any factor, not landed."""
+    landings, factors = _of_members(landings, members), _of_members(factors, members, wide=True)
     held = _as_products(factors).groupBy(*PRODUCT).agg(
         (F.count_if(F.col("iso3c") == vocab.WIDE_CODE) > 0).alias("__wide"), F.lit(True).alias("__any"))
     landed = join_on(landings.select(*PRODUCT).distinct(), held, PRODUCT)
@@ -51,15 +63,17 @@ def availability_counts(grid: DataFrame) -> DataFrame:
     )
 
 
-def top_taxa(landings: DataFrame, k: int = 50) -> DataFrame:
+def top_taxa(landings: DataFrame, k: int = 50, members: DataFrame | None = None) -> DataFrame:
     """The most landed taxa with their running share of all landings."""
+    landings = _of_members(landings, members)
     return top_k(cumulative_share(landings, "scientific_name", "value"), "total", k, ["scientific_name"])
 
 
-def grid_of_top_taxa(grid: DataFrame, landings: DataFrame, k: int = 50) -> DataFrame:
-    return restrict_to_top(grid, top_taxa(landings, k), "scientific_name")
+def grid_of_top_taxa(grid: DataFrame, landings: DataFrame, k: int = 50, members: DataFrame | None = None) -> DataFrame:
+    return restrict_to_top(grid, top_taxa(landings, k, members), "scientific_name")
 
 
-def missing_factors(landings: DataFrame, factors: DataFrame) -> DataFrame:
-    """Landed products for which no factor exists."""
+def missing_factors(landings: DataFrame, factors: DataFrame, members: DataFrame | None = None) -> DataFrame:
+    """Landed products for which neither a national nor a bloc-wide factor exists."""
+    landings, factors = _of_members(landings, members), _of_members(factors, members, wide=True)
     return missing_keys(landings.select(*PRODUCT).distinct(), _as_products(factors), PRODUCT)

@@ -616,6 +616,58 @@ def without_factor(spark: SparkSession, sf: str) -> DataFrame:
     return coverage.missing_factors(*held_and_landed(spark, sf))
 
 
+SQL_MEMBER_HELD = """
+    m AS (SELECT 'N' || CAST(n_nationkey AS VARCHAR) AS iso3c FROM nation JOIN region ON n_regionkey = r_regionkey
+          WHERE r_name = 'EUROPE'),
+    landed AS (SELECT DISTINCT p_brand AS scientific_name, p_type || ' ' || split_part(p_name, ' ', 2) AS presentation,
+                               'N' || CAST(s_nationkey AS VARCHAR) AS iso3c
+               FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey
+               WHERE 'N' || CAST(s_nationkey AS VARCHAR) IN (SELECT iso3c FROM m)),
+    held AS (SELECT p_brand AS scientific_name, p_type || ' ' || split_part(p_name, ' ', 2) AS presentation,
+                    CASE WHEN p_size % 25 = 0 THEN 'EU' ELSE 'N' || CAST(p_size % 25 AS VARCHAR) END AS iso3c
+             FROM part WHERE p_size % 25 = 0 OR 'N' || CAST(p_size % 25 AS VARCHAR) IN (SELECT iso3c FROM m))"""
+
+
+def fine_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return landings(spark, sf, fine=True), factors(spark, sf, fine=True), members(spark, sf)
+
+
+@query("coverage_grid_of_members", sql("", """
+    SELECT scientific_name, presentation, n_countries_landing,
+           CASE WHEN n_countries_landing IS NOT NULL THEN coalesce(n_held, 0) END AS n_CF, n_CF_with_landings,
+           n_CF_with_landings / n_countries_landing AS proportion_have_CF
+    FROM (SELECT DISTINCT scientific_name FROM landed) CROSS JOIN (SELECT DISTINCT presentation FROM landed)
+    LEFT JOIN (
+        SELECT scientific_name, presentation, count(*) AS n_countries_landing, count(h.iso3c) AS n_CF_with_landings
+        FROM landed LEFT JOIN (SELECT DISTINCT * FROM held) h USING (scientific_name, presentation, iso3c)
+        GROUP BY scientific_name, presentation) USING (scientific_name, presentation)
+    LEFT JOIN (SELECT scientific_name, presentation, count(DISTINCT iso3c) AS n_held FROM held WHERE iso3c <> 'EU'
+               GROUP BY ALL) USING (scientific_name, presentation)""", SQL_MEMBER_HELD))
+def member_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    return coverage.coverage_grid(*fine_tables(spark, sf))
+
+
+@query("availability_grid_of_members", sql("", """
+    SELECT g.scientific_name, g.presentation,
+           CASE WHEN l.scientific_name IS NULL THEN 'not landed' WHEN wide THEN 'EU-wide CF value available'
+                ELSE 'not available' END AS EU_CF,
+           CASE WHEN l.scientific_name IS NULL THEN 'not landed' WHEN wide IS NULL THEN 'no' ELSE 'yes' END AS any_CF
+    FROM (SELECT * FROM (SELECT DISTINCT scientific_name FROM landed)
+          CROSS JOIN (SELECT DISTINCT presentation FROM landed)) g
+    LEFT JOIN (SELECT DISTINCT scientific_name, presentation FROM landed) l USING (scientific_name, presentation)
+    LEFT JOIN (SELECT scientific_name, presentation, bool_or(iso3c = 'EU') AS wide FROM held GROUP BY ALL)
+         USING (scientific_name, presentation)""", SQL_MEMBER_HELD))
+def member_availability(spark: SparkSession, sf: str) -> DataFrame:
+    return coverage.availability_grid(*fine_tables(spark, sf))
+
+
+@query("missing_factors_of_members", sql("", """
+    SELECT DISTINCT scientific_name, presentation FROM landed
+    WHERE (scientific_name, presentation) NOT IN (SELECT (scientific_name, presentation) FROM held)""", SQL_MEMBER_HELD))
+def members_without_factor(spark: SparkSession, sf: str) -> DataFrame:
+    return coverage.missing_factors(*fine_tables(spark, sf))
+
+
 @query("top_taxa", sql("lv", """
     SELECT scientific_name, total, sum(total) OVER w AS cumulative_sum,
            sum(total) OVER w / sum(total) OVER () AS proportion
