@@ -86,10 +86,10 @@ def bucket_uncovered(df: DataFrame, factor: str, label: str, bucket: str, measur
     """Collapse rows without a factor into one label, sum, and tag them.
 
     A row with a factor and a row of the bucket never share a group, because
-    the factor column stays a key.
+    the factor column stays a key.  Sums of missing measures are zero.
     """
     relabelled = df.withColumn(label, F.when(F.col(factor).isNull(), F.lit(bucket)).otherwise(F.col(label)))
-    summed = group_by_all_but(relabelled, measures, drop)
+    summed = group_by_all_but(relabelled, measures, drop).na.fill(0, list(measures))
     tagged = F.when(F.col(factor).isNull(), "unaccounted").otherwise("catch")
     return summed.withColumn(tag, tagged)
 

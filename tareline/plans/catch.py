@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tareline import vocab
 from tareline.functions.nulls import if_known, is_in
-from tareline.operators.aggregate import consolidate_factors, min_max_with_holders, series_difference
+from tareline.operators.aggregate import bucket_uncovered, consolidate_factors, min_max_with_holders, series_difference
 from tareline.operators.filters import member_filter
 from tareline.operators.joins import apply_factor, join_on, match_factor, semi_keys
 from tareline.operators.lookup import mark_non_members
@@ -83,6 +83,23 @@ def catch_national_vs_wide(landings: DataFrame, factors: DataFrame, span: tuple[
     return yearly.withColumn("difference", F.col("national_catch") - F.col("EU_catch"))
 
 
+def landings_by_coverage(landings: DataFrame, factors: DataFrame, wide: bool = False,
+                         digits: int | None = None) -> DataFrame:
+    """Landings and catch per presentation; those without a factor share one label.
+
+    ``wide`` applies the bloc-wide instead of the vessel country's own factor.
+    """
+    own = consolidate_factors(factors, ["scientific_name", "landings_code", "iso3c"], digits=digits)
+    panel = annual_panel(landings, [*PRODUCT, "iso3c"])
+    if wide:
+        own = own.where(F.col("iso3c") == vocab.WIDE_CODE)
+    keys = ON_PRODUCT if wide else {**ON_PRODUCT, "iso3c": "iso3c"}
+    matched = match_factor(panel, own, keys)
+    caught = apply_factor(matched, "landings", {"catch": "factor"})
+    bucket = vocab.NO_WIDE_CF if wide else vocab.NO_NATIONAL_CF
+    return bucket_uncovered(caught, "factor", "presentation", bucket, ["landings", "catch"])
+
+
 def largest_gaps(series: DataFrame, keys: Iterable[str]) -> DataFrame:
     """Rows with the largest absolute difference of their key, ties kept."""
     sized = series.withColumn("gap", F.abs("difference"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tareline import vocab
@@ -122,6 +122,12 @@ def compile_factors(
     return prefer_source(full, [*PRODUCT, "iso3c"], "reference", vocab.PREFERRED_SOURCES)
 
 
+def member_table(spark: SparkSession, view: str = "members") -> DataFrame:
+    """Member codes of one of the fixed views as a one-column table."""
+    codes = F.array(*[F.lit(c) for c in vocab.MEMBER_VIEWS[view]])
+    return spark.range(1).select(F.explode(codes).alias("iso3c"))
+
+
 def wide_member(members: DataFrame) -> DataFrame:
     """The bloc's own code as a one-row member table."""
     key = members.columns[0]

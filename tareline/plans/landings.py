@@ -65,6 +65,17 @@ def with_countries(landings: DataFrame, countries: DataFrame) -> DataFrame:
     return coded.withColumns({c: recode(c, vocab.RELABELLED_ISO2) for c in ("iso2c", "port_iso2c")})
 
 
+def usable_catch(catch: DataFrame, unit: str = vocab.LIVE_WEIGHT) -> DataFrame:
+    """Known catch of one unit for named taxa."""
+    return clean_filter(catch, filled=["scientific_name", "value"], equals={"unit": unit})
+
+
+def unit_prices(landings: DataFrame, unit: str = vocab.UNIT_PRICE, use: str = vocab.TOTAL_USE) -> DataFrame:
+    """Prices reported among the landings, for ``value_catch``."""
+    priced = clean_filter(landings, filled=["value"], equals={"unit": unit, "use": use})
+    return priced.withColumnRenamed("value", "Euro_per_tonne")
+
+
 def usable_landings(landings: DataFrame, unit: str = vocab.PRODUCT_WEIGHT, use: str = vocab.TOTAL_USE,
                     years: tuple[int | None, int | None] | None = None) -> DataFrame:
     """Known, non-zero landings of one unit and use, without presentation totals."""

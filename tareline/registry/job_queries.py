@@ -462,6 +462,29 @@ def gaps(spark: SparkSession, sf: str) -> DataFrame:
     return catch.largest_gaps(national_series(spark, sf), ["scientific_name"])
 
 
+SQL_COVERED = """
+    SELECT scientific_name, iso3c, year, factor, sum(landings) AS landings, round(coalesce(sum(landings * factor), 0), 4) AS catch,
+           CASE WHEN factor IS NULL THEN '{bucket}' ELSE presentation END AS presentation,
+           CASE WHEN factor IS NULL THEN 'unaccounted' ELSE 'catch' END AS catch_vs_unaccounted
+    FROM (SELECT scientific_name, presentation, iso3c, year, sum(value) AS landings FROM lv GROUP BY ALL)
+    LEFT JOIN ({factors}) USING ({keys}) GROUP BY ALL"""
+
+
+@query("landings_by_national_coverage", sql("lv cv", SQL_COVERED.format(
+    bucket="no national CF value", keys="scientific_name, presentation, iso3c",
+    factors="SELECT scientific_name, landings_code AS presentation, iso3c, conversion_factor AS factor FROM cv")))
+def by_national_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(catch.landings_by_coverage(landings(spark, sf), factors(spark, sf), digits=4), "catch")
+
+
+@query("landings_by_wide_coverage", sql("lv cv", SQL_COVERED.format(
+    bucket="no EU-wide CF value", keys="scientific_name, presentation",
+    factors="SELECT scientific_name, landings_code AS presentation, conversion_factor AS factor FROM cv "
+            "WHERE iso3c = 'EU'")))
+def by_wide_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(catch.landings_by_coverage(landings(spark, sf), factors(spark, sf), wide=True, digits=4), "catch")
+
+
 SQL_STUDY = SQL_CASES + """,
     seen AS (SELECT DISTINCT scientific_name, presentation, iso3c, port_iso3c, year, value
              FROM lvp JOIN (SELECT scientific_name, landings_code AS presentation FROM cases)

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tareline import vocab
 from tareline.plans import catch, coverage, factors as jobs, trade
-from tareline.plans.landings import with_countries
+from tareline.plans.landings import unit_prices, usable_catch, with_countries
 
 FACTORS = "scientific_name string, landings_code string, iso3c string, conversion_factor double"
 LANDINGS = "scientific_name string, presentation string, iso3c string, port_iso3c string, year int, value double"
@@ -159,7 +159,24 @@ def test_traded_mackerel(spark):
     }
 
 
-def test_members_by_view():
+def test_prices_and_catch_are_picked_by_unit(spark):
+    df = spark.createDataFrame([("cod", "Euro per tonne", "Total", 5.0), ("cod", "Tonnes live weight", "Total", 7.0),
+                                (None, "Tonnes live weight", "Total", 8.0), ("cod", "Euro per tonne", "Other", 9.0)],
+                               "scientific_name string, unit string, use string, value double")
+    assert rows(unit_prices(df), "Euro_per_tonne") == [(5.0,)]
+    assert rows(usable_catch(df), "value") == [(7.0,)]
+
+
+def test_landings_by_coverage(spark, cod, landed):
+    own = catch.landings_by_coverage(landed, cod).where("iso3c = 'ESP' AND year = 2000")
+    assert rows(own, "presentation", "landings", "catch", "catch_vs_unaccounted") == [
+        ("GUH", 14.0, 21.0, "catch"), (vocab.NO_NATIONAL_CF, 2.0, 0.0, "unaccounted")]
+    wide = catch.landings_by_coverage(landed, cod, wide=True).where("iso3c = 'PRT'")
+    assert rows(wide, "presentation", "landings", "catch") == [("GUH", 5.0, 8.5), (vocab.NO_WIDE_CF, 1.0, 0.0)]
+
+
+def test_members_by_view(spark):
+    assert jobs.member_table(spark, "with_gbr").count() == 28
     assert len(vocab.MEMBERS) == len(set(vocab.MEMBERS)) == 27
     assert set(vocab.MEMBER_VIEWS["with_nor"]) - set(vocab.MEMBERS) == {"NOR"}
 
