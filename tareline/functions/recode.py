@@ -18,12 +18,19 @@ def recode(c: Column | str, mapping: Mapping[str, str], default: str | None = No
     return F.coalesce(found, c if default is None else F.lit(default))
 
 
+def _first_true(branches: Sequence[tuple[Column, Column]]) -> Column:
+    """``CASE WHEN`` over the branches, without ``ELSE``."""
+    (condition, value), *rest = branches
+    out = F.when(condition, value)
+    for condition, value in rest:
+        out = out.when(condition, value)
+    return out
+
+
 def first_match(c: Column | str, rules: Sequence[tuple[str, str]], default: Column | str | None = None) -> Column:
     """Label of the first pattern found in the text; missing text never matches."""
     c = col(c)
-    out = F
-    for pattern, label in rules:
-        out = out.when(c.rlike(pattern), F.lit(label))
+    out = _first_true([(c.rlike(pattern), F.lit(label)) for pattern, label in rules])
     if default is None:
         return out
     return out.otherwise(F.lit(default) if isinstance(default, str) else default)
@@ -31,7 +38,4 @@ def first_match(c: Column | str, rules: Sequence[tuple[str, str]], default: Colu
 
 def last_match(rules: Sequence[tuple[Column, str | None]]) -> Column:
     """Label of the last rule that holds; a later rule may reset to missing."""
-    out = F
-    for condition, label in reversed(rules):
-        out = out.when(condition, F.lit(label).cast("string"))
-    return out
+    return _first_true([(condition, F.lit(label).cast("string")) for condition, label in reversed(rules)])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -42,13 +44,17 @@ def write_safe_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> Non
     without_separators(df).write.mode(mode).options(header=True, quote="", escapeQuotes=False).csv(path)
 
 
-def write_tidy(df: DataFrame, path: str, year: str = "year", mode: str = "errorifexists") -> None:
+def write_tidy(df: DataFrame, path: str, year: str = "year", sort_by: Sequence[str] = (),
+               mode: str = "errorifexists") -> None:
     """Parquet partitioned by year, so year filters prune files.
 
     Rows of a year are spread over as many files as their size asks for; a
     rebalance (unlike a repartition by year) splits years that are large.
+    ``sort_by`` orders the rows of a file, so that filters on those columns skip
+    row groups by their minimum and maximum.
     """
-    df.hint("rebalance", year).write.mode(mode).partitionBy(year).parquet(path)
+    spread = df.hint("rebalance", year).sortWithinPartitions(year, *sort_by)
+    spread.write.mode(mode).partitionBy(year).parquet(path)
 
 
 def curation_worklist(df: DataFrame, text: str, curated: DataFrame) -> DataFrame:
