@@ -58,20 +58,24 @@ def list_members(df: DataFrame, keys: Sequence[str], member: str, out: str, coun
 
 
 def min_max_with_holders(df: DataFrame, keys: Sequence[str], factor: str, holder: str, prefix: str = "cf",
-                         sep: str = ", ") -> DataFrame:
+                         sep: str = ", ", na: str = "skip") -> DataFrame:
     """Smallest and largest factor per group and the list of holders of each.
 
     Distinct (group, factor, holder) rows are listed per factor value first;
     the extreme lists are then picked by ``min_by`` / ``max_by``.  A missing
-    holder is listed as ``NA``.
+    holder is listed as ``NA``.  With ``na="propagate"`` a group holding a
+    missing factor has no extremes.
     """
-    known = df.where(F.col(factor).isNotNull()).select(*keys, factor, paste(holder).alias(holder))
-    named = list_members(known, [*keys, factor], holder, "__holders", sep=sep)
+    rows = df.select(*keys, factor, paste(holder).alias(holder))
+    if na == "skip":
+        rows = rows.where(F.col(factor).isNotNull())
+    named = list_members(rows, [*keys, factor], holder, "__holders", sep=sep)
+    known = F.count_if(F.col(factor).isNull()) == 0
     return named.groupBy(*keys).agg(
-        F.min(factor).alias(f"min_{prefix}"),
-        F.max(factor).alias(f"max_{prefix}"),
-        F.min_by("__holders", factor).alias(f"min_{holder}"),
-        F.max_by("__holders", factor).alias(f"max_{holder}"),
+        min_of(factor, na).alias(f"min_{prefix}"),
+        max_of(factor, na).alias(f"max_{prefix}"),
+        F.when(known, F.min_by("__holders", factor)).alias(f"min_{holder}"),
+        F.when(known, F.max_by("__holders", factor)).alias(f"max_{holder}"),
     )
 
 

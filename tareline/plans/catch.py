@@ -37,14 +37,17 @@ def annual_panel(landings: DataFrame, keys: Iterable[str], value: str = "value",
 
 
 def min_max_by_product(landings: DataFrame, factors: DataFrame, members: DataFrame | None = None,
-                       first_year: int | None = None) -> DataFrame:
-    """Catch under the smallest and largest factor, per product and year."""
+                       first_year: int | None = None, na: str = "skip") -> DataFrame:
+    """Catch under the smallest and largest factor, per product and year.
+
+    ``na="propagate"`` treats a product with any missing factor as uncovered.
+    """
     if members is not None:
         landings = member_filter(landings, "iso3c", members)
     if first_year is not None:
         landings = landings.where(F.col("year") >= first_year)
     panel = annual_panel(landings, PRODUCT, out="year_landings")
-    extremes = min_max_with_holders(factors, ["scientific_name", "landings_code"], "conversion_factor", "iso3c")
+    extremes = min_max_with_holders(factors, ["scientific_name", "landings_code"], "conversion_factor", "iso3c", na=na)
     joined = join_on(panel, extremes, ON_PRODUCT)
     return apply_factor(joined, "year_landings", {"year_catch_min": "min_cf", "year_catch_max": "max_cf"})
 

@@ -184,6 +184,8 @@ def test_holders_of_extremes_keep_ties(spark):
         [("a", "ESP", 1.0), ("a", "DEU", 1.0), ("a", "FRA", 2.0), ("a", "FRA", 2.0), ("a", None, 2.0), ("b", "ESP", None)],
         "k string, iso3c string, f double")
     assert rows(aggregate.min_max_with_holders(df, ["k"], "f", "iso3c")) == [("a", 1.0, 2.0, "DEU, ESP", "FRA, NA")]
+    strict = aggregate.min_max_with_holders(df, ["k"], "f", "iso3c", na="propagate")
+    assert rows(strict) == [("a", 1.0, 2.0, "DEU, ESP", "FRA, NA"), ("b", None, None, None, None)]
 
 
 def test_bucket_of_uncovered(spark):
