@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,7 +17,7 @@ PIECE_ROWS, PIECE_BYTES = 512, 4 << 20
 
 def pieces(batch: pa.RecordBatch, column: str = TEXT) -> Iterator[pa.RecordBatch]:
     """Cut an Arrow batch so that a piece holds a bounded amount of text (one text at least)."""
-    lengths = pa.compute.binary_length(batch.column(column)).fill_null(0).to_pylist()
+    lengths = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()
     start = size = 0
     for i, n in enumerate(lengths):
         if i > start and (size + n > PIECE_BYTES or i - start >= PIECE_ROWS):
