@@ -18,7 +18,8 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +35,11 @@ END = "</w>"
 SEPARATORS = re.compile("[\x1c-\x1f]")
 BLANKS = re.compile(r"(?:[^\S\x1c-\x1f])+")
 #: Bounds on what a Python worker remembers: encoded runs, and token pairs.
-MAX_CHUNKS, MAX_PAIRS = 1_000_000, 1_000_000
+MAX_CHUNKS, MAX_PAIRS = 600_000, 500_000
 
 
 class Bpe:
-    """One vocabulary file: ``encode`` texts to packed ids, ``decode`` them back.
+    """One vocabulary file: ``encode`` texts to packed ids.
 
     Normalisation and the split into words (in byte letters) are the rules that
     the file states, applied by the tokenizers library; no rule reaches across
@@ -49,9 +50,10 @@ class Bpe:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
-        self.ids: dict[str, int] = model["vocab"]
-        self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.tokens = {i: t for t, i in (self.ids | self.added).items()}
+        packed = {t: np.array([i], "<u4").tobytes() for t, i in model["vocab"].items()}
+        self.inner = {t: i for t, i in packed.items() if not t.endswith(END)}
+        self.final = {t.removesuffix(END): i for t, i in packed.items() if t.endswith(END)}
+        self.added = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in spec["added_tokens"]}
         self.ranks, self.made = {}, {}
         for rank, merge in enumerate(model["merges"]):
             a, b = merge.split(" ") if isinstance(merge, str) else merge
@@ -59,12 +61,13 @@ class Bpe:
             self.made[a + b] = rank, (a, b)
         self.lefts: dict[str, list[tuple[str, int]]] = {}
         self.rights: dict[str, list[tuple[str, int]]] = {}
-        self.longest = max(len(t) for t in self.ids)
+        self.longest = max(map(len, [*self.inner, *self.final]))
         rules = Tokenizer.from_file(path)
         self.normalise = rules.normalizer.normalize_str
         self.pre_tokens = rules.pre_tokenizer.pre_tokenize_str
         self.specials = re.compile("|".join(map(re.escape, self.added)))
         self.pairs: dict[tuple[str, str], bool] = {}
+        self.final_pairs: dict[tuple[str, str], bool] = {}
         self.chunks: dict[str, bytes] = {}
 
     # -- compatibility
@@ -79,10 +82,10 @@ class Bpe:
             used, parts = self.made[token]
             token = parts[side]
 
-    def remember(self, before: str, token: str) -> bool:
-        if len(self.pairs) >= MAX_PAIRS:
-            self.pairs.clear()
-        apart = self.pairs[before, token] = self.stay_apart(before, token)
+    def remember(self, pairs: dict[tuple[str, str], bool], before: str, key: str, token: str) -> bool:
+        if len(pairs) >= MAX_PAIRS:
+            pairs.clear()
+        apart = pairs[before, key] = self.stay_apart(before, token)
         return apart
 
     def stay_apart(self, before: str, token: str) -> bool:
@@ -97,30 +100,43 @@ class Bpe:
                     return False
         return True
 
-    def last_token(self, text: str, end: int, last: list[str], mark: str = "") -> str:
+    def last_token(self, text: str, end: int, last: list[str]) -> str:
         """Last token of the encoding of ``text[:end]``; ``last`` holds those of shorter prefixes."""
-        ids, pairs = self.ids, self.pairs
+        inner, pairs = self.inner, self.pairs
         for start in range(max(0, end - self.longest), end):
-            token = text[start:end] + mark
-            if token in ids:
+            token = text[start:end]
+            if token in inner:
                 apart = pairs.get((last[start], token))
                 if apart is None:
-                    apart = self.remember(last[start], token)
+                    apart = self.remember(pairs, last[start], token, token)
                 if apart:
                     return token
         raise ValueError(f"the vocabulary has no token for {text[:end]!r}")
 
+    def final_stem(self, word: str, last: list[str]) -> str:
+        """The last token of a whole word, without its end mark."""
+        final, pairs = self.final, self.final_pairs
+        for start in range(max(0, len(word) - self.longest), len(word)):
+            stem = word[start:]
+            if stem in final:
+                apart = pairs.get((last[start], stem))
+                if apart is None:
+                    apart = self.remember(pairs, last[start], stem, stem + END)
+                if apart:
+                    return stem
+        raise ValueError(f"the vocabulary has no last token for {word!r}")
+
     # -- the trie
 
-    def encode_words(self, words: list[str]) -> dict[str, list[int]]:
-        """Ids of distinct words (in byte letters), given in order.
+    def encode_words(self, words: list[str]) -> dict[str, bytes]:
+        """Packed ids of distinct words (in byte letters), given in order.
 
         Words in order are their trie in depth-first order: what a word shares
         with the one before is the path from the root to where they part.
         ``last`` is the stack of states along the present path, so the state
         of a shared prefix is computed once.
         """
-        found: dict[str, list[int]] = {}
+        found: dict[str, bytes] = {}
         last, before = [""], ""
         for word in words:
             shared = min(len(before), len(word) - 1)
@@ -129,14 +145,14 @@ class Bpe:
             del last[shared + 1 :]
             for end in range(len(last), len(word)):
                 last.append(self.last_token(word, end, last))
-            token = self.last_token(word, len(word), last, END)
-            ids, end = [self.ids[token]], len(word) - len(token) + len(END)
+            stem = self.final_stem(word, last)
+            ids, end = [self.final[stem]], len(word) - len(stem)
             while end:
                 token = last[end]
-                ids.append(self.ids[token])
+                ids.append(self.inner[token])
                 end -= len(token)
             ids.reverse()
-            found[word], before = ids, word
+            found[word], before = b"".join(ids), word
         return found
 
     # -- texts
@@ -144,16 +160,18 @@ class Bpe:
     def learn(self, chunks: set[str]) -> None:
         """Encode chunks (runs without blanks) not seen before."""
         for c in chunks & self.added.keys():
-            self.chunks[c] = np.array([self.added[c]], "<u4").tobytes()
+            self.chunks[c] = self.added[c]
         split = {c: self.words(c) for c in chunks if c not in self.added}
         coded = self.encode_words(sorted({w for parts in split.values() for w in parts}))
-        packed = {w: np.array(ids, "<u4").tobytes() for w, ids in coded.items()}
-        self.chunks |= {c: b"".join([packed[w] for w in parts]) for c, parts in split.items()}
+        self.chunks |= {c: b"".join([coded[w] for w in parts]) for c, parts in split.items()}
 
     def words(self, run: str) -> list[str]:
-        """The rules' words of a run; letters a to z are one word under every rule."""
-        if run.isascii() and run.isalpha() and run.islower():
-            return [run]
+        """The rules' words of a run; letters a to z are one word, and so is a mark after them."""
+        if run.isascii() and run.islower():
+            if run.isalpha():
+                return [run]
+            if run[-1] in ".,;:!?" and run[:-1].isalpha():
+                return [run[:-1], run[-1]]
         return [w for w, _ in self.pre_tokens(self.normalise(run))]
 
     def runs(self, text: str | None) -> list[str]:
@@ -179,20 +197,34 @@ class Bpe:
         self.learn(new)
         return [b"".join(map(self.chunks.__getitem__, r)) for r in runs]
 
+
+class Tokens:
+    """The tokens of a vocabulary file by id."""
+
+    def __init__(self, path: str) -> None:
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        ids = spec["model"]["vocab"] | {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.by_id = {i: t for t, i in ids.items()}
+
     def decode(self, ids: bytes | None) -> str:
         """Tokens joined by blanks; the vocabulary has no decoder. Unknown ids are passed over."""
-        tokens = map(self.tokens.get, np.frombuffer(ids or b"", "<u4").tolist())
-        return " ".join(t for t in tokens if t is not None)
+        numbers = np.frombuffer(ids or b"", "<u4").tolist()
+        try:
+            return " ".join(map(self.by_id.__getitem__, numbers))
+        except KeyError:
+            return " ".join([self.by_id[i] for i in numbers if i in self.by_id])
 
 
-_loaded: dict[str, Bpe] = {}
+@cache
+def encoder(path: str) -> Bpe:
+    """The vocabulary at ``path``, read once per Python worker."""
+    return Bpe(path)
 
 
-def load(path: str) -> Bpe:
-    """The vocabulary at ``path``, read once per Python worker."""
-    if path not in _loaded:
-        _loaded[path] = Bpe(path)
-    return _loaded[path]
+@cache
+def decoder(path: str) -> Tokens:
+    return Tokens(path)
 
 
 def encode(df: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -204,7 +236,7 @@ def encode(df: DataFrame, path: str, text: str = "text", keep: list[str] | None
     """
 
     def make() -> Callable[[list], list[pa.Array]]:
-        bpe = load(path)
+        bpe = encoder(path)
 
         def compute(texts: list) -> list[pa.Array]:
             ids = bpe.encode(texts)
@@ -220,7 +252,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", keep: list[str] | None =
     """Add ``decoded``, the text of packed ids; null ids decode to the empty text."""
 
     def make() -> Callable[[list], list[pa.Array]]:
-        bpe = load(path)
-        return lambda packed: [pa.array([bpe.decode(i) for i in packed], pa.string())]
+        tokens = decoder(path)
+        return lambda packed: [pa.array([tokens.decode(i) for i in packed], pa.string())]
 
     return with_text_columns(df, ids, make, [T.StructField("decoded", T.StringType())], keep, as_bytes=True)
