@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tareline.llm import bpe
+from tareline.llm import bpe, decontaminate, html_text, jaccard, licenses, quality, sharding, toxicity, warc, winnowing
 
 Query = Callable[[SparkSession, str], DataFrame]
 VOCABULARY = "word_bpe_49k.json"
@@ -30,5 +30,59 @@ def op1_bpe(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {"op1_bpe": op1_bpe}
-SQL: dict[str, str] = {}
+def op2_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    """Toxicity of every document."""
+    return toxicity.toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+def op3_licenses(spark: SparkSession, sf: str) -> DataFrame:
+    """License phrases and templates in every document."""
+    return licenses.scan(table(spark, sf, "documents"))
+
+
+def op4_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    """Components of the documents that share four fifths of their runs of five words."""
+    return jaccard.similar(table(spark, sf, "documents"))
+
+
+def op5_html(spark: SparkSession, sf: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.page_texts(table(spark, sf, "pages"))
+
+
+def op6_winnowing(spark: SparkSession, sf: str) -> DataFrame:
+    """Fingerprints of every document, of its edited text, and their likeness."""
+    return winnowing.fingerprints(table(spark, sf, "documents"))
+
+
+def op7_sharding(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document in one of 24 shards of near equal bytes."""
+    placed = sharding.shard(table(spark, sf, "documents"))
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op8_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    """Benchmark passages in every document."""
+    return decontaminate.report(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+def op9_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """Quality of every document."""
+    return quality.quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+def op10_warc(spark: SparkSession, sf: str) -> DataFrame:
+    """Fixity of every page's record against a replica in which about one record in fifty was damaged."""
+    stored = warc.stored_records(table(spark, sf, "pages"))
+    return warc.audit(stored, warc.damaged(stored, 50))
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (op1_bpe, op2_toxicity, op3_licenses, op4_jaccard, op5_html, op6_winnowing, op7_sharding,
+              op8_decontamination, op9_quality, op10_warc)
+}
+SQL: dict[str, str] = {"op3_licenses": licenses.scan_sql()}

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -44,7 +45,9 @@ WORD = re.compile(r"[^\W\d_]+(?:[0-9@$*!._-]+[^\W\d_]+)+|[^\W_]+")
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 REPEATS = re.compile(r"(.)\1{2,}")
 NEAR = 5
-#: The learned lexicon: documents a word must occur in, log ratio of its rates, and its length at most.
+#: The learned lexicon holds words and stems (first letters, with a star) of longer ones, since insults are inflected:
+#: documents an entry must occur in, log ratio of its rates, number of entries at most.
+STEM = 4
 MIN_DOCS, MIN_LOG_RATIO, MAX_WORDS = 5, 2.5, 5000
 
 
@@ -57,36 +60,39 @@ def features(text: str | None, learned: dict[str, float]) -> list[float]:
     text = text or ""
     words = WORD.findall(text.lower())
     n = max(1, len(words))
-    fixed = masked = odd = you = 0
-    weight, weights, hits, people = 0.0, 0.0, [], []
-    for i, w in enumerate(words):
-        if w in SECOND_PERSON:
-            you += 1
-            people.append(i)
+    fixed = masked = odd = total = 0
+    weight = weights = 0.0
+    hits = set()
+    found = Counter(words)
+    for w, k in found.items():
         clean = w
         if not w.isalpha():
-            odd += 1
+            odd += k
             clean = plain(w)
-        known = learned.get(clean, 0.0)
-        if clean in LEXICON or known:
-            hits.append(i)
-            fixed += clean in LEXICON
-            masked += clean != w
+        known = learned.get(clean, 0.0) or learned.get(clean[:STEM] + "*", 0.0) * (len(clean) > STEM)
+        if known or clean in LEXICON:
+            hits.add(w)
+            total += k
+            fixed += k * (clean in LEXICON)
+            masked += k * (clean != w)
             weight = max(weight, known)
-            weights += known
+            weights += k * known
+    people = SECOND_PERSON & found.keys()
+    you = sum(found[w] for w in people)
     near = 0
     if hits and people:
-        at = np.searchsorted(people, hits)
-        where = np.array([-NEAR - 1 - len(words), *people, 2 * len(words) + NEAR + 1])
-        near = int(((where[at + 1] - hits <= NEAR) | (hits - where[at] <= NEAR)).sum())
+        of_hits = np.array([i for i, w in enumerate(words) if w in hits])
+        of_people = np.array([-n - NEAR - 1, *(i for i, w in enumerate(words) if w in people), 2 * n + NEAR + 1])
+        at = np.searchsorted(of_people, of_hits)
+        near = int(((of_people[at] - of_hits <= NEAR) | (of_hits - of_people[at - 1] <= NEAR)).sum())
     counts = np.bincount(np.frombuffer(text.encode(), np.uint8), minlength=128)
     size = max(1, int(counts.sum()))
     letters = max(1, int(counts[65:91].sum() + counts[97:123].sum()))
     marks = int(counts[33] + counts[63])
     signs = int(counts[33:48].sum() + counts[58:65].sum() + counts[91:97].sum() + counts[123:127].sum())
     return [
-        math.log1p(len(words)), 100 * fixed / n, math.log1p(fixed), 100 * len(hits) / n, math.log1p(len(hits)),
-        weight, weights / n, near / max(1, len(hits)), 100 * you / n,
+        math.log1p(len(words)), 100 * fixed / n, math.log1p(fixed), 100 * total / n, math.log1p(total),
+        weight, weights / n, near / max(1, total), 100 * you / n,
         float(counts[65:91].sum()) / letters, marks / size, (signs - marks) / size, odd / n, 100 * masked / n,
     ]
 
@@ -103,12 +109,14 @@ class ToxicityModel:
 
 
 def learn_lexicon(sample: DataFrame) -> dict[str, float]:
-    """Words that toxic documents hold far more often than others, with the log ratio of the rates."""
+    """Words and stems that toxic documents hold far more often than others, with the log ratio of the rates."""
     totals = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     bad, good = totals.get(1.0, 0), totals.get(0.0, 0)
     if not bad or not good:
         return {}
-    words = sample.select("y", F.explode(F.array_distinct(F.expr(r"regexp_extract_all(lower(text), '\\p{L}{3,}', 0)"))).alias("w"))
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}{3,})")))
+    stems = F.transform(F.filter(words, lambda w: F.length(w) > STEM), lambda w: F.concat(F.substring(w, 1, STEM), F.lit("*")))
+    words = sample.select("y", F.explode(F.array_union(words, stems)).alias("w"))
     ratio = F.log((F.col("a") + 0.5) / (bad + 1)) - F.log((F.col("n") - F.col("a") + 0.5) / (good + 1))
     rows = (
         words.groupBy("w").agg(F.sum("y").alias("a"), F.count("*").alias("n")).where(F.col("a") >= MIN_DOCS)

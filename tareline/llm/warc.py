@@ -11,8 +11,6 @@ parts cost one comparison.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,6 +51,11 @@ def records(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     )
 
 
+def stored_records(pages: DataFrame) -> DataFrame:
+    """The records written once to the shared folder, so that offsets are the same whenever they are read."""
+    return materialise(records(pages), "warc")
+
+
 def leaves(recs: DataFrame) -> DataFrame:
     """Node of each record: its digest and the range of bytes it covers."""
     return recs.select(
@@ -158,14 +161,3 @@ def damaged(recs: DataFrame, one_in: int) -> DataFrame:
     byte = F.when(F.expr("substring(record, cast(length div 2 as int) + 1, 1)") == F.lit("x").cast("binary"), F.lit("y")).otherwise(F.lit("x"))
     changed = F.concat(F.expr("substring(record, 1, cast(length div 2 as int))"), byte.cast("binary"), rest)
     return recs.withColumn("record", F.when(chosen & (at >= 0), changed).otherwise(F.col("record")))
-
-
-def write_files(recs: DataFrame, path: str) -> None:
-    """One folder per WARC file under ``path`` with its records in order of offset, as Parquet rows."""
-    recs.repartition("file").sortWithinPartitions("file", "number").write.partitionBy("file").parquet(path)
-
-
-def iterate(rows: Iterator) -> Iterator[bytes]:
-    """The bytes of records in order, as they stand in a WARC file."""
-    for r in sorted(rows, key=lambda r: r["number"]):
-        yield bytes(r["record"])
