@@ -29,7 +29,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -230,12 +230,15 @@ def candidates(docs: DataFrame, heads: DataFrame, classes: DataFrame) -> tuple[D
     shared_again = materialise(shared_elements(whole), "shared_again")
     pairs = pairs.union(meeting(shared_again, lambda n: F.lit(0).cast("long")))
 
-    # Near copies: hot for four fifths. They meet the first of each bucket here, others later if need be.
+    # Near copies: hot for four fifths. They meet the first of each bucket here, others later if need be.  Their
+    # prefixes are taken in order of rarity, so that a passage that many texts share comes last.
     copies = hot_counts(shared_again).where(F.col("hot") * 100 >= F.col("n") * LINK).select("id")
-    prefix = again.join(copies, "id", "left_semi").select(
-        "id", "n", F.explode(F.slice("items", 1, (F.floor(F.col("n") / 5) + 1).cast("int"))).alias("h")
+    own = Window.partitionBy("id")
+    alone = F.col("n") - F.count("*").over(own)  # elements that nobody else holds come first
+    ranked = shared_again.join(copies, "id", "left_semi").select(
+        "id", "n", "h", (alone + F.row_number().over(own.orderBy("df", "h"))).alias("rank")
     )
-    prefix = materialise(prefix, "prefix")
+    prefix = materialise(ranked.where(F.col("rank") <= F.floor(F.col("n") / 5) + 1).select("id", "n", "h"), "prefix")
     first = prefix.groupBy("h").agg(F.min("id").alias("a"))
     stars = prefix.join(first, "h").where("a < id").select("a", F.col("id").alias("b"))
     return pairs.union(stars).distinct(), prefix
