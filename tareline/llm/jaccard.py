@@ -226,7 +226,7 @@ def candidates(docs: DataFrame, heads: DataFrame, classes: DataFrame) -> tuple[D
     # Sets with many hot elements meet again on all of their elements.
     many = hot_counts(shared).where(F.col("hot") >= least_shared(smaller(F.col("n")))).select(F.col("id").alias("group"))
     again = materialise(sets_of(docs, member.join(many, "group", "left_semi").select("id").distinct()), "again")
-    whole = again.select("id", "n", F.lit(0).cast("long").alias("last"), F.lit(1).cast("long").alias("weight"), F.explode("items").alias("h"))
+    whole = again.repartition("id").select("id", "n", F.lit(0).cast("long").alias("last"), F.lit(1).cast("long").alias("weight"), F.explode("items").alias("h"))
     shared_again = materialise(shared_elements(whole), "shared_again")
     pairs = pairs.union(meeting(shared_again, lambda n: F.lit(0).cast("long")))
 
