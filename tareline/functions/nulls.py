@@ -29,6 +29,11 @@ def not_in(c: Column | str, values: Iterable) -> Column:
     return col(c).isNull() | ~col(c).isin([v for v in values if v is not None])
 
 
+def quoted(name: str) -> str:
+    """A column name as it is, dots included."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def paste(*parts: Column | str, sep: str = " ") -> Column:
     """Join text parts; a missing part is written as ``NA``."""
     return F.concat_ws(sep, *[F.coalesce(col(p).cast("string"), F.lit("NA")) for p in parts])

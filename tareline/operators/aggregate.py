@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from tareline.functions.measure import exact_mean, ratio, rounded
 from tareline.functions.nulls import max_of, min_of, paste
 from tareline.operators.joins import attach_group_stats, semi_keys
-from tareline.operators.reshape import unpivot_measures
 
 
 def range_summary(
@@ -130,23 +129,26 @@ def share_by_pattern(df: DataFrame, text: str, value: str, patterns: Sequence[st
     """Share of the total held by rows matching each pattern, in one scan.
 
     Quantities are summed per text first, so patterns are tried once per
-    different text and not once per row.
+    different text and not once per row.  Shares of a zero total are missing.
     """
     df = df.groupBy(text).agg(F.sum(value).alias(value))
     total = F.sum(value).alias("total")
     parts = [F.sum(F.when(F.col(text).rlike(p), F.col(value)).otherwise(F.lit(0))).alias(f"p{i}")
              for i, p in enumerate(patterns)]
     sums = df.agg(total, *parts)
-    shares = sums.select(*[(F.col(f"p{i}") / F.col("total")).alias(p) for i, p in enumerate(patterns)])
-    return unpivot_measures(shares, list(patterns), "pattern", "share")
+    shares = [F.struct(F.lit(p).alias("pattern"), ratio(f"p{i}", "total").alias("share")) for i, p in enumerate(patterns)]
+    return sums.select(F.inline(F.array(*shares)))
 
 
-def coverage_ratio(landed: DataFrame, held: DataFrame, keys: Sequence[str], member: str) -> DataFrame:
+def coverage_ratio(landed: DataFrame, held: DataFrame, keys: Sequence[str], member: str,
+                   lists: tuple[str, str] | None = None) -> DataFrame:
     """Share of the members landing a product that also hold a factor for it.
 
     Both sides are stacked with a tag and counted per (key, member), so there
     is neither a join nor a member list, and any repetition is combined before
-    the shuffle.  Keys only held are left out.
+    the shuffle.  Keys only held are left out.  ``lists`` names two columns for
+    the sorted lists of members landing, and of members holding a factor; a
+    cell is as long as the member vocabulary at most.
     """
     def tagged(df: DataFrame, landed: int, held: int) -> DataFrame:
         return df.select(*keys, member, F.lit(landed).alias("landed"), F.lit(held).alias("held"))
@@ -157,6 +159,8 @@ def coverage_ratio(landed: DataFrame, held: DataFrame, keys: Sequence[str], memb
         F.sum("landed").alias("n_countries_landing"),
         F.sum("held").alias("n_CF"),
         F.sum(F.col("landed") * F.col("held")).alias("n_CF_with_landings"),
+        *[F.array_join(F.array_sort(F.collect_set(F.when(F.col(side) == 1, F.col(member).cast("string")))), ", ").alias(name)
+          for side, name in zip(("landed", "held"), lists or ())],
     ).where("n_countries_landing > 0")
     return counts.withColumn("proportion_have_CF", ratio("n_CF_with_landings", "n_countries_landing"))
 

@@ -12,16 +12,18 @@ from tareline.functions.text import name_key
 from tareline.operators.joins import join_on
 
 
-def decode_codes(df: DataFrame, dictionaries: Mapping[str, DataFrame], code_suffix: str | None = None) -> DataFrame:
+def decode_codes(df: DataFrame, dictionaries: Mapping[str, DataFrame], code_suffix: str | None = None,
+                 strict: bool = True) -> DataFrame:
     """Replace codes by labels column by column; unknown codes stay.
 
-    A dictionary has columns ``code`` and ``label``, one row per code (see
-    ``check_unique``).  ``code_suffix`` keeps the
-    code beside the label, which matters where several codes share one label.
+    A dictionary has columns ``code`` and ``label``.  Repeated entries count
+    once; a code with two labels is an error, or left out with ``strict=False``.
+    ``code_suffix`` keeps the code beside the label, which matters where
+    several codes share one label.
     """
     order = df.columns
     for column, dictionary in dictionaries.items():
-        labels = dictionary.select("code", F.col("label").alias("__label"))
+        labels = unique_lookup(dictionary.select("code", F.col("label").alias("__label")), "code", "__label", strict)
         df = join_on(df, labels, {column: "code"})
         if code_suffix:
             df = df.withColumn(column + code_suffix, F.col(column))
@@ -38,7 +40,7 @@ def unique_lookup(table: DataFrame, key: str, value: str, strict: bool = True) -
     """
     grouped = (table.where(F.col(key).isNotNull() & F.col(value).isNotNull())
                .groupBy(key).agg(F.min(value).alias("__low"), F.max(value).alias(value)))
-    single = F.col("__low") == F.col(value)
+    single = F.col("__low").eqNullSafe(F.col(value))
     if not strict:
         return grouped.where(single).select(key, value)
     message = F.concat(F.lit("ambiguous lookup entry: "), F.col(key).cast("string"))
@@ -73,14 +75,17 @@ def resolve_common_names(df: DataFrame, common: str, name: str, table: DataFrame
 
 
 def resolve_country(df: DataFrame, name: str, countries: DataFrame, into: Mapping[str, str] | None = None,
-                    key: str = "name_key") -> DataFrame:
+                    key: str = "name_key", strict: bool = True) -> DataFrame:
     """Add codes and continent by country name; unknown names stay missing.
 
-    ``countries`` holds one row per spelling, aliases and overrides included,
-    under a lower-case ``name_key``.
+    ``countries`` holds a row per spelling, aliases and overrides included,
+    under a lower-case ``name_key``.  Repeated rows count once; a spelling with
+    different codes is an error, or left out with ``strict=False``.
     """
     into = dict(into or {"iso3c": "iso3c", "iso2c": "iso2c", "continent": "continent"})
-    table = countries.select(F.col(key).alias("__name_key"), *[F.col(c).alias(n) for c, n in into.items()])
+    codes = F.struct(*[F.col(c).alias(n) for c, n in into.items()]).alias("__codes")
+    table = unique_lookup(countries.select(F.col(key).alias("__name_key"), codes), "__name_key", "__codes", strict)
+    table = table.select("__name_key", *[F.col(f"__codes.{n}").alias(n) for n in into.values()])
     keyed = df.withColumn("__name", name_key(name))
     return join_on(keyed, table, {"__name": "__name_key"}).drop("__name")
 

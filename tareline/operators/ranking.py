@@ -11,11 +11,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tareline.functions.nulls import is_in
+from tareline.functions.measure import ratio
+from tareline.functions.nulls import is_in, quoted
 from tareline.operators.joins import join_on, semi_keys
 from tareline.session import materialise
 
 
+#: Rows of a chunk of a running total, about.
+CHUNK_ROWS = 2_000_000
+
+
 def max_rows_per_group(df: DataFrame, keys: Sequence[str], value: str, null_safe: bool = True) -> DataFrame:
     """Rows holding the largest value of their group, ties kept.
 
@@ -43,6 +48,7 @@ def running_total(
     keys: Sequence[str] = (),
     out: str = "running_total",
     total: str = "total",
+    chunks: int | None = None,
 ) -> DataFrame:
     """Running and full total of ``value`` per group, in a unique row order.
 
@@ -50,14 +56,18 @@ def running_total(
        group spans several.  The numbered table is stored: both later passes
        must see the same chunks, whatever adaptive execution or a lost executor
        does.
-    2. Add up each chunk; a group has at most as many chunks as there are
-       shuffle partitions, so the window over chunk totals is small.
+    2. Add up each chunk; there are ``chunks`` of them, by default one per
+       ``CHUNK_ROWS`` rows and one per shuffle partition at least, so a chunk is
+       small whatever the input and the window over chunk totals is too.
     3. Join the total of earlier chunks back and run the window inside chunks.
 
     ``order`` must be unique inside a group.  Missing values count as zero.
     """
     keys = list(keys)
-    ranged = df.repartitionByRange(*[F.col(k).asc() for k in keys], *order)
+    if chunks is None:
+        least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        chunks = max(least, -(-df.count() // CHUNK_ROWS))
+    ranged = df.repartitionByRange(chunks, *[F.col(k).asc() for k in keys], *order)
     stored = materialise(ranged.withColumn("__chunk", F.spark_partition_id()), "running")
 
     sums = stored.groupBy(*keys, "__chunk").agg(F.sum(value).alias("__sum"))
@@ -85,11 +95,11 @@ def row_index(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out:
 
 
 def cumulative_share(df: DataFrame, key: str, value: str) -> DataFrame:
-    """Total per key, running total in descending order and its share of all."""
+    """Total per key, running total in descending order and its share of all (missing if all is zero)."""
     totals = df.groupBy(key).agg(F.coalesce(F.sum(value), F.lit(0)).alias("total"))
     order = [F.col("total").desc(), F.col(key).asc_nulls_last()]
     running = running_total(totals, order, "total", out="cumulative_sum", total="__all")
-    return running.withColumn("proportion", F.col("cumulative_sum") / F.col("__all")).drop("__all")
+    return running.withColumn("proportion", ratio("cumulative_sum", "__all")).drop("__all")
 
 
 def order_by_ranking(df: DataFrame, ranking: DataFrame, keys: Sequence[str], rank: str = "rank") -> DataFrame:
@@ -137,17 +147,17 @@ def prefer_source(df: DataFrame, keys: Sequence[str], source: Column | str, pref
 
 def only_unambiguous(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows whose key occurs once."""
-    row = F.struct(*df.columns)
-    return (df.groupBy(*[F.col(k).alias(f"__{k}") for k in keys])
+    row = F.struct(*map(quoted, df.columns))
+    return (df.groupBy(*[F.col(quoted(k)).alias(f"__key{i}") for i, k in enumerate(keys)])
             .agg(F.count("*").alias("__n"), F.any_value(row).alias("__row"))
             .where("__n = 1").select("__row.*"))
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """First row per key in a given order, missing last, by one aggregate."""
-    rank = F.struct(*[part for c in order for part in (F.col(c).isNull(), F.col(c))])
-    return (df.groupBy(*[F.col(k).alias(f"__{k}") for k in keys])
-            .agg(F.min_by(F.struct(*df.columns), rank).alias("__row"))
+    rank = F.struct(*[part for c in order for part in (F.col(quoted(c)).isNull(), F.col(quoted(c)))])
+    return (df.groupBy(*[F.col(quoted(k)).alias(f"__key{i}") for i, k in enumerate(keys)])
+            .agg(F.min_by(F.struct(*map(quoted, df.columns)), rank).alias("__row"))
             .select("__row.*"))
 
 

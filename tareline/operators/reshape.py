@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tareline.functions.flags import flag_letters, flagged_value
-from tareline.operators.joins import join_on
+from tareline.functions.nulls import quoted
+from tareline.operators.joins import join_on, semi_keys
 from tareline.session import materialise
 
 YEAR_COLUMN = r"^[12]\d{3}$"
@@ -35,6 +36,31 @@ def split_pair(df: DataFrame, column: str, into: tuple[str, str], sep: str = " -
         *[n for c in df.columns for n in (into if c == column else (c,))])
 
 
+def pack_years(df: DataFrame, pattern: str = YEAR_COLUMN, into: str = "__cells") -> DataFrame:
+    """The year columns of each row as one map from year to cell text.
+
+    Tables with different year columns have one schema afterwards, so they can
+    be stacked and decoded once.
+    """
+    years = [c for c in df.columns if re.match(pattern, c)]
+    keys = [quoted(c) for c in df.columns if c not in years]
+    cells = F.map_from_arrays(
+        F.array(*[F.lit(y) for y in years]).cast("array<string>"),
+        F.array(*[F.col(quoted(y)).cast("string") for y in years]).cast("array<string>"),
+    )
+    return df.select(*keys, cells.alias(into))
+
+
+def unpack_years(df: DataFrame, value: str = "value", flag: str | None = "flag", cells: str = "__cells") -> DataFrame:
+    """One row per key and year of packed cells, keeping missing cells."""
+    keys = [quoted(c) for c in df.columns if c != cells]
+    long = df.select(*keys, F.explode(cells).alias("year", "__cell"))
+    parsed = {value: flagged_value("__cell")}
+    if flag:
+        parsed[flag] = flag_letters("__cell")
+    return long.withColumns(parsed | {"year": F.col("year").cast("int")}).drop("__cell")
+
+
 def unpivot_years(
     df: DataFrame,
     pattern: str = YEAR_COLUMN,
@@ -46,14 +72,7 @@ def unpivot_years(
     Cells are read as text and parsed here, so files whose year columns would
     be typed differently behave alike.
     """
-    years = [c for c in df.columns if re.match(pattern, c)]
-    keys = [c for c in df.columns if c not in years]
-    text = df.select(*keys, *[F.col(y).cast("string").alias(y) for y in years])
-    long = text.unpivot(keys, years, "year", "__cell")
-    parsed = {value: flagged_value("__cell")}
-    if flag:
-        parsed[flag] = flag_letters("__cell")
-    return long.withColumns(parsed | {"year": F.col("year").cast("int")}).drop("__cell")
+    return unpack_years(pack_years(df, pattern), value, flag)
 
 
 def unpivot_measures(
@@ -66,7 +85,7 @@ def unpivot_measures(
     if isinstance(measures, str):
         measures = [c for c in df.columns if re.search(measures, c)]
     keys = [c for c in df.columns if c not in measures]
-    return df.unpivot(keys, list(measures), name, value)
+    return df.unpivot([quoted(k) for k in keys], [quoted(m) for m in measures], name, value)
 
 
 def lift_category(
@@ -95,29 +114,26 @@ def complete_grid(
     a: str,
     b: str,
     fill: Mapping[str, object] | None = None,
-    literal_limit: int = 5000,
+    only: DataFrame | None = None,
+    salts: int = 256,
 ) -> DataFrame:
     """Every combination of the occurring ``a`` and ``b`` values, joined to ``df``.
 
     Absent cells are missing, or ``fill``.  The result is by definition the
-    product of two key lists; facts never take part in it.  A short ``b`` list
-    (checked by reading at most ``literal_limit + 1`` values) is expanded next
-    to each ``a`` without a shuffle.  A longer list is copied once per salt and
-    meets the ``a`` values of that salt, so the work is spread over the salts.
-    ``df`` is read three times and therefore stored first.
+    product of two key lists; facts never take part in it.  ``only``, a table
+    with column ``a``, restricts the first list before the grid is built.  The
+    ``b`` list is copied once per salt and meets the ``a`` values of that salt,
+    so the work is spread over the salts.  ``df`` is read three times and
+    therefore stored first.
     """
     df = materialise(df, "grid")
-    left, right = df.select(a).distinct(), df.select(b).distinct()
-    short = [r[0] for r in right.limit(literal_limit + 1).collect()]
-    if len(short) <= literal_limit:
-        kind = df.schema[b].dataType
-        values = F.array(*[F.lit(v).cast(kind) for v in short]) if short else F.array().cast(f"array<{kind.simpleString()}>")
-        grid = left.select(a, F.explode(values).alias(b))
+    if only is not None:
+        left = semi_keys(df, only.select(a).distinct(), [a]).select(a).distinct()
     else:
-        salts = 256
-        spread = left.withColumn("__salt", F.pmod(F.hash(a), F.lit(salts)))
-        copied = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        grid = spread.join(copied, "__salt").drop("__salt")
+        left = df.select(a).distinct()
+    spread = left.withColumn("__salt", F.pmod(F.hash(a), F.lit(salts)))
+    copied = df.select(b).distinct().withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    grid = spread.join(copied, "__salt").drop("__salt")
     full = join_on(grid, df, [a, b], "left", null_safe=True)
     return full.na.fill(dict(fill)) if fill else full
 
@@ -132,7 +148,8 @@ def densify_years(
 ) -> DataFrame:
     """Complete the years of each key, zero-filled, and sum the measures.
 
-    The span is the key's own first to last year unless given.  Zero rows are
+    The span is the key's own first to last year unless given; rows outside a
+    given span are left out of the series, as its definition asks.  Zero rows are
     appended and summed with the data: one map-side combined shuffle, no join.
     ``step`` is the distance of a sequence of dates.
     """

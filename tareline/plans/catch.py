@@ -11,7 +11,7 @@ the map side, and the joins see only the small annual panel.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,14 +36,28 @@ def annual_panel(landings: DataFrame, keys: Iterable[str], value: str = "value",
     return landings.groupBy(*keys, year).agg(F.sum(value).alias(out))
 
 
+def restricted(landings: DataFrame, factors: DataFrame, members: DataFrame | None, sources: Sequence[str] | None,
+               taxa: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Landings of member countries and listed taxa; factors of the named authorities."""
+    if members is not None:
+        landings = member_filter(landings, "iso3c", members)
+    if taxa is not None:
+        landings = semi_keys(landings, taxa.select("scientific_name").distinct(), ["scientific_name"])
+    if sources is not None:
+        factors = factors.where(is_in("reference", sources))
+    return landings, factors
+
+
 def min_max_by_product(landings: DataFrame, factors: DataFrame, members: DataFrame | None = None,
-                       first_year: int | None = None, na: str = "skip") -> DataFrame:
+                       first_year: int | None = None, na: str = "skip", sources: Sequence[str] | None = None,
+                       taxa: DataFrame | None = None) -> DataFrame:
     """Catch under the smallest and largest factor, per product and year.
 
     ``na="propagate"`` treats a product with any missing factor as uncovered.
+    ``sources`` restricts the factors to those authorities, ``taxa`` the
+    landings to a list of taxa.
     """
-    if members is not None:
-        landings = member_filter(landings, "iso3c", members)
+    landings, factors = restricted(landings, factors, members, sources, taxa)
     if first_year is not None:
         landings = landings.where(F.col("year") >= first_year)
     panel = annual_panel(landings, PRODUCT, out="year_landings")
@@ -63,13 +77,16 @@ def catch_min_max_series(by_product: DataFrame) -> DataFrame:
 
 
 def catch_national_vs_wide(landings: DataFrame, factors: DataFrame, span: tuple[int, int] | None = None,
-                           digits: int | None = None) -> DataFrame:
+                           digits: int | None = None, members: DataFrame | None = None,
+                           sources: Sequence[str] | None = None, taxa: DataFrame | None = None) -> DataFrame:
     """Catch by national and by bloc-wide factor per vessel country, taxon, year.
 
     Only presentations with both factors are compared, so a plain inner join
     restricts to the common ones; a (country, taxon) pair without any has no
-    rows.  Missing years of a pair are zero.
+    rows.  Missing years of a pair are zero; rows outside a given ``span`` are
+    left out.  Members, sources and taxa restrict as in ``min_max_by_product``.
     """
+    landings, factors = restricted(landings, factors, members, sources, taxa)
     own = consolidate_factors(factors, ["scientific_name", "landings_code", "iso3c"], digits=digits)
     own = materialise(own, "factors")
     wide = (own.where(F.col("iso3c") == vocab.WIDE_CODE)

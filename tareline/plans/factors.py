@@ -89,8 +89,13 @@ def compile_factors(
     synonyms: DataFrame,
     countries: DataFrame,
     members: DataFrame,
+    strict: bool = True,
 ) -> DataFrame:
-    """All factor sources as one harmonised table, duplicates resolved by authority."""
+    """All factor sources as one harmonised table, duplicates resolved by authority.
+
+    With ``strict=False`` ambiguous synonyms and country spellings are left out
+    instead of ending the run.
+    """
     coded = union_sources(national, third_country, allow_missing=True)
     official = coded.select(*[F.col("factor").alias(c) if c == "conversion_factor" else F.col(c) for c in CODED])
     official = official.withColumns({
@@ -98,14 +103,14 @@ def compile_factors(
         "presentation": recode("presentation", vocab.PRESENTATIONS, vocab.UNKNOWN),
     }).where(not_in("note", vocab.DEFERRING_NOTES) & (F.col("country") != ""))
     codes = {"iso3c": "iso3c", "iso2c": "iso2c"}
-    official = resolve_country(official, "country", countries, codes).withColumn("continent", F.lit("Europe"))
+    official = resolve_country(official, "country", countries, codes, strict=strict).withColumn("continent", F.lit("Europe"))
 
     compiled = curated_general(general_source(general), curated)
     display = {**codes, "continent": "continent", "country": "__country"}
-    compiled = resolve_country(compiled, "country", countries, display)
+    compiled = resolve_country(compiled, "country", countries, display, strict=strict)
     compiled = compiled.withColumn("country", F.coalesce("__country", F.initcap(F.lower("country")))).drop("__country")
 
-    named = resolve_synonyms(union_sources(compiled, official), "scientific_name", synonyms)
+    named = resolve_synonyms(union_sources(compiled, official), "scientific_name", synonyms, strict=strict)
     labelled = named.withColumns({
         "scientific_name": first_dot_removed(sentence_case("scientific_name")),
         "landings_code": paste("state", "presentation", sep=", "),

@@ -2,27 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tareline.functions.measure import exact_mean, rounded
+from tareline.functions.nulls import not_in
 from tareline.operators.aggregate import consolidate_factors
 from tareline.operators.filters import member_filter
 from tareline.operators.joins import apply_factor, join_on
 from tareline.operators.reshape import unpivot_measures
 
+def code_prefix(code: str, length: int | None) -> Column:
+    """The first characters of a product code without its spaces, or the code as it is."""
+    return F.col(code) if length is None else F.substring(F.replace(F.col(code), F.lit(" "), F.lit("")), 1, length)
+
+
 MEASURES = {"q_by_exporter": "cf_exporter", "q_by_max": "max_cf_by_code",
             "q_by_min": "min_cf_by_code", "q_by_official": "cf_official"}
 
 
 def trade_live_weight(flows: DataFrame, factors: DataFrame, official: DataFrame, members: DataFrame,
-                      digits: int | None = None) -> DataFrame:
+                      digits: int | None = None, code_length: int | None = None,
+                      exclude: Sequence[str] = ()) -> DataFrame:
     """Live weight of imports under four factors, per year, product and exporter.
 
     ``flows``: year, product, exporter, importer, q.  ``factors``: product,
     country, factor.  ``official``: product, factor.  Long form with the traded
     quantity as ``product form`` and the estimates as ``nominal weight``.
+
+    With ``code_length`` official factors meet flows on so many first characters
+    of both codes (spaces removed), so codes of different length match; several
+    official codes under one prefix are averaged.  ``exclude`` names taxa whose
+    factors take no part (``factors`` then has a column ``scientific_name``).
     """
+    if exclude:
+        factors = factors.where(not_in("scientific_name", exclude))
+    official = official.withColumn("__code", code_prefix("product", code_length))
     keys = ["year", "product", "exporter"]
     traded = member_filter(flows, "importer", members).groupBy(*keys).agg(F.sum("q").alias("product_q"))
     by_code = factors.groupBy("product").agg(
@@ -30,10 +47,11 @@ def trade_live_weight(flows: DataFrame, factors: DataFrame, official: DataFrame,
     own = consolidate_factors(factors, ["product", "country"], "factor", digits=digits)
     own = own.withColumnRenamed("factor", "cf_exporter")
     mean = exact_mean("factor") if digits is None else rounded(exact_mean("factor"), digits)
-    posted = official.groupBy("product").agg(mean.alias("cf_official"))
+    posted = official.groupBy("__code").agg(mean.alias("cf_official"))
 
     matched = join_on(traded, own, {"product": "product", "exporter": "country"})
-    matched = join_on(join_on(matched, by_code, ["product"]), posted, ["product"])
+    matched = join_on(matched, by_code, ["product"]).withColumn("__code", code_prefix("product", code_length))
+    matched = join_on(matched, posted, ["__code"])
     weights = apply_factor(matched, "product_q", MEASURES).select(*keys, "product_q", *MEASURES)
     long = unpivot_measures(weights, ["product_q", *MEASURES])
     is_product = F.col("calculation") == "product_q"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tareline import vocab
 from tareline.functions.recode import recode
 from tareline.plans import catch, coverage, factors as factor_jobs, trade
 from tareline.plans.landings import clean_catch, clean_landings, with_countries
@@ -161,9 +162,10 @@ def classified(spark: SparkSession, sf: str) -> DataFrame:
     taxon = F.concat_ws(" ", "p_type", "p_brand")
     common = part.select(F.concat_ws(" ", "p_brand", "p_name").alias("common_name"), taxon.alias("scientific_name"))
     known = part.select(F.lower(F.concat(F.lit("MEDIUM "), "p_brand")).alias("taxon"))
-    kinds = part.where("p_type <> 'SMALL'").select("p_type", "p_brand").distinct()
+    kinds = part.select("p_type", "p_brand").distinct()
     named = kinds.join(table(spark, sf, "nation"), F.expr("p_brand = concat('Brand#', n_nationkey)"))
-    synonyms = named.select(taxon.alias("synonym"), F.col("n_name").alias("accepted"), F.lit("synonym").alias("status"))
+    status = F.when(F.col("p_type") == "SMALL", "provisional").otherwise("synonym")
+    synonyms = named.select(taxon.alias("synonym"), F.col("n_name").alias("accepted"), status.alias("status"))
     return factor_jobs.classify_products(general, common, known, synonyms)
 
 
@@ -415,6 +417,9 @@ def min_max_products(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(by_product, "year_catch_min", "year_catch_max")
 
 
+ALL_BUT_RED = ["blue", "cold", "hot", "large", "new", "old", "small"]
+
+
 @query("catch_min_max_series", sql("lv fv", """
     SELECT scientific_name, year, round(sum(landings * min_cf), 4) AS year_total_catch_min,
            round(sum(landings * max_cf), 4) AS year_total_catch_max,
@@ -426,8 +431,8 @@ def min_max_products(spark: SparkSession, sf: str) -> DataFrame:
          USING (scientific_name, presentation)
     GROUP BY ALL"""))
 def min_max_series(spark: SparkSession, sf: str) -> DataFrame:
-    held = factors(spark, sf).where("reference <> 'red'")
-    series = catch.catch_min_max_series(catch.min_max_by_product(landings(spark, sf), held))
+    by_product = catch.min_max_by_product(landings(spark, sf), factors(spark, sf), sources=ALL_BUT_RED)
+    series = catch.catch_min_max_series(by_product)
     return rounded(series, "year_total_catch_min", "year_total_catch_max", "difference")
 
 
@@ -588,24 +593,29 @@ SQL_HELD = """
     grid AS (SELECT * FROM (SELECT DISTINCT scientific_name FROM landed) CROSS JOIN (SELECT DISTINCT presentation FROM landed))"""
 
 
+SOURCES = ["red", "blue", "old"]
+
+
 def held_and_landed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Finer presentations, so that some are never landed, and factors of three sources."""
-    held = factors(spark, sf, fine=True).where(F.col("reference").isin("red", "blue", "old"))
-    return landings(spark, sf, fine=True), held
+    """Finer presentations, so that some are never landed; the jobs take factors of three sources."""
+    return landings(spark, sf, fine=True), factors(spark, sf, fine=True)
 
 
 @query("coverage_grid", sql("", """
     SELECT scientific_name, presentation, n_countries_landing,
            CASE WHEN n_countries_landing IS NOT NULL THEN coalesce(n_held, 0) END AS n_CF, n_CF_with_landings,
-           n_CF_with_landings / n_countries_landing AS proportion_have_CF
+           n_CF_with_landings / n_countries_landing AS proportion_have_CF, countries_landing,
+           CASE WHEN n_countries_landing IS NOT NULL THEN coalesce(listed, '') END AS "countries_with_CF"
     FROM grid LEFT JOIN (
-        SELECT scientific_name, presentation, count(*) AS n_countries_landing, count(h.iso3c) AS n_CF_with_landings
+        SELECT scientific_name, presentation, count(*) AS n_countries_landing, count(h.iso3c) AS n_CF_with_landings,
+               string_agg(landed.iso3c, ', ' ORDER BY landed.iso3c) AS countries_landing
         FROM landed LEFT JOIN (SELECT DISTINCT * FROM held) h USING (scientific_name, presentation, iso3c)
         GROUP BY scientific_name, presentation) USING (scientific_name, presentation)
-    LEFT JOIN (SELECT scientific_name, presentation, count(DISTINCT iso3c) AS n_held FROM held GROUP BY ALL)
+    LEFT JOIN (SELECT scientific_name, presentation, count(DISTINCT iso3c) AS n_held,
+                      string_agg(DISTINCT iso3c, ', ' ORDER BY iso3c) AS listed FROM held GROUP BY ALL)
          USING (scientific_name, presentation)""", SQL_HELD))
 def coverage_cells(spark: SparkSession, sf: str) -> DataFrame:
-    return coverage.coverage_grid(*held_and_landed(spark, sf))
+    return coverage.coverage_grid(*held_and_landed(spark, sf), sources=SOURCES)
 
 
 SQL_STATUS = SQL_HELD + """,
@@ -622,21 +632,21 @@ SQL_STATUS = SQL_HELD + """,
 
 @query("availability_grid", sql("", "SELECT * FROM status", SQL_STATUS))
 def availability(spark: SparkSession, sf: str) -> DataFrame:
-    return coverage.availability_grid(*held_and_landed(spark, sf))
+    return coverage.availability_grid(*held_and_landed(spark, sf), sources=SOURCES)
 
 
 @query("availability_counts", sql("", """
     SELECT count(*) FILTER (any_CF = 'not landed') AS not_landed, count(*) FILTER (any_CF = 'no') AS landed_no_factor,
            count(*) FILTER (any_CF = 'yes') AS landed_with_factor, count(*) AS cells FROM status""", SQL_STATUS))
 def availability_totals(spark: SparkSession, sf: str) -> DataFrame:
-    return coverage.availability_counts(coverage.availability_grid(*held_and_landed(spark, sf)))
+    return coverage.availability_totals(*held_and_landed(spark, sf), sources=SOURCES)
 
 
 @query("missing_factors", sql("", """
     SELECT DISTINCT scientific_name, presentation FROM landed
     WHERE (scientific_name, presentation) NOT IN (SELECT (scientific_name, presentation) FROM held)""", SQL_HELD))
 def without_factor(spark: SparkSession, sf: str) -> DataFrame:
-    return coverage.missing_factors(*held_and_landed(spark, sf))
+    return coverage.missing_factors(*held_and_landed(spark, sf), sources=SOURCES)
 
 
 SQL_MEMBER_HELD = """
@@ -658,13 +668,16 @@ def fine_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, Dat
 @query("coverage_grid_of_members", sql("", """
     SELECT scientific_name, presentation, n_countries_landing,
            CASE WHEN n_countries_landing IS NOT NULL THEN coalesce(n_held, 0) END AS n_CF, n_CF_with_landings,
-           n_CF_with_landings / n_countries_landing AS proportion_have_CF
+           n_CF_with_landings / n_countries_landing AS proportion_have_CF, countries_landing,
+           CASE WHEN n_countries_landing IS NOT NULL THEN coalesce(listed, '') END AS "countries_with_CF"
     FROM (SELECT DISTINCT scientific_name FROM landed) CROSS JOIN (SELECT DISTINCT presentation FROM landed)
     LEFT JOIN (
-        SELECT scientific_name, presentation, count(*) AS n_countries_landing, count(h.iso3c) AS n_CF_with_landings
+        SELECT scientific_name, presentation, count(*) AS n_countries_landing, count(h.iso3c) AS n_CF_with_landings,
+               string_agg(landed.iso3c, ', ' ORDER BY landed.iso3c) AS countries_landing
         FROM landed LEFT JOIN (SELECT DISTINCT * FROM held) h USING (scientific_name, presentation, iso3c)
         GROUP BY scientific_name, presentation) USING (scientific_name, presentation)
-    LEFT JOIN (SELECT scientific_name, presentation, count(DISTINCT iso3c) AS n_held FROM held WHERE iso3c <> 'EU'
+    LEFT JOIN (SELECT scientific_name, presentation, count(DISTINCT iso3c) AS n_held,
+                      string_agg(DISTINCT iso3c, ', ' ORDER BY iso3c) AS listed FROM held WHERE iso3c <> 'EU'
                GROUP BY ALL) USING (scientific_name, presentation)""", SQL_MEMBER_HELD))
 def member_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return coverage.coverage_grid(*fine_tables(spark, sf))
@@ -691,6 +704,15 @@ def members_without_factor(spark: SparkSession, sf: str) -> DataFrame:
     return coverage.missing_factors(*fine_tables(spark, sf))
 
 
+@query("vague_shares", sql("lv", f"""
+    SELECT pattern, sum(CASE WHEN regexp_matches(presentation, pattern) THEN value ELSE 0 END) / sum(value) AS share
+    FROM (SELECT presentation, sum(value) AS value FROM lv GROUP BY ALL)
+         CROSS JOIN (VALUES {", ".join("('" + p.replace("'", "''") + "')" for p in vocab.VAGUE_PATTERNS)}) p(pattern)
+    GROUP BY pattern"""))
+def vague(spark: SparkSession, sf: str) -> DataFrame:
+    return coverage.vague_shares(landings(spark, sf))
+
+
 @query("top_taxa", sql("lv", """
     SELECT scientific_name, total, sum(total) OVER w AS cumulative_sum,
            sum(total) OVER w / sum(total) OVER () AS proportion
@@ -708,7 +730,7 @@ def top_grid(spark: SparkSession, sf: str) -> DataFrame:
     landed, held = held_and_landed(spark, sf)
     # The grid and the ranking of taxa both start from this stored sum.
     landed = materialise(landed.groupBy(*PRODUCT, "iso3c").agg(F.sum("value").alias("value")), "landed")
-    return coverage.grid_of_top_taxa(coverage.availability_grid(landed, held), landed, 10)
+    return coverage.availability_grid(landed, held, sources=SOURCES, taxa=coverage.top_taxa(landed, 10))
 
 
 # Trade

@@ -300,13 +300,13 @@ def member_rows(spark: SparkSession, sf: str) -> DataFrame:
             .groupBy("n_regionkey", "member").agg(F.sum("n").alias("n"), F.sum("quantity").alias("quantity")))
 
 
-PATTERNS = ["^ECO", "PROMO", "^S", "RD$", "M", "LARGE", "absent"]
+PATTERNS = ["^ECO", "PROMO", "^S", "RD$", "M", "L.RGE", "absent"]
 
 
 @query("share_by_pattern", sql("lv", """
     SELECT pattern, sum(CASE WHEN regexp_matches(presentation, pattern) THEN value ELSE 0 END) / sum(value) AS share
     FROM (SELECT presentation, sum(value) AS value FROM lv GROUP BY ALL)
-         CROSS JOIN (VALUES ('^ECO'), ('PROMO'), ('^S'), ('RD$'), ('M'), ('LARGE'), ('absent')) p(pattern)
+         CROSS JOIN (VALUES ('^ECO'), ('PROMO'), ('^S'), ('RD$'), ('M'), ('L.RGE'), ('absent')) p(pattern)
     GROUP BY pattern"""))
 def pattern_shares(spark: SparkSession, sf: str) -> DataFrame:
     return aggregate.share_by_pattern(landings(spark, sf), "presentation", "value", PATTERNS)
@@ -665,23 +665,26 @@ def ranked(spark: SparkSession, sf: str) -> DataFrame:
 # Sets and checks
 
 @query("common_categories", sql("lv fv", """
-    SELECT DISTINCT iso3c, scientific_name, presentation FROM lv
-    INTERSECT SELECT iso3c, scientific_name, landings_code FROM fv"""))
+    SELECT unnest(['landed', 'held']) AS side, * FROM (
+        SELECT DISTINCT iso3c, scientific_name, presentation FROM lv
+        INTERSECT SELECT iso3c, scientific_name, landings_code FROM fv)"""))
 def common(spark: SparkSession, sf: str) -> DataFrame:
     landed = materialise(landings(spark, sf).select("iso3c", *PRODUCT).distinct(), "landed")
     held = factors(spark, sf).select("iso3c", "scientific_name", F.col("landings_code").alias("presentation"))
-    return sets.common_categories(landed, held, ["iso3c", "scientific_name"], "presentation")[0]
+    left, right = sets.common_categories(landed, held.distinct(), ["iso3c", "scientific_name"], "presentation")
+    return left.withColumn("side", F.lit("landed")).unionByName(right.withColumn("side", F.lit("held")))
 
 
 @query("reconcile_sources", """
     SELECT sum(greatest(a - b, 0))::BIGINT AS only_in_a, sum(greatest(b - a, 0))::BIGINT AS only_in_b,
            sum(least(a, b))::BIGINT AS in_both FROM (
-        SELECT l_partkey, l_quantity, count(*) FILTER (l_returnflag <> 'N') AS a, count(*) FILTER (l_linestatus = 'O') AS b
+        SELECT l_partkey, l_quantity, count(*) FILTER (l_returnflag <> 'N' OR l_linestatus = 'F') AS a,
+               count(*) FILTER (l_linestatus = 'O') AS b
         FROM lineitem GROUP BY ALL)""")
 def reconciled(spark: SparkSession, sf: str) -> DataFrame:
     line = table(spark, sf, "lineitem")
     columns = ["l_partkey", "l_quantity"]
-    return sets.reconcile_sources(line.where("l_returnflag <> 'N'").select(*columns),
+    return sets.reconcile_sources(line.where("l_returnflag <> 'N' OR l_linestatus = 'F'").select(*columns),
                                   line.where("l_linestatus = 'O'").select(*columns))
 
 
@@ -692,11 +695,13 @@ def duplicated(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("check_nonempty", """
     SELECT p_partkey, coalesce(sum(l_quantity), 0) AS total FROM part
-    LEFT JOIN (SELECT * FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'O') ON p_partkey = l_partkey
+    LEFT JOIN (SELECT l_partkey, CASE WHEN l_returnflag = 'R' AND l_linestatus = 'O' THEN l_quantity END AS l_quantity
+               FROM lineitem) ON p_partkey = l_partkey
     GROUP BY p_partkey HAVING coalesce(sum(l_quantity), 0) < 1""")
 def empty_keys(spark: SparkSession, sf: str) -> DataFrame:
-    line = table(spark, sf, "lineitem").where("l_returnflag = 'R' AND l_linestatus = 'O'")
-    sums = line.groupBy("l_partkey").agg(F.sum("l_quantity").alias("quantity"))
+    # Quantities of other lines are unknown here; their parts stay as keys.
+    counted = F.when(F.expr("l_returnflag = 'R' AND l_linestatus = 'O'"), F.col("l_quantity"))
+    sums = table(spark, sf, "lineitem").groupBy("l_partkey").agg(F.sum(counted).alias("quantity"))
     both = joins.join_on(table(spark, sf, "part").select("p_partkey"), sums, {"p_partkey": "l_partkey"})
     return checks.check_nonempty(both, ["p_partkey"], "quantity")
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tareline.functions.nulls import quoted
 from tareline.functions.text import without_commas
 
 
@@ -36,7 +37,7 @@ def read_code_dictionary(spark: SparkSession, path: str) -> DataFrame:
 
 def without_separators(df: DataFrame) -> DataFrame:
     """Every column as text without commas, missing written as ``NA``."""
-    return df.select(*[F.coalesce(without_commas(F.col(c).cast("string")), F.lit("NA")).alias(c) for c in df.columns])
+    return df.select(*[F.coalesce(without_commas(F.col(quoted(c)).cast("string")), F.lit("NA")).alias(c) for c in df.columns])
 
 
 def write_safe_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import re
-from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from tareline.operators.reshape import split_key
 
@@ -20,32 +18,40 @@ def list_wide_files(spark: SparkSession, folder: str, prefix: str, exclude: tupl
     return sorted(r.path for r in found if not r.path.endswith(skipped))
 
 
+def wide_headers(spark: SparkSession, paths: list[str] | str) -> dict[str, list[str]]:
+    """Files by header line, found in one job; folders count as the files in them.
+
+    The first line of a file is the one that its first block yields first.
+    """
+    lines = spark.read.text(paths).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), "value")
+    numbered = lines.where("start = 0").withColumn("at", F.monotonically_increasing_id())
+    first = numbered.groupBy("path").agg(F.min_by("value", "at").alias("header"))
+    by_header: dict[str, list[str]] = {}
+    for row in sorted(first.collect()):
+        by_header.setdefault(row["header"], []).append(unquote(row["path"]))
+    return by_header
+
+
 def read_wide_flagged(spark: SparkSession, paths: list[str] | str, source_file: str | None = "source_file") -> list[DataFrame]:
     """Read wide files as text, one DataFrame per distinct header.
 
     Columns align by position inside one scan, so only files with the same
-    header share one.  The composite key is split into the columns named in
-    its header.  Only headers are looked at on the driver.
+    header share one, also where ``paths`` names a folder.  A line whose number
+    of cells differs from its header's ends the query with an error; blank
+    lines are skipped and empty cells are missing.  The composite key is split
+    into the columns named in its header.  Only headers are looked at on the driver.
     """
-    by_header: dict[tuple[str, ...], list[str]] = {}
-    for path in [paths] if isinstance(paths, str) else paths:
-        header = spark.read.options(sep="\t", header=True, quote="").csv(path).columns
-        by_header.setdefault(tuple(header), []).append(path)
     frames = []
-    for header, same in by_header.items():
-        names = ["__key", *[h.strip() for h in header[1:]]]
-        schema = StructType([StructField(n, StringType()) for n in names])
-        raw = spark.read.schema(schema).options(sep="\t", header=True, quote="").csv(same)
-        if source_file:
-            raw = raw.withColumn(source_file, F.col("_metadata.file_name"))
-        frames.append(split_key(raw, header[0], "__key"))
+    for header, same in wide_headers(spark, paths).items():
+        names = header.rstrip("\r").split("\t")
+        cells = F.split(F.rtrim("value", F.lit("\r")), "\t", -1)
+        whole = F.when(F.size(cells) == len(names), cells).otherwise(F.raise_error(F.concat(
+            F.lit(f"expected {len(names)} cells: "), F.col("value"))))
+        lines = spark.read.text(same).where((F.col("value") != header) & (F.trim("value") != ""))
+        own = [F.col("_metadata.file_name").alias(source_file)] if source_file else []
+        raw = lines.select(whole.alias("__cells"), *own).select(
+            *[F.nullif(F.get("__cells", F.lit(i)), F.lit("")).alias(n) for i, n in enumerate(["__key", *[h.strip() for h in names[1:]]])],
+            *([source_file] if source_file else []))
+        frames.append(split_key(raw, names[0], "__key"))
     return frames
-
-
-def stack_wide(frames: list[DataFrame]) -> DataFrame:
-    """Stack frames by name; year columns absent from a file stay missing."""
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-
-
-def year_columns(df: DataFrame, pattern: str) -> list[str]:
-    return [c for c in df.columns if re.match(pattern, c)]

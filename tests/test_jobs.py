@@ -128,6 +128,8 @@ def test_coverage_and_availability(spark, cod, landed):
     assert found["cod", "SMK"] == (vocab.NOT_AVAILABLE, "no")
     assert found["eel", "WHL"] == (vocab.NOT_LANDED, vocab.NOT_LANDED)
     assert rows(coverage.availability_counts(status)) == [(5, 1, 4, 10)]
+    assert rows(coverage.availability_totals(landed, cod)) == [(5, 1, 4, 10)]
+    assert guh.countries_landing.count(",") == 1 and guh.countries_with_CF.count(",") == 2
     assert rows(coverage.missing_factors(landed, cod)) == [("cod", "SMK")]
     assert [r.scientific_name for r in coverage.top_taxa(landed, 1).collect()] == ["cod"]
     assert coverage.grid_of_top_taxa(status, landed, 1).count() == 5

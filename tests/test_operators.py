@@ -93,13 +93,15 @@ def test_explode_list(spark):
     assert rows(reshape.explode_list(df, "taxa")) == [(1, "a"), (1, "b"), (2, None)]
 
 
-@pytest.mark.parametrize("limit", [5000, 1])
-def test_complete_grid_both_ways(spark, limit):
+@pytest.mark.parametrize("salts", [256, 1])
+def test_complete_grid(spark, salts):
     df = spark.createDataFrame([("a", "x", 1), ("b", "y", 2), (None, "x", 3)], "a string, b string, n int")
-    grid = reshape.complete_grid(df, "a", "b", literal_limit=limit)
+    grid = reshape.complete_grid(df, "a", "b", salts=salts)
     assert rows(grid) == [("a", "x", 1), ("a", "y", None), ("b", "x", None), ("b", "y", 2), (None, "x", 3), (None, "y", None)]
-    filled = reshape.complete_grid(df, "a", "b", fill={"n": 0}, literal_limit=limit)
+    filled = reshape.complete_grid(df, "a", "b", fill={"n": 0}, salts=salts)
     assert filled.where("n = 0").count() == 3
+    only = reshape.complete_grid(df, "a", "b", only=spark.createDataFrame([("b",), ("z",)], "a string"))
+    assert rows(only) == [("b", "x", None), ("b", "y", 2)]
     assert "CartesianProduct" not in plan_of(grid) and "NestedLoop" not in plan_of(grid)
 
 
@@ -119,6 +121,31 @@ def test_decode_keeps_unknown_codes_and_row_count(spark):
     assert rows(out) == [("Namibia", "NA"), ("Portugal", "PT"), ("Portugal", "PT01"), ("XX", "XX"), (None, None)]
 
 
+def test_repeated_dictionary_rows_count_once(spark):
+    df = spark.createDataFrame([("PT",), ("ES",)], "geo string")
+    names = spark.createDataFrame([("PT", "Portugal"), ("PT", "Portugal"), ("ES", "Spain"), ("ES", "Espana")], "code string, label string")
+    assert rows(lookup.decode_codes(df, {"geo": names}, strict=False)) == [("ES",), ("Portugal",)]
+    with pytest.raises(Exception, match="ambiguous lookup entry"):
+        lookup.decode_codes(df, {"geo": names}).collect()
+
+
+def test_repeated_country_spellings_count_once(spark):
+    df = spark.createDataFrame([("Spain",), ("Portugal",)], "country string")
+    table = spark.createDataFrame([("spain", "ESP", None), ("spain", "ESP", None), ("portugal", "PRT", "PT"), ("portugal", "POR", "PT")],
+                                  "name_key string, iso3c string, iso2c string")
+    into = {"iso3c": "iso3c", "iso2c": "iso2c"}
+    assert rows(lookup.resolve_country(df, "country", table, into, strict=False)) == [("Portugal", None, None), ("Spain", "ESP", None)]
+    with pytest.raises(Exception, match="ambiguous lookup entry"):
+        lookup.resolve_country(df, "country", table, into).collect()
+
+
+def test_dotted_column_names(spark):
+    df = spark.createDataFrame([("a", 1.0, 2.0), ("a", 3.0, 4.0), ("b", 5.0, 6.0)], ["CN.8", "q.min", "q.max"])
+    assert rows(reshape.unpivot_measures(df, "^q").where("value > 4")) == [("b", "q.max", 6.0), ("b", "q.min", 5.0)]
+    assert rows(ranking.only_unambiguous(df, ["CN.8"])) == [("b", 5.0, 6.0)]
+    assert rows(ranking.first_per_key(df, ["CN.8"], ["q.min"])) == [("a", 1.0, 2.0), ("b", 5.0, 6.0)]
+
+
 def synonyms(spark, *entries):
     return spark.createDataFrame(list(entries), "synonym string, accepted string, status string")
 
@@ -214,6 +241,20 @@ def test_shares_by_pattern(spark):
         ("Dried", 0.5), ("Fresh, not", 0.25), ("zzz", 0.0)]
 
 
+def test_shares_by_pattern_with_dots_and_zero_total(spark):
+    df = spark.createDataFrame([("Fresh, cut", 1.0), ("Dried", 3.0)], "p string, v double")
+    assert rows(aggregate.share_by_pattern(df, "p", "v", ["Fresh.*", "D.ied"])) == [("D.ied", 0.75), ("Fresh.*", 0.25)]
+    none = spark.createDataFrame([("Fresh", 0.0)], "p string, v double")
+    assert rows(aggregate.share_by_pattern(none, "p", "v", ["F.*"])) == [("F.*", None)]
+
+
+def test_coverage_lists(spark):
+    landed = spark.createDataFrame([("a", "FRA"), ("a", "ESP"), ("b", "FRA")], "k string, m string")
+    held = spark.createDataFrame([("a", "ESP"), ("a", "DEU")], "k string, m string")
+    listed = aggregate.coverage_ratio(landed, held, ["k"], "m", lists=("landing", "with_factor"))
+    assert rows(listed, "k", "landing", "with_factor") == [("a", "ESP, FRA", "DEU, ESP"), ("b", "FRA", "")]
+
+
 def test_coverage_ratio(spark):
     landed = spark.createDataFrame([("a", "ESP"), ("a", "ESP"), ("a", "FRA"), ("b", "FRA"), ("b", None)], "k string, m string")
     held = spark.createDataFrame([("a", "ESP"), ("a", "DEU"), ("c", "ESP")], "k string, m string")

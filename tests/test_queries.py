@@ -3,6 +3,8 @@ from compare import connect, differences
 from helpers import plan_of
 
 import __spark_entry__ as entry_point
+from pyspark.sql.readwriter import DataFrameWriter
+from tareline.registry import QUERIES
 
 SF = "/root/testdata/sf0.01"
 
@@ -21,11 +23,25 @@ def plan_faults(df):
     return faults + [line for line in windows if "__chunk" not in line and "__sum" not in line]
 
 
-@pytest.mark.parametrize("name", sorted(entry_point.queries()))
-def test_query_agrees_with_sql(spark, con, name):
+@pytest.fixture
+def stages(monkeypatch):
+    """Plan faults of every table that is stored while a query is built."""
+    found, write = [], DataFrameWriter.parquet
+
+    def checked(self, *args, **kwargs):
+        found.extend(plan_faults(self._df))
+        return write(self, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", checked)
+    return found
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query_agrees_with_sql(spark, con, stages, name):
     df = entry_point.queries()[name](spark, SF)
     assert differences(df, con, entry_point.oracle_sql()[name]) == []
     assert plan_faults(df) == []
+    assert stages == []
 
 
 def test_entry(spark):

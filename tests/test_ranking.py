@@ -46,6 +46,17 @@ def test_running_total_uses_several_chunks(many_chunks):
     assert ranged.count() == 8
 
 
+def test_running_total_with_more_chunks_than_shuffle_partitions(many_chunks):
+    df = many_chunks.range(5000).select("id", F.lit(1).alias("one"))
+    out = ranking.running_total(df, [F.col("id").asc()], "one", chunks=37)
+    assert out.where("running_total <> id + 1").count() == 0
+
+
+def test_share_of_a_zero_total_is_missing(many_chunks):
+    df = many_chunks.createDataFrame([("a", 0.0), ("b", 0.0)], "k string, v double")
+    assert {r.proportion for r in ranking.cumulative_share(df, "k", "v").collect()} == {None}
+
+
 def test_cumulative_share(many_chunks):
     df = many_chunks.createDataFrame([("a", 1.0), ("a", 4.0), ("b", 5.0), ("c", 10.0), ("d", None)], "k string, v double")
     assert [tuple(r) for r in ranking.cumulative_share(df, "k", "v").orderBy("cumulative_sum", "k").collect()] == [

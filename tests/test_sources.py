@@ -2,11 +2,12 @@ import os
 from types import SimpleNamespace
 
 import pytest
-from helpers import rows
+from helpers import plan_of, rows
 from pyspark.sql import functions as F
 
 from tareline import materialise, recommended_conf, session, vocab
 from tareline.plans.landings import clean_catch, clean_landings, usable_landings
+from tareline.operators.reshape import unpivot_years
 from tareline.sources.tables import (
     curation_worklist,
     read_code_dictionary,
@@ -68,6 +69,36 @@ def test_one_scan_per_header(spark, folder):
     assert rows(same.groupBy("source_file").count()) == [("fish_ld_main.tsv", 2), ("fish_ld_pt.tsv", 2)]
 
 
+def test_a_folder_keeps_every_file_under_its_own_header(spark, tmp_path):
+    (tmp_path / "a.tsv").write_text("species,geo\\time\t2001\t2000\nCOD,A\t1\t2\n")
+    (tmp_path / "b.tsv").write_text("species,geo\\time\t2000\t2001\nEEL,A\t3\t4\n\n")
+    frames = read_wide_flagged(spark, str(tmp_path), source_file=None)
+    found = [r for f in frames for r in rows(unpivot_years(f), "species", "year", "value")]
+    assert sorted(found) == [("COD", 2000, 2.0), ("COD", 2001, 1.0), ("EEL", 2000, 3.0), ("EEL", 2001, 4.0)]
+
+
+@pytest.mark.parametrize("line", ["COD,A\t1\t2\t99", "COD,A\t1"])
+def test_a_ragged_line_ends_the_query(spark, tmp_path, line):
+    (tmp_path / "a.tsv").write_text("species,geo\\time\t2001\t2000\n" + line + "\n")
+    with pytest.raises(Exception, match="expected 3 cells"):
+        read_wide_flagged(spark, str(tmp_path / "a.tsv"))[0].collect()
+
+
+def test_joins_do_not_grow_with_headers(spark, folder, dictionaries):
+    def joins(paths):
+        return plan_of(clean_landings(spark, paths, dictionaries)).split("== Physical Plan ==")[-1].count("Join")
+
+    both = list_wide_files(spark, str(folder), "fish_ld")
+    assert len({len(f.columns) for f in read_wide_flagged(spark, both)}) == 2
+    assert joins(both) == joins(both[:1])
+
+
+def test_dotted_names_in_safe_csv(spark, tmp_path):
+    df = spark.createDataFrame([("a,b", 1)], ["Common.name", "CN.8"])
+    write_safe_csv(df.coalesce(1), str(tmp_path / "dots"))
+    assert rows(spark.read.csv(str(tmp_path / "dots"), header=True)) == [("ab", "1")]
+
+
 def test_clean_landings(spark, folder, dictionaries):
     synonyms = spark.createDataFrame([("Merluccius m.", "Merluccius merluccius", "synonym")],
                                      "synonym string, accepted string, status string")
