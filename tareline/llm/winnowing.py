@@ -62,7 +62,7 @@ def positions(fingerprint: str | Column) -> Column:
 
 
 def as_text(fingerprint: str | Column) -> Column:
-    """Keys in hexadecimal, joined by blanks: nine digits of hash and position each."""
+    """Keys (hash and position in one number) in hexadecimal, joined by blanks."""
     return F.array_join(F.transform(fingerprint, lambda x: F.hex(x)), " ")
 
 
@@ -93,7 +93,8 @@ def with_next(df: DataFrame, order: str, derive: Callable[[DataFrame], DataFrame
         "__chunk": F.when(F.col(order).isNull(), -1).when(below == 0, len(cuts)).otherwise(below - 1).cast("long"),
         "__tie": F.xxhash64(*df.columns),
     })
-    made = derive(dealt)
+    # Rows are shuffled as they came; what is derived from them is computed where they arrive.
+    made = derive(dealt.repartition("__chunk"))
     own = [c for c in made.columns if c not in ("__chunk", "__tie", order)]
     window = Window.partitionBy("__chunk").orderBy(order, "__tie")
     read_on = made.withColumn("__next", F.lead(F.struct(*own)).over(window))
