@@ -1,9 +1,9 @@
 """Sharding by vector bin packing: bytes, tokens and rows balanced jointly.
 
-Equal texts form a group that stays together unless it is larger than a cell.
-Groups are pre-aggregated into a bounded number of cells by a hash of their
-text; a group above a cell's even share gets cells of its own, one for every
-such share it holds, so no cell is hot.  The driver sees only the cells' sums
+Equal texts form a group that stays together unless it holds more than a fair
+part of a shard.  Groups are pre-aggregated into a bounded number of cells by a
+hash of their text; a group above a cell's even share is a cell of its own, and
+one above a quarter of a shard is split into several, so no cell is hot.  The driver sees only the cells' sums
 (a bounded number), and places the cells, largest first, into the shard where
 the dot product of the cell with the shard's residual capacity is highest.
 
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from tareline.session import materialise
 
 SHARDS = 24
-#: Cells a shard is made of, on average.
-CELLS_PER_SHARD = 512
+#: Cells a shard is made of, on average, and the part of a shard above which a group is split.
+CELLS_PER_SHARD, WHOLE = 512, 4
 SUMS = ("bytes", "tokens", "rows")
 
 
@@ -75,9 +75,9 @@ def shard(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shards: i
         return rows.select("doc_id", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
 
     # A group above a cell's share of any dimension: at most len(SUMS) * n_cells of them.
-    share = [max(1.0, t / n_cells) for t in total]
-    large = F.greatest(*[F.col(s) / x for s, x in zip(SUMS, share)])
-    groups = rows.groupBy("group").agg(*sums()).where(large > 1).select("group", F.ceil(large).cast("int").alias("parts"))
+    large = F.greatest(*[F.col(s) * n_cells / max(1, t) for s, t in zip(SUMS, total)])
+    parts = F.ceil(large * WHOLE / cells_per_shard).cast("int")
+    groups = rows.groupBy("group").agg(*sums()).where((large > 1) & (F.col("rows") > 1)).select("group", parts.alias("parts"))
     # Bounded as above.
     parted = rows.join(F.broadcast(groups), "group", "left").select(
         "*",
