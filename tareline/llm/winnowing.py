@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-K, W = 3, 6
+K, W = 3, 4
 POSITION_BITS = 30
 LAST = (1 << POSITION_BITS) - 1
 HASHES = (1 << 33) - 1
