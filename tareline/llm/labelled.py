@@ -45,5 +45,5 @@ def learning_documents(docs: DataFrame, rows: DataFrame, name: str) -> DataFrame
 def collect_features(features: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids, feature matrix and labels of a bounded sample, in order of the ids."""
     rows = sorted(features.select("doc_id", "features", "y").collect())
-    x = np.array([r[1] for r in rows], dtype=float)
-    return np.array([r[0] for r in rows]), x.reshape(len(rows), -1), np.array([r[2] for r in rows], dtype=float)
+    x = np.array([r[1] for r in rows], dtype=float) if rows else np.zeros((0, 0))
+    return np.array([r[0] for r in rows]), x, np.array([r[2] for r in rows], dtype=float)

@@ -131,10 +131,10 @@ def scan_sql(phrases: dict[str, str] | None = None, templates: dict[str, str] |
 WITH known(template, label, exact, runs, j, w1, w2) AS (VALUES {values}),
 docs AS (SELECT DISTINCT doc_id, text FROM documents),
 split AS (SELECT doc_id, text, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') AS words FROM docs),
-flat AS (SELECT doc_id, text, words, unnest(generate_series(1, len(words) - 1)) AS at FROM split),
-voted AS (SELECT f.doc_id, f.text, template, label, exact, runs, at - 1 - j AS diagonal,
-    count(DISTINCT j) AS votes, min(at - 1) AS start, max(at - 1) AS stop
-    FROM flat f JOIN known k ON f.words[f.at] = k.w1 AND f.words[f.at + 1] = k.w2
+flat AS (SELECT doc_id, text, words, unnest(generate_series(1, len(words) - 1)) AS pos FROM split),
+voted AS (SELECT f.doc_id, f.text, template, label, exact, runs, pos - 1 - j AS diagonal,
+    count(DISTINCT j) AS votes, min(pos - 1) AS start, max(pos - 1) AS stop
+    FROM flat f JOIN known k ON f.words[f.pos] = k.w1 AND f.words[f.pos + 1] = k.w2
     GROUP BY f.doc_id, f.text, template, label, exact, runs, diagonal),
 marked AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER w <= {MERGE} THEN 0 ELSE 1 END AS new
     FROM voted WHERE NOT exact WINDOW w AS (PARTITION BY doc_id, text, template ORDER BY diagonal)),

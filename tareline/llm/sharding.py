@@ -3,9 +3,10 @@
 Equal texts form a group that stays together unless it holds more than a fair
 part of a shard.  Groups are pre-aggregated into a bounded number of cells by a
 hash of their text; a group above a cell's even share is a cell of its own, and
-one above a quarter of a shard is split into several, so no cell is hot.  The driver sees only the cells' sums
-(a bounded number), and places the cells, largest first, into the shard where
-the dot product of the cell with the shard's residual capacity is highest.
+one above a quarter of a shard is split into several, so no cell is hot.  The
+driver sees only the cells' sums (a bounded number), and places the cells,
+largest first, into the shard where the dot product of the cell with the shard's
+residual capacity is highest.
 
 Slots are gapless in a shard: a cell's first slot is the number of rows in the
 cells before it, and rows are numbered inside their cell only.
@@ -47,15 +48,20 @@ def place(loads: np.ndarray, shards: int) -> np.ndarray:
     """Shard of each cell (rows of ``loads``: shares of bytes, tokens, rows), largest cells first.
 
     Among shards that still have room for the cell in every dimension the
-    highest dot product wins; where none has room, the shard left least
-    overfull wins.  Ties go to the lower shard.
+    highest dot product wins; where none has, those with room for its bytes
+    (the first dimension) compete, and at last the one with most of it wins.
+    Ties go to the lower shard.
     """
     room = np.full((shards, loads.shape[1]), 1.0 / shards)
     chosen = np.zeros(len(loads), int)
     for i in np.lexsort((np.arange(len(loads)), -loads.max(axis=1))):
         left = room - loads[i]
-        fits = (left >= 0).all(axis=1)
-        rank = np.where(fits, room @ loads[i], -np.inf) if fits.any() else left.min(axis=1)
+        for fits in ((left >= 0).all(axis=1), left[:, 0] >= 0):
+            if fits.any():
+                rank = np.where(fits, room @ loads[i], -np.inf)
+                break
+        else:
+            rank = left[:, 0]
         chosen[i] = int(rank.argmax())
         room[chosen[i]] -= loads[i]
     return chosen
