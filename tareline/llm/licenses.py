@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tareline.session import materialise
+
 #: Phrases that count wherever their words stand one after the other.
 PHRASES = {
     "cc by": "cc-by",
@@ -108,7 +110,8 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: dict
     Null texts have no words.  Rows that repeat both id and text are one document.
     """
     phrases, templates = PHRASES if phrases is None else phrases, TEMPLATES if templates is None else templates
-    voted = votes(docs.select("doc_id", "text"), docs.sparkSession, phrases, templates)
+    # Three parts of the result start from the votes; the texts are read for them once.
+    voted = materialise(votes(docs.select("doc_id", "text"), docs.sparkSession, phrases, templates), "votes")
     found = occurrences(voted.where("template IS NOT NULL"))
     every = voted.where("template IS NULL").select("doc_id", "key", "n_words", F.lit(None).cast("string").alias("label"),
                                                    F.lit(False).alias("exact"), F.lit(None).cast("bigint").alias("start"), F.lit(None).cast("double").alias("score"))
