@@ -60,9 +60,9 @@ def votes(docs: DataFrame, spark: SparkSession, phrases: dict[str, str], templat
     Documents are ``doc_id`` with a key of the text, so rows that repeat both
     are one document, counted once.
     """
-    rows = template_rows(phrases, templates)
-    known = spark.createDataFrame(rows, "template int, label string, exact boolean, runs int, j int, w1 string, w2 string")
-    known = known.withColumn("h", F.xxhash64("w1", "w2"))
+    names = ("template", "label", "exact", "runs", "j", "w1", "w2")
+    rows = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, r)]) for r in template_rows(phrases, templates)]
+    known = spark.range(1).select(F.inline(F.array(*rows))).withColumn("h", F.xxhash64("w1", "w2"))
     body = F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER)
     split = docs.select("doc_id", F.xxhash64("text").alias("key"), F.regexp_extract_all(body, F.lit(f"({WORD})")).alias("words"))
     # A first element without words stands for the document itself.

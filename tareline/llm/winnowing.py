@@ -83,7 +83,6 @@ def with_next(df: DataFrame, order: str, derive: Callable[[DataFrame], DataFrame
     per chunk.  Rows without an order value come first; rows with equal ones
     follow each other by content.
     """
-    spark = df.sparkSession
     n = min(MAX_CHUNKS, max(1, df.count() // CHUNK_ROWS))
     at = [i / n for i in range(1, n)]
     cuts = sorted(set(df.stat.approxQuantile(order, at, 0.2 / n))) if at else []
@@ -103,9 +102,10 @@ def with_next(df: DataFrame, order: str, derive: Callable[[DataFrame], DataFrame
     # One row per chunk, MAX_CHUNKS + 1 at most.
     heads = dealt.join(F.broadcast(first), "__chunk").where(F.struct(order, "__tie").eqNullSafe(F.col("__first")))
     heads = derive(heads.drop("__first").dropDuplicates(["__chunk"])).select(F.col("__chunk").alias("__to"), F.struct(*own).alias("__head"))
-    chunks = sorted(r[0] for r in first.select("__chunk").collect())
-    following = spark.createDataFrame([*zip(chunks, [*chunks[1:], *chunks[:1]])], "__chunk long, __to long")
-    jumps = F.broadcast(following).join(heads, "__to").select("__chunk", "__head")
+    in_order = Window.orderBy("__chunk")
+    following = first.select("__chunk", F.coalesce(
+        F.lead("__chunk").over(in_order), F.first("__chunk").over(in_order)).alias("__to"))
+    jumps = following.join(heads, "__to").select("__chunk", "__head")
     nxt = F.coalesce("__next", "__head")
     joined = read_on.join(jumps, "__chunk")
     return joined.withColumns({f"next_{c}": nxt[c] for c in own}).drop("__chunk", "__tie", "__next", "__head")
