@@ -38,6 +38,7 @@ NAMES = re.compile(
     r"|menu|nav|navbar|navigation|breadcrumbs?|pagination|pager|toolbar|topbar|masthead|header|footer|copyright"
     r"|comments?|comment-list|replies|reply|disqus|respond|reactions?|tags|byline-links)(?:$|[^a-z])"
 )
+COMMENTS = re.compile(r"(?:^|[^a-z])(?:comments?|reply|replies)(?:$|[^a-z])")
 UNFINISHED = re.compile(r"<(?:[a-zA-Z/!?][^<>]*)?$")
 
 
@@ -79,7 +80,12 @@ class Blocks(HTMLParser):
             self.open.pop()
         main, other, silent = self.state()
         names = " ".join(v or "" for k, v in attrs if k in ("class", "id", "role", "aria-label")).lower()
-        other = other or tag in OTHER or tag == "header" and not main or tag not in ("html", "body", "article", "main") and bool(NAMES.search(names))
+        named = NAMES.search(names)
+        if tag in ("html", "body", "article", "main"):
+            named = COMMENTS.search(names)
+        elif named and main and "header" in named[0]:
+            named = None  # the head of an article is part of it
+        other = other or tag in OTHER or tag == "header" and not main or bool(named)
         self.open.append((tag, main or tag in MAIN, other, silent or tag in SILENT))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:

@@ -288,5 +288,6 @@ def keep_first(docs: DataFrame) -> DataFrame:
 
     Documents without words or without an id are kept as they are.
     """
-    keep = similar(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+    first = similar(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept"))
+    keep = materialise(first.distinct(), "kept")
+    return docs.join(few(keep), F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")

@@ -255,6 +255,12 @@ def test_main_text_without_the_rest():
     assert html_text.main_text(page, html_text.trained()) == "A title One &amp; two three. Four five. Six."
 
 
+def test_main_text_of_article_heads_and_comment_articles():
+    page = """<main><article class="post"><header class="entry-header"><h1>Head</h1></header><div class="entry-content"><p>Body text.</p></div>
+    <article class="comment"><p>A reader says something long enough to look like text of the page itself.</p></article></article></main>"""
+    assert html_text.main_text(page, html_text.trained()) == "Head Body text."
+
+
 def test_main_text_of_odd_pages(spark):
     pages = spark.createDataFrame([(1, "u", None, "x"), (2, "u", "", "x"), (3, None, "<p", "x"), (4, "u", "<article><p>cut &am", "x"),
                                    (5, "u", "<div>" * 3000 + "<main><p>deep", "x")], "page_id long, url string, html string, text string")
