@@ -200,8 +200,8 @@ def apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
 # -- the join
 
 
-def candidates(docs: DataFrame, heads: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs of nodes that may link, and the prefix rows of near copies that only hot elements tie together.
+def candidates(docs: DataFrame, heads: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs of nodes that may link; of near copies that only hot elements tie together, a pair each and the prefix rows.
 
     ``heads`` as of `heads_of`; ``classes``: ``group_key, n, id`` of each node.
     """
@@ -230,28 +230,33 @@ def candidates(docs: DataFrame, heads: DataFrame, classes: DataFrame) -> tuple[D
     shared_again = materialise(shared_elements(whole), "shared_again")
     pairs = pairs.union(meeting(shared_again, lambda n: F.lit(0).cast("long")))
 
-    # Near copies: hot for four fifths. They meet the first of each bucket here, others later if need be.  Their
-    # prefixes are taken in order of rarity, so that a passage that many texts share comes last.
+    # Near copies: hot for four fifths.  Their prefixes are taken in order of rarity, so that a passage that many
+    # texts share comes last.  Each meets the set with the fewest elements of its own in its buckets here, which is
+    # the nearest to what they were copied from, and others later if need be.
     copies = hot_counts(shared_again).where(F.col("hot") * 100 >= F.col("n") * LINK).select("id")
     own = Window.partitionBy("id")
     alone = F.col("n") - F.count("*").over(own)  # elements that nobody else holds come first
     ranked = shared_again.join(copies, "id", "left_semi").select(
-        "id", "n", "h", (alone + F.row_number().over(own.orderBy("df", "h"))).alias("rank")
+        "id", "n", "h", alone.alias("alone"), F.row_number().over(own.orderBy("df", "h")).alias("rank")
     )
-    prefix = materialise(ranked.where(F.col("rank") <= F.floor(F.col("n") / 5) + 1).select("id", "n", "h"), "prefix")
-    first = prefix.groupBy("h").agg(F.min("id").alias("a"))
-    stars = prefix.join(first, "h").where("a < id").select("a", F.col("id").alias("b"))
-    return pairs.union(stars).distinct(), prefix
+    prefix = ranked.where(F.col("alone") + F.col("rank") <= F.floor(F.col("n") / 5) + 1).select("id", "n", "alone", "h")
+    prefix = materialise(prefix, "prefix")
+    best = prefix.groupBy("h").agg(F.min(F.struct("alone", "id")).alias("best"))
+    stars = prefix.join(best, "h").groupBy("id").agg(F.min("best")["id"].alias("best")).where("id <> best").select(
+        F.least("id", "best").alias("a"), F.greatest("id", "best").alias("b"))
+    return pairs.distinct(), stars, prefix
 
 
 def links_apart(prefix: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs of near copies in one bucket that are not connected yet."""
-    placed = prefix.join(found, "id", "left").select("h", "id", "n", F.coalesce("component", "id").alias("of"))
-    a, b = (placed.select("h", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "of")]) for s in "ab")
+    """Pairs of near copies in one bucket that are not connected yet and hold enough that others hold too."""
+    common = (F.col("n") - F.col("alone")).alias("common")
+    placed = prefix.join(found, "id", "left").select("h", "id", "n", common, F.coalesce("component", "id").alias("of"))
+    a, b = (placed.select("h", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "common", "of")]) for s in "ab")
+    enough = F.least("common_a", "common_b") * (100 + LINK) >= (F.col("n_a") + F.col("n_b")) * LINK
     sizes = (F.col("n_a") * 100 >= F.col("n_b") * LINK) & (F.col("n_b") * 100 >= F.col("n_a") * LINK)
     # A bucket that is all one component gives nothing, whatever its size.
     mixed = placed.groupBy("h").agg(F.min("of").alias("x"), F.max("of").alias("y")).where("x <> y").select("h")
-    met = a.join(mixed, "h", "left_semi").join(b, "h").where((F.col("id_a") < F.col("id_b")) & (F.col("of_a") != F.col("of_b")) & sizes)
+    met = a.join(mixed, "h", "left_semi").join(b, "h").where((F.col("id_a") < F.col("id_b")) & (F.col("of_a") != F.col("of_b")) & sizes & enough)
     return met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
@@ -267,12 +272,13 @@ def similar(docs: DataFrame) -> DataFrame:
     classes = materialise(
         heads.where("n > 0").groupBy("group_key", "set_key", "n").agg(F.min("doc_id").alias("id")).where("id IS NOT NULL"), "classes"
     )
-    pairs, prefix = candidates(docs, heads, classes)
-    pairs = materialise(pairs, "pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(prefix.select("id")).distinct()
+    pairs, stars, prefix = candidates(docs, heads, classes)
+    pairs, stars = materialise(pairs, "pairs"), materialise(stars, "stars")
+    ends = pairs.union(stars).select(F.explode(F.array("a", "b")).alias("id")).union(prefix.select("id")).distinct()
     sets = materialise(sets_of(docs, ends), "sets")
 
-    links = materialise(verify(pairs.groupBy("b").agg(F.min("a").alias("a")), sets), "links")
+    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").union(stars).distinct()
+    links = materialise(verify(first, sets), "links")
     for more in (lambda found: apart(pairs, found), lambda found: links_apart(prefix, found)):
         found = components(links)
         links = materialise(links.union(verify(more(found), sets)), "links")
