@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +30,18 @@ def pieces(batch: pa.RecordBatch, column: str = TEXT) -> Iterator[pa.RecordBatch
         yield batch.slice(start)
 
 
+def reach_library(spark: SparkSession) -> None:
+    """Let Python workers on this machine import the library as the driver does, from wherever it was started.
+
+    On a cluster the library is shipped or installed as usual; a folder that a
+    worker does not have is passed over.
+    """
+    paths, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    known = paths.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        paths["PYTHONPATH"] = os.pathsep.join(filter(None, [known, root]))
+
+
 def with_text_columns(
     df: DataFrame,
     text: str,
@@ -43,6 +57,7 @@ def with_text_columns(
     ``fields``.  ``keep`` names the columns that pass through (all by default).
     They travel as one struct, so their names never clash with the working columns.
     """
+    reach_library(df.sparkSession)
     kept = df.columns if keep is None else keep
     packed = df.select(
         F.struct(*[F.col(f"`{c}`") for c in kept]).alias(ROW),
