@@ -9,7 +9,7 @@ from tareline import vocab
 from tareline.functions.recode import recode
 from tareline.plans import catch, coverage, factors as factor_jobs, trade
 from tareline.plans.landings import clean_catch, clean_landings, with_countries
-from tareline.registry.base import query, sql
+from tareline.registry.base import SQL, query, sql
 from tareline.registry.fixtures import SQL_CELLS, calendar, wide_cells, write_wide
 from tareline.registry.operator_queries import CODE, PRODUCT, consolidated, rounded
 from tareline.registry.views import factors, landings, members, nation_code, table
@@ -511,7 +511,9 @@ SQL_STUDY = SQL_CASES + """,
 
 
 def study(spark: SparkSession, sf: str) -> DataFrame:
-    found = catch.case_study_catch(landings(spark, sf, port=True), factors(spark, sf), cases(spark, sf), range(1995, 2002))
+    wanted = materialise(cases(spark, sf).select("scientific_name", "landings_code").distinct(), "cases")
+    landed = landings(spark, sf, port=True, products=wanted, years=(1995, 2001))
+    found = catch.case_study_catch(landed, factors(spark, sf), wanted, range(1995, 2002))
     return rounded(found, "catch_by_vessel_CF", "catch_by_port_CF", "catch_by_EU_CF")
 
 
@@ -538,7 +540,9 @@ def case_study(spark: SparkSession, sf: str) -> DataFrame:
         LEFT JOIN (SELECT scientific_name, landings_code AS presentation, max(conversion_factor) AS EU_CF
                    FROM fv WHERE iso3c = 'EU' GROUP BY ALL) USING (scientific_name, presentation))"""))
 def case_study_yearly(spark: SparkSession, sf: str) -> DataFrame:
-    found = catch.case_study_catch(landings(spark, sf), factors(spark, sf), cases(spark, sf), (1999, 2000, 2001), "year")
+    wanted = materialise(cases(spark, sf).select("scientific_name", "landings_code").distinct(), "cases")
+    landed = landings(spark, sf, products=wanted, years=(1999, 2001))
+    found = catch.case_study_catch(landed, factors(spark, sf), wanted, (1999, 2000, 2001), "year")
     return rounded(found, "catch_by_vessel_CF", "catch_by_EU_CF")
 
 
@@ -763,3 +767,17 @@ def traded(spark: SparkSession, sf: str) -> DataFrame:
     official = held.where("implementation = 'EU-wide CF'")
     weights = trade.trade_live_weight(flows, held, official, members(spark, sf), digits=4)
     return rounded(weights, "value")
+
+
+@query("trade_by_code_prefix", SQL["trade_live_weight"])
+def traded_by_prefix(spark: SparkSession, sf: str) -> DataFrame:
+    """Official codes are longer than those of the flows and written with spaces; three characters tell them apart."""
+    flows = landings(spark, sf, port=True).select(
+        "year", F.col("presentation").alias("product"), F.col("iso3c").alias("exporter"),
+        F.col("port_iso3c").alias("importer"), F.col("value").alias("q"))
+    held = factors(spark, sf).select(F.col("landings_code").alias("product"), F.col("iso3c").alias("country"),
+                                     F.col("conversion_factor").alias("factor"), "implementation", "scientific_name")
+    spaced = F.concat_ws(" ", F.substring("product", 1, 2), F.substring("product", 3, 1), F.lit("00"))
+    official = held.where("implementation = 'EU-wide CF'").withColumn("product", spaced)
+    weights = trade.trade_live_weight(flows, held, official, members(spark, sf), digits=4, code_length=3, exclude=["no such taxon"])
+    return rounded(weights, "value")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tareline import vocab
+from tareline.operators.joins import semi_keys
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -28,14 +29,21 @@ def form(fine: bool) -> Column:
     return F.concat_ws(" ", "p_type", noun) if fine else F.col("p_type")
 
 
-def landings(spark: SparkSession, sf: str, port: bool = False, fine: bool = False) -> DataFrame:
+def landings(spark: SparkSession, sf: str, port: bool = False, fine: bool = False,
+             products: DataFrame | None = None, years: tuple[int, int] | None = None) -> DataFrame:
     """Lineitems as landed quantities; ``port`` adds the customer's nation.
 
     Codes and labels are built on the small sides, once per part or vessel.
+    ``products`` (scientific_name, landings_code) restricts the parts before
+    any line is joined, ``years`` (first, last) the dates read by the scan.
     """
     line = table(spark, sf, "lineitem")
+    if years is not None:
+        line = line.where(f"l_shipdate >= make_date({years[0]}, 1, 1) AND l_shipdate < make_date({years[1] + 1}, 1, 1)")
     part = table(spark, sf, "part").select(
         "p_partkey", F.col("p_brand").alias("scientific_name"), form(fine).alias("presentation"))
+    if products is not None:
+        part = semi_keys(part, products, {"scientific_name": "scientific_name", "presentation": "landings_code"})
     supplier = table(spark, sf, "supplier").select("s_suppkey", nation_code("s_nationkey").alias("iso3c"))
     rows = line.join(part, F.expr("l_partkey = p_partkey")).join(supplier, F.expr("l_suppkey = s_suppkey"))
     if port:
