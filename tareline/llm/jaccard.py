@@ -239,7 +239,8 @@ def candidates(docs: DataFrame, heads: DataFrame, classes: DataFrame) -> tuple[D
     ranked = shared_again.join(copies, "id", "left_semi").select(
         "id", "n", "h", alone.alias("alone"), F.row_number().over(own.orderBy("df", "h")).alias("rank")
     )
-    prefix = ranked.where(F.col("alone") + F.col("rank") <= F.floor(F.col("n") / 5) + 1).select("id", "n", "alone", "h")
+    place = (F.col("alone") + F.col("rank")).alias("place")
+    prefix = ranked.select("id", "n", "alone", place, "h").where(F.col("place") <= F.floor(F.col("n") / 5) + 1)
     prefix = materialise(prefix, "prefix")
     best = prefix.groupBy("h").agg(F.min(F.struct("alone", "id")).alias("best"))
     stars = prefix.join(best, "h").groupBy("id").agg(F.min("best")["id"].alias("best")).where("id <> best").select(
@@ -248,11 +249,15 @@ def candidates(docs: DataFrame, heads: DataFrame, classes: DataFrame) -> tuple[D
 
 
 def links_apart(prefix: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs of near copies in one bucket that are not connected yet and hold enough that others hold too."""
-    common = (F.col("n") - F.col("alone")).alias("common")
-    placed = prefix.join(found, "id", "left").select("h", "id", "n", common, F.coalesce("component", "id").alias("of"))
-    a, b = (placed.select("h", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "common", "of")]) for s in "ab")
-    enough = F.least("common_a", "common_b") * (100 + LINK) >= (F.col("n_a") + F.col("n_b")) * LINK
+    """Pairs of near copies in one bucket that are not connected yet.
+
+    The bucket's element must stand in the prefix that the two sizes ask for,
+    which is shorter for sets of like size than the longest one stored.
+    """
+    placed = prefix.join(found, "id", "left").select("h", "id", "n", "place", F.coalesce("component", "id").alias("of"))
+    a, b = (placed.select("h", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "place", "of")]) for s in "ab")
+    early = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) + 1
+    enough = early * (100 + LINK) >= (F.col("n_a") + F.col("n_b")) * LINK
     sizes = (F.col("n_a") * 100 >= F.col("n_b") * LINK) & (F.col("n_b") * 100 >= F.col("n_a") * LINK)
     # A bucket that is all one component gives nothing, whatever its size.
     mixed = placed.groupBy("h").agg(F.min("of").alias("x"), F.max("of").alias("y")).where("x <> y").select("h")
