@@ -35,7 +35,19 @@ END = "</w>"
 SEPARATORS = re.compile("[\x1c-\x1f]")
 BLANKS = re.compile(r"(?:[^\S\x1c-\x1f])+")
 #: Bounds on what a Python worker remembers: encoded runs, and token pairs.
-MAX_CHUNKS, MAX_PAIRS = 600_000, 500_000
+MAX_CHUNKS, MAX_PAIRS = 600_000, 400_000
+
+
+#: Latin letters that no rule changes but for their case, and one mark.
+LATIN = re.compile(r"([a-zA-ZÀ-ÖØ-Þß-öø-ÿ]+)([.,;:!?]?)")
+
+
+def self_of(byte: int) -> str:
+    """The printable letter that stands for a byte in a byte-level vocabulary: itself, or the next free one from 256."""
+    def prints(b: int) -> bool:
+        return 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255
+
+    return chr(byte) if prints(byte) else chr(256 + sum(not prints(b) for b in range(byte)))
 
 
 class Bpe:
@@ -53,6 +65,8 @@ class Bpe:
         packed = {t: np.array([i], "<u4").tobytes() for t, i in model["vocab"].items()}
         self.inner = {t: i for t, i in packed.items() if not t.endswith(END)}
         self.final = {t.removesuffix(END): i for t, i in packed.items() if t.endswith(END)}
+        by_byte = {b: self_of(b) for b in range(256)}
+        self.letters = {c: "".join(by_byte[b] for b in chr(c).encode()) for c in range(128, 256)}
         self.added = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in spec["added_tokens"]}
         self.ranks, self.made = {}, {}
         for rank, merge in enumerate(model["merges"]):
@@ -157,21 +171,21 @@ class Bpe:
 
     # -- texts
 
-    def learn(self, chunks: set[str]) -> None:
-        """Encode chunks (runs without blanks) not seen before."""
-        for c in chunks & self.added.keys():
-            self.chunks[c] = self.added[c]
+    def learn(self, chunks: set[str]) -> dict[str, bytes]:
+        """Ids of chunks (runs without blanks) not seen before."""
         split = {c: self.words(c) for c in chunks if c not in self.added}
         coded = self.encode_words(sorted({w for parts in split.values() for w in parts}))
-        self.chunks |= {c: b"".join([coded[w] for w in parts]) for c, parts in split.items()}
+        found = {c: b"".join([coded[w] for w in parts]) if len(parts) > 1 else coded[parts[0]] if parts else b""
+                 for c, parts in split.items()}
+        return found | {c: self.added[c] for c in chunks if c in self.added}
 
     def words(self, run: str) -> list[str]:
-        """The rules' words of a run; letters a to z are one word, and so is a mark after them."""
-        if run.isascii() and run.islower():
-            if run.isalpha():
-                return [run]
-            if run[-1] in ".,;:!?" and run[:-1].isalpha():
-                return [run[:-1], run[-1]]
+        """The rules' words of a run; Latin letters are one word under them, and so is a mark after it."""
+        plain = LATIN.fullmatch(run)
+        if plain:
+            letters = plain[1].lower()
+            letters = letters if letters.isascii() else letters.translate(self.letters)
+            return [letters, plain[2]] if plain[2] else [letters]
         return [w for w, _ in self.pre_tokens(self.normalise(run))]
 
     def runs(self, text: str | None) -> list[str]:
@@ -194,7 +208,7 @@ class Bpe:
         new = {c for c in distinct if c not in self.chunks}
         if len(self.chunks) + len(new) > MAX_CHUNKS:
             self.chunks, new = {}, distinct
-        self.learn(new)
+        self.chunks |= self.learn(new)
         return [b"".join(map(self.chunks.__getitem__, r)) for r in runs]
 
 
