@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ROW, TEXT = "__row", "__text"
+#: Rows of an Arrow batch at most: whole texts travel in it, and both sides of the pipe hold a few.
+BATCH_ROWS, BATCH_SETTING = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: A task turns so many rows and about so many bytes of text at a time into Python objects.
 PIECE_ROWS, PIECE_BYTES = 512, 4 << 20
 
@@ -57,7 +59,10 @@ def with_text_columns(
     ``fields``.  ``keep`` names the columns that pass through (all by default).
     They travel as one struct, so their names never clash with the working columns.
     """
-    reach_library(df.sparkSession)
+    spark = df.sparkSession
+    reach_library(spark)
+    if not 0 < int(spark.conf.get(BATCH_SETTING)) <= BATCH_ROWS:
+        spark.conf.set(BATCH_SETTING, BATCH_ROWS)
     kept = df.columns if keep is None else keep
     packed = df.select(
         F.struct(*[F.col(f"`{c}`") for c in kept]).alias(ROW),
