@@ -33,34 +33,76 @@ OTHER = frozenset("nav footer aside form menu dialog".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Names by which pages call what is no article.
 NAMES = re.compile(
-    r"(?:^|[^a-z])(?:ad|ads|adv|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notice|alert|popup|modal|overlay"
+    r"(?<![a-z])(?:ad|ads|adv|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notice|alert|popup|modal|overlay"
     r"|sidebar|side-bar|widget|related|recommend\w*|share|sharing|social|newsletter|subscribe|signup|login|search"
     r"|menu|nav|navbar|navigation|breadcrumbs?|pagination|pager|toolbar|topbar|masthead|header|footer|copyright"
-    r"|comments?|comment-list|replies|reply|disqus|respond|reactions?|tags|byline-links)(?:$|[^a-z])"
+    r"|comments?|comment-list|replies|reply|disqus|respond|reactions?|tags|byline-links)(?![a-z])"
 )
-COMMENTS = re.compile(r"(?:^|[^a-z])(?:comments?|reply|replies)(?:$|[^a-z])")
+#: Whole names of comments and of lists of them.
+COMMENT = re.compile(
+    r"(?<!\S)(?!(?:tag|category|topic)-)(?:\w+[-_]+)*(?:comments?|reply|replies)"
+    r"(?:[-_]*\d+|[-_]+(?:area|body|content|entry|inner|item|list|section|text|thread|wrap|wrapper))?(?!\S)"
+)
+#: Lists of other articles, whose articles are not the page's own.
+LISTS = re.compile(r"(?<![a-z])(?:related|recommend\w*|comments?|replies|disqus)(?![a-z])|^\s*(?:sidebar|side-bar|widget|menu|nav)\s*$")
+#: Parts of names that tell what a container holds beside its text, or lacks ("has-sidebar", "page--no-ads").
+BESIDE = re.compile(r"(?<![a-z0-9])(?:has|have|with|without|no|non|not)[-_]\S*")
+#: Names of containers of whole pages, and how these are laid out ("content sticky-header").
+WRAPPER = re.compile(r"(?<!\S)(?:article|body|columns?|container|content|entry|grid|layout|main|page|post|row|site|wrap|wrapper)(?!\S)")
+PLACE = r"(?:bottom|closed|collapsed|dark|disabled|enabled|fixed|floating|hidden|left|light|open|right|static|sticky|top|transparent|visible)"
+LAYOUT = re.compile(rf"(?<!\S)(?:{PLACE}[-_]\S+|\S+[-_]{PLACE})(?!\S)")
+#: Elements of running text, whose ids are anchors; inside an article sections have anchors, too.
+ANCHORED = HEADINGS | {"p"}
+SECTIONS = frozenset("section li dt dd dl td th tr table caption blockquote pre figure figcaption".split())
+SECTION = re.compile(r"(?<!\S)(?:section|chapter|level\d|sect\d)(?!\S)")
+#: Elements that hold no article of the page.
+FIRM = OTHER - {"form"}
 UNFINISHED = re.compile(r"<(?:[a-zA-Z/!?][^<>]*)?$")
 
 
+def named_other(tag: str, attrs: list[tuple[str, str | None]], main: bool) -> tuple[bool, bool]:
+    """Whether an element's names tell that it is no article, and whether articles inside are none of the page's."""
+    at = {k: v.lower() for k, v in attrs if v and k in ("class", "id", "role", "aria-label")}
+    if not at or tag in ("html", "body"):
+        return False, False
+    kind = f"{at.get('class', '')} {at.get('role', '')}"
+    # A label is free text, unless all its words are such names.
+    label = at.get("aria-label", "")
+    anchor = f" {at.get('id', '')} {label if all(map(NAMES.fullmatch, label.split())) else ''}"
+    if tag in MAIN:
+        comment = bool(COMMENT.search(BESIDE.sub("", kind + anchor)))
+        return comment, comment
+    if tag not in ANCHORED:
+        in_text = main and (tag in SECTIONS or SECTION.search(kind))
+        if not in_text or COMMENT.search(anchor):
+            kind += anchor
+    kind = BESIDE.sub("", kind)
+    if WRAPPER.search(kind):
+        kind = LAYOUT.sub("", kind)
+    # The head of an article is part of it, and so is a heading.
+    named = any(m[0] != "header" or not main and tag not in HEADINGS for m in NAMES.finditer(kind))
+    return named, named and bool(LISTS.search(kind))
+
+
 class Blocks(HTMLParser):
     """Collects ``(text, words, link words, in main, in other, heading, label)`` of each block in page order."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, bool, bool]] = []  # tag, main, other, silent
+        self.open: list[tuple[str, bool, bool, bool, bool]] = []  # tag, main, other, silent, without articles of the page
         self.text: list[str] = []
         self.link_words = self.links = 0
         self.heading = False
         self.label = 0
         self.found: list[tuple[str, int, int, bool, bool, bool, int]] = []
 
-    def state(self) -> tuple[bool, bool, bool]:
-        return self.open[-1][1:] if self.open else (False, False, False)
+    def state(self) -> tuple[bool, bool, bool, bool]:
+        return self.open[-1][1:] if self.open else (False, False, False, False)
 
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            main, other, _ = self.state()
+            main, other, *_ = self.state()
             self.found.append((text, text.count(" ") + 1, self.link_words, main, other, self.heading, self.label))
         self.text.clear()
         self.link_words = 0
@@ -78,15 +120,12 @@ class Blocks(HTMLParser):
             return
         if tag == "p" and self.open and self.open[-1][0] == "p":
             self.open.pop()
-        main, other, silent = self.state()
-        names = " ".join(v or "" for k, v in attrs if k in ("class", "id", "role", "aria-label")).lower()
-        named = NAMES.search(names)
-        if tag in ("html", "body", "article", "main"):
-            named = COMMENTS.search(names)
-        elif named and main and "header" in named[0]:
-            named = None  # the head of an article is part of it
-        other = other or tag in OTHER or tag == "header" and not main or bool(named)
-        self.open.append((tag, main or tag in MAIN, other, silent or tag in SILENT))
+        main, other, silent, firm = self.state()
+        named, lists = named_other(tag, attrs, main)
+        if tag in MAIN and not firm:
+            other = False  # whatever the containers around it are called
+        other = other or tag in OTHER or tag == "header" and not main or named
+        self.open.append((tag, main or tag in MAIN, other, silent or tag in SILENT, firm or lists or tag in FIRM))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -150,6 +189,9 @@ LABELLED = (
     "<p><a href=/home>Home</a></p><p data-main>Plain paragraphs under the body are main text when they are long and have no links in them, as this one.</p>"
     "<p data-main>A second long paragraph follows the first and has as many words as it needs to say what is to be said in it.</p>"
     "<p data-main>A third one ends the page, long enough to be told from the few words of a menu or of a line about rights.</p><p><a href=/top>Back to top</a></p>",
+    "<div class='container has-sidebar'><article><h1 data-main id=search>On searching</h1><p data-main>Few words.</p><section id=related-work><h2 data-main>Related"
+    " work</h2><p data-main>What others wrote before.</p></section></article><div class=sidebar><p>Stories of the day that other readers have read and"
+    " liked, with a word or two on each of them.</p></div></div>",
 )
 MAX_DEPTH = 6
 

@@ -277,6 +277,43 @@ def test_op5_reads_articles_whole(spark):
         assert r.text == words
 
 
+WRAPPERS = ["container has-sidebar", "layout with-sidebar", "page no-ads", "content sticky-header", "page--with-sidebar", "content-sidebar-wrap",
+            "page comments-open"]
+
+
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+def test_main_text_in_wrappers_with_other_names(wrapper):
+    page = f"""<body class="single comments-open no-sidebar"><div class="{wrapper}" aria-label="Search results and comments"><nav><a href=/>Home</a></nav>
+    <article class="post tag-comments"><h1 id="search">A title</h1><p id="tags">One.</p><section id="related-work"><h2 id="related">Related work</h2>
+    <p>Two.</p></section><div class="section" id="share"><p>Three.</p></div><section aria-label="Search and find"><p>Four.</p></section>
+    <ol class="comment-list"><li><article class="comment" id="comment-4"><p>A reader has something of some length to say.</p></article></ol>
+    <section id="comments"><article><p>Another reader has something of some length to say.</p></article></section>
+    <div class="related-posts"><article><p>Another story, told here in one long sentence.</p></article></div></article>
+    <div class="sidebar"><article><p>A story beside this one, told in one long sentence.</p></article></div></div></body>"""
+    assert html_text.main_text(page, html_text.trained()) == "A title One. Related work Two. Three. Four."
+
+
+@pytest.mark.parametrize("wrapper", ["container has-sidebar", "page no-ads", "content sticky-header"])
+def test_main_text_in_wrappers_without_an_article(wrapper):
+    one, two = ("A long run of words that stands in no article at all, and is the text of the page, number %d." % i for i in (1, 2))
+    page = f'<div class="{wrapper}"><p id="search">{one}</p><p>{two}</p></div><div class="ad"><p>{one}</p></div>'
+    assert html_text.main_text(page, html_text.trained()) == f"{one} {two}"
+
+
+@pytest.mark.parametrize("wrapper", ["", *WRAPPERS])
+def test_op5_equals_the_articles_of_the_given_pages(spark, wrapper):
+    import html
+    import re
+
+    pages = pd.read_parquet(f"{SF}/pages.parquet")
+    pages["html"] = [t.replace("<article>", f'<div class="{wrapper}"><article>').replace("</article>", "</article></div>") for t in pages.html]
+    got = {r["page_id"]: r["text"] for r in html_text.page_texts(spark.createDataFrame(pages[["page_id", "url", "html"]])).collect()}
+    for i, page in zip(pages.page_id, pages.html):
+        article = re.search(r"<article>(.*?)</article>", page, re.S)[1]
+        plain = re.sub(r"</?(?:b|a)\b[^>]*>", "", re.sub(r"<!--.*?-->", "", article, flags=re.S))
+        assert got[i] == " ".join(html.unescape(re.sub(r"<[^>]+>", " ", plain)).split())
+
+
 # -- 6: winnowing
 
 def brute_fingerprint(hashes, w):
