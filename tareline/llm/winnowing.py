@@ -3,7 +3,9 @@
 The words of a text give rolling hashes of k words; from every window of w
 hashes the smallest is kept, the rightmost of equal ones, with its position.
 Any run of ``w + k - 1`` words that two texts share therefore leaves a hash in
-both fingerprints.
+both fingerprints.  A text need not have blanks: each character of a script
+that is written without them is a word of its own, and so is each code point of
+a run without blanks that is longer than ``MAX_WORD``.
 
 A hash and its position are packed into one number, hash first and position
 downwards, so that the smallest number of a window is the rightmost smallest
@@ -23,6 +25,13 @@ LAST = (1 << POSITION_BITS) - 1
 HASHES = (1 << 33) - 1
 #: Rows of an ordered chunk, about, and the number of chunks at most (beyond it chunks grow).
 CHUNK_ROWS, MAX_CHUNKS = 2000, 2000
+#: Code points of a word; a longer run without blanks is no word.
+MAX_WORD = 32
+#: Scripts written without blanks (Thai, Lao, Tibetan, Myanmar, Khmer, kana, bopomofo, Han, Yi).
+UNSPACED = (
+    r"([\x{0E00}-\x{0FFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{1950}-\x{19DF}\x{1A20}-\x{1AAF}\x{3001}-\x{312F}"
+    r"\x{31A0}-\x{31FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{A000}-\x{A4CF}\x{F900}-\x{FAFF}\x{FF66}-\x{FF9F}\x{20000}-\x{3FFFF}])"
+)
 
 
 def gram_keys(words: Column, k: int) -> Column:
@@ -44,8 +53,11 @@ def winnow(keys: Column, w: int) -> Column:
 def with_fingerprint(df: DataFrame, text: str, column: str, k: int = K, w: int = W) -> DataFrame:
     """Add the fingerprint of a text as packed keys in order of position; null and blank texts have none."""
     words, keys = f"{column}__words", f"{column}__keys"
+    spaced = F.regexp_replace(F.col(text), UNSPACED, " $1 ")
+    points = F.flatten(F.transform(words, lambda x: F.when(F.length(x) > MAX_WORD, F.split(x, "")).otherwise(F.array(x))))
     return (
-        df.withColumn(words, F.filter(F.split(F.col(text), r"[\x09-\x0D ]+"), lambda x: x != ""))
+        df.withColumn(words, F.filter(F.split(spaced, r"[\x09-\x0D ]+"), lambda x: x != ""))
+        .withColumn(words, F.when(F.exists(words, lambda x: F.length(x) > MAX_WORD), points).otherwise(F.col(words)))
         .withColumn(keys, gram_keys(F.col(words), k))
         .withColumn(column, F.when(F.size(words) > 0, winnow(F.col(keys), w)).otherwise(F.array().cast("array<bigint>")))
         .drop(words, keys)
@@ -57,7 +69,7 @@ def hashes(fingerprint: str | Column) -> Column:
 
 
 def positions(fingerprint: str | Column) -> Column:
-    """Word positions of the kept hashes."""
+    """Positions of the kept hashes, counted in words."""
     return F.transform(fingerprint, lambda x: F.lit(LAST) - x.bitwiseAND(F.lit(LAST)))
 
 

@@ -362,6 +362,37 @@ def test_winnowing_chunks_and_odd_rows(spark, odd, empty, monkeypatch):
     assert winnowing.fingerprints(empty).count() == 0
 
 
+def unspaced_texts():
+    rng = np.random.default_rng(7)
+    pick = lambda letters, n: "".join(rng.choice([*letters], n))
+    return [
+        pick([chr(c) for c in range(0x4E00, 0x5000)], 400),
+        pick([chr(c) for c in range(0x3041, 0x3097)], 20) + "".join(f" {pick([chr(c) for c in range(0x30A1, 0x30FB)], 20)}" for _ in range(8)),
+        "\u00a0".join(pick("abcdefghij", 5) for _ in range(80)),
+        pick("abcdefghijklmnopqrstuvwxyzABCDEF0123456789+/", 500),
+        pick([chr(c) for c in range(0x1F300, 0x1F600)], 200),
+        pick([chr(c) for c in range(0x0E01, 0x0E30)], 300),
+    ]
+
+
+def test_winnowing_texts_without_blanks(spark):
+    texts = unspaced_texts()
+    got = winnowing.fingerprints(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).toPandas()
+    assert (got.near_edited > 0.4).all() and (got.near_next < 0.1).all()
+
+
+def test_winnowing_shared_passages_without_blanks(spark):
+    """A run of w + k - 1 characters that two texts share leaves a hash in both."""
+    texts, n = unspaced_texts(), winnowing.K + winnowing.W - 1
+    rows = [(t, f"{u[:50]}{t[60 : 60 + n]}{u[50:]}") for t, u in ((texts[i], texts[i][::-1]) for i in (0, 2, 3, 4, 5))]
+    rows.append(("ab 東京都千代田区 cd", "xy東京都千代田区z"))  # the same characters between other words
+    df = spark.createDataFrame(rows, "a string, b string")
+    df = winnowing.with_fingerprint(winnowing.with_fingerprint(df, "a", "f"), "b", "g")
+    from pyspark.sql import functions as F
+    common = df.select(F.size(F.array_intersect(winnowing.hashes("f"), winnowing.hashes("g"))).alias("n"))
+    assert min(r["n"] for r in common.collect()) >= 1
+
+
 def test_winnowing_plan_is_native(spark):
     plan = winnowing.fingerprints(spark.read.parquet(f"{SF}/documents.parquet"))._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "ArrowEval", "MapInArrow"))
