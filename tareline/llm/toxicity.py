@@ -3,8 +3,9 @@
 Features are lexicon densities (a fixed lexicon and one learned from labelled
 documents), the share of lexicon words near a second person, rates of capitals
 and punctuation, and rates of obfuscated spellings.  The learners see a bounded
-sample of labelled rows; the lexicon is counted over one part of it, trees and
-calibration are fitted on the others.
+sample of labelled rows; the lexicon is counted over one part of it, the trees
+are fitted on the other, and calibration on margins that trees of the other
+folds give to each row of that part.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from tareline.llm.labelled import SAMPLE_ROWS, collect_features, fold, learning_
 
 HELD_OUT_MODULUS, HELD_OUT = 5, 0
 THRESHOLD = 0.5
+#: Folds of the rows that calibration is fitted on.
+FOLDS = 5
 #: Common insults, in English, German, French and Spanish.
 LEXICON = frozenset(
     "idiot idiots moron morons stupid dumb loser losers clown scum trash garbage filth worthless pathetic disgusting"
@@ -133,6 +136,17 @@ def with_features(df: DataFrame, learned: dict[str, float]) -> DataFrame:
     return with_text_columns(df, "text", make, [T.StructField("features", T.ArrayType(T.DoubleType()))], ["doc_id", "y"])
 
 
+def out_of_fold(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The margin of each row by trees fitted without its fold; folds hold like numbers of both labels."""
+    folds = np.empty(len(y), int)
+    by_label = np.argsort(y, kind="stable")
+    folds[by_label] = np.arange(len(y)) % FOLDS
+    margin = np.empty(len(y))
+    for f in np.unique(folds):
+        margin[folds == f] = BoostedTrees().fit(x[folds != f], y[folds != f]).margin(x[folds == f])
+    return margin
+
+
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> ToxicityModel:
     """Fit on labelled documents outside the held-out fold, ``rows`` of them at most.
 
@@ -141,15 +155,16 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Toxici
     sample = learning_documents(docs, learning_rows(labels, "toxic", HELD_OUT_MODULUS, HELD_OUT, rows), "toxicity")
     part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(2))
     learned = learn_lexicon(sample.where(part == 0))
-    ids, x, y = collect_features(with_features(sample, learned))
+    # What the lexicon was counted over would show its words better than new rows do.
+    _, x, y = collect_features(with_features(sample.where(part == 1), learned))
     if not len(y):
         x = np.zeros((0, len(features("", {}))))
-    steps_part = np.arange(len(ids)) % 4 == 3
-    if y[steps_part].sum() < 20 or y[~steps_part].sum() < 20:
-        steps_part[:] = False  # too few to set any aside
-    trees = BoostedTrees().fit(x[~steps_part], y[~steps_part])
-    for_steps = steps_part if steps_part.any() else ~steps_part
-    return ToxicityModel(learned, trees, Isotonic().fit(trees.margin(x[for_steps]), y[for_steps]))
+    trees = BoostedTrees().fit(x, y)
+    if len(np.unique(y)) < 2:
+        # One kind of label, or none, to fit on: the share of toxic rows in both parts is all that is known.
+        rate = sample.agg(F.avg("y")).first()[0] or 0.0
+        return ToxicityModel(learned, trees, Isotonic().fit(np.zeros(1), np.array([rate])))
+    return ToxicityModel(learned, trees, Isotonic().fit(out_of_fold(x, y), y))
 
 
 def score(df: DataFrame, model: ToxicityModel, text: str = "text", keep: list[str] | None = None,

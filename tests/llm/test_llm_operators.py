@@ -138,6 +138,27 @@ def test_held_out_quality(spark):
     assert (d.predicted == d.quality)[d.held_out].mean() > 0.95
 
 
+def test_held_out_toxicity(spark):
+    sf = "/root/testdata/sf0.01"
+    d = toxicity.toxicity(*(spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))).toPandas()
+    d = d.merge(pd.read_parquet(f"{sf}/labels.parquet"), on="doc_id")
+    held = d[d.held_out]
+    print("held-out toxicity", (held.predicted == held.toxic).mean(), ((held.score - held.toxic) ** 2).mean(), len(held))
+    assert (held.predicted == held.toxic).mean() > 0.95
+    assert ((held.score - held.toxic) ** 2).mean() < 0.04 and abs(held.score.mean() - held.toxic.mean()) < 0.03
+
+
+def test_toxicity_of_noise_is_not_overconfident(spark):
+    """Labels that do not follow from the texts give scores near their share, also for few rows."""
+    rng = np.random.default_rng(11)
+    docs = [(i, " ".join(f"w{chr(97 + a)}{chr(97 + b)}o" for a, b in rng.integers(0, 26, (60, 2))) + "!" * int(rng.integers(0, 9))) for i in range(160)]
+    labels = [(i, 0, int(rng.random() < 0.3)) for i in range(160)]
+    d = toxicity.toxicity(spark.createDataFrame(docs, "doc_id long, text string"),
+                          spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).toPandas()
+    print("noise", d.score.min(), d.score.max(), d.score.std())
+    assert d.score.std() < 0.2
+
+
 def test_isotonic_is_monotone():
     from tareline.llm.boosting import Isotonic
 
