@@ -5,7 +5,8 @@ numbers (0 for a word that no benchmark item has), and its suffix array lists
 the places from which a full window can match, ordered by the words that
 follow.  Every benchmark suffix, cut at the window length, is then found by
 binary search in every shard; places that continue each other along an item
-are joined to the longest verbatim match.  Documents never meet each other, so
+are joined to the longest verbatim match, since a match of more words than a
+window is a run of windows one word apart.  Documents never meet each other, so
 nothing is shuffled.
 
 The benchmark reaches the tasks in blocks of a bounded number of words; each
