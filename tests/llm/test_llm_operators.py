@@ -540,3 +540,12 @@ def test_pipeline_stages_take_effect(spark):
     assert before.count() > 0
     ids = {r["doc_id"] for r in corpus_pipeline.run(spark, SF).collect()}
     assert ids == {r["doc_id"] for r in before.collect()}
+
+
+def test_pipeline_decodes_its_ids(spark, documents):
+    got = corpus_pipeline.bpe_encoding(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF).toPandas().set_index("doc_id")
+    library = Tokenizer.from_file(PATH)
+    for i, text in zip(documents.doc_id, documents.text):
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        assert np.frombuffer(got.ids[i], "<u4").tolist() == ids and got.n_tokens[i] == len(ids)
+        assert got.decoded[i] == library.decode(ids, skip_special_tokens=False)
