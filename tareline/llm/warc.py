@@ -101,38 +101,56 @@ def differing(ours: DataFrame, theirs: DataFrame) -> DataFrame:
 def corrupted(ours: list[DataFrame], theirs: list[DataFrame]) -> DataFrame:
     """Leaves that differ between two trees: ``file, node, expected, found``.
 
-    Starts from the roots; on the next level only children of differing nodes
-    are compared.
+    Starts from the roots of the stores; on the next level, of the stores as of
+    their files, only children of differing nodes are compared.
     """
-    odd = differing(ours[-1], theirs[-1])
+    levels = store_levels(ours, theirs)
+    a, b = store_tree(ours, levels), store_tree(theirs, levels)
+    odd = materialise(differing(a[-1], b[-1]), "odd")
+    for level in reversed(range(levels)):
+        odd = differing(*below(odd, F.floor(F.col("node") / FANOUT), a[level], b[level]))
+    # Stored, the differing files have a known size: a few filter the records without a shuffle.
+    odd = materialise(odd.select(F.col("node").alias("file"), F.lit(0).cast("long").alias("node"), "expected", "found"), "odd")
     for level in reversed(range(len(ours) - 1)):
-        top = level == len(ours) - 2
-        parent = F.lit(0).cast("long") if top else F.floor(F.col("node") / FANOUT)
-        suspects = odd.select("file", F.col("node").alias("__parent"))
+        parent = F.lit(0).cast("long") if level == len(ours) - 2 else F.floor(F.col("node") / FANOUT)
+        odd = differing(*below(odd, parent, ours[level], theirs[level]))
+    return odd
 
-        def below(nodes: DataFrame) -> DataFrame:
-            return nodes.withColumn("__parent", parent).join(suspects, ["file", "__parent"], "left_semi")
 
-        odd = differing(below(ours[level]), below(theirs[level]))
-    return odd
+def below(odd: DataFrame, parent: Column, *sides: DataFrame) -> list[DataFrame]:
+    """The nodes of each side whose parent differs."""
+    suspects = odd.select("file", F.col("node").alias("__parent"))
+    return [nodes.withColumn("__parent", parent).join(suspects, ["file", "__parent"], "left_semi") for nodes in sides]
 
 
 def file_roots(nodes: list[DataFrame]) -> DataFrame:
     return nodes[-1].select("file", "digest")
 
 
+def store_levels(*stores: list[DataFrame]) -> int:
+    """Levels over the files up to one root, enough for each of the stores."""
+    last = max([r[0] for s in stores for r in s[-1].select(F.max("file")).collect() if r[0] is not None], default=0)
+    levels = 1
+    while last >= FANOUT**levels:
+        levels += 1
+    return levels
+
+
+def store_tree(nodes: list[DataFrame], levels: int) -> list[DataFrame]:
+    """Nodes over the files by level, the files' roots first and the store's root last; ``file`` is 0 in all of them."""
+    made = [nodes[-1].select(F.lit(0).cast("long").alias("file"), F.lit(0).alias("level"), F.col("file").cast("long").alias("node"),
+                             "first", "last", "digest")]
+    for level in range(1, levels + 1):
+        up = made[-1].withColumn("__parent", F.floor(F.col("node") / FANOUT)).groupBy("file", "__parent").agg(*joined_digest())
+        up = up.select("file", F.lit(level).alias("level"), F.col("__parent").alias("node"), "first", "last", "digest")
+        made.append(materialise(up, "store"))
+    return made
+
+
 def store_root(nodes: list[DataFrame]) -> str | None:
     """Root over all files, from levels of at most ``FANOUT`` children; None for an empty store."""
-    level = nodes[-1].select(F.row_number().over(Window.partitionBy(F.floor(F.col("file") / FANOUT)).orderBy("file")).alias("n"),
-                             F.floor(F.col("file") / FANOUT).alias("node"), "digest")
-    while True:
-        up = level.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "digest"))).alias("c"))
-        up = up.select("node", F.sha2(F.array_join(F.transform("c", lambda c: c["digest"]), ",").cast("binary"), 256).alias("digest"))
-        up = materialise(up, "store")
-        if up.count() <= 1:
-            row = up.first()
-            return row["digest"] if row else None
-        level = up.select(F.col("node").alias("n"), F.floor(F.col("node") / FANOUT).alias("node"), "digest")
+    row = store_tree(nodes, store_levels(nodes))[-1].first()
+    return row["digest"] if row else None
 
 
 def audit(ours: DataFrame, theirs: DataFrame, levels: int = LEVELS) -> DataFrame:

@@ -521,6 +521,23 @@ def test_warc_missing_records_roots_and_odd_rows(spark):
     assert warc.audit(none, none).count() == 0 and warc.store_root(warc.tree(none)) is None
 
 
+def test_warc_audit_starts_at_the_store_root(spark, monkeypatch):
+    pages = spark.createDataFrame([(i, f"http://a/{i}", f"<p>{i}") for i in range(300)], "page_id long, url string, html string")
+    stored = warc.records(pages, per_file=8).localCheckpoint()
+    replica = warc.damaged(stored, 100).localCheckpoint()
+    compared = []
+    true_differing = warc.differing
+    monkeypatch.setattr(warc, "differing", lambda a, b: compared.append((a, b)) or true_differing(a, b))
+    for theirs in (stored, replica):
+        compared.clear()
+        bad = {tuple(r) for r in stored.select("file", "number", "record").exceptAll(theirs.select("file", "number", "record")).select("file", "number").collect()}
+        assert {(r["file"], r["number"]) for r in warc.audit(stored, theirs).where("NOT sound").collect()} == bad
+        assert compared[0][0].count() == compared[0][1].count() == 1
+        if not bad:
+            assert all(a.count() == b.count() == 0 for a, b in compared[1:])
+    assert bad
+
+
 # -- pipeline
 
 def test_pipeline_stages_take_effect(spark):
