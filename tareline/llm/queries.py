@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tareline.llm import bpe, decontaminate, html_text, jaccard, licenses, quality, sharding, toxicity, warc, winnowing
+from tareline.llm import bpe, decontaminate, html_text, jaccard, licenses, negatives, quality, sharding, toxicity, warc, winnowing
 
 Query = Callable[[SparkSession, str], DataFrame]
 VOCABULARY = "word_bpe_49k.json"
@@ -80,9 +80,32 @@ def op10_warc(spark: SparkSession, sf: str) -> DataFrame:
     return warc.audit(stored, warc.damaged(stored, 50))
 
 
+def op13_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    """Hard negatives of every hundredth embedding, some labels changed first."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
+
+
+NEGATIVES_SQL = """
+    WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                      list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+               FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+                    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same,
+                 CAST(list_sum(list_transform(list_zip(a.e, c.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
+          FROM v a JOIN v c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id),
+    p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+          QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+    SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id AS negative_id, positive_score,
+           score AS negative_score
+    FROM p JOIN s USING (anchor_id)
+    WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+    WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY rank <= 10"""
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (op1_bpe, op2_toxicity, op3_licenses, op4_jaccard, op5_html, op6_winnowing, op7_sharding,
-              op8_decontamination, op9_quality, op10_warc)
+              op8_decontamination, op9_quality, op10_warc, op13_negatives)
 }
-SQL: dict[str, str] = {"op3_licenses": licenses.scan_sql()}
+SQL: dict[str, str] = {"op3_licenses": licenses.scan_sql(), "op13_negatives": NEGATIVES_SQL}
