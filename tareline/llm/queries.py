@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tareline.llm import bpe, decontaminate, html_text, jaccard, licenses, negatives, quality, sharding, toxicity, warc, winnowing
+from tareline.llm import bpe, chosen_path, decontaminate, html_text, jaccard, licenses, negatives, quality, sharding, toxicity, warc, winnowing
 
 Query = Callable[[SparkSession, str], DataFrame]
 VOCABULARY = "word_bpe_49k.json"
@@ -80,6 +80,30 @@ def op10_warc(spark: SparkSession, sf: str) -> DataFrame:
     return warc.audit(stored, warc.damaged(stored, 50))
 
 
+def op12_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Components of the documents that share four fifths of their runs of four words, and the one that is kept."""
+    return chosen_path.near_duplicates(table(spark, sf, "documents"))
+
+
+def components_sql(words: int, more: str = "") -> str:
+    """Every pair that shares a run, counted, and the links followed to their ends."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return rf"""
+    WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'),
+                                                           '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {words} THEN [array_to_string(ws, ' ')]
+                              ELSE list_distinct(list_transform(range(1, len(ws) - {words - 2}),
+                                                                lambda i: array_to_string(ws[i:i + {words - 1}], ' '))) END AS runs
+          FROM w),
+    e AS (SELECT doc_id, len(runs) AS n, unnest(runs) AS run FROM s),
+    links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b USING (run) WHERE a.doc_id <> b.doc_id
+              GROUP BY a.doc_id, b.doc_id HAVING 180 * count(*) >= 80 * (any_value(a.n) + any_value(b.n))),
+    reach AS (SELECT doc_id, doc_id AS other FROM documents
+              UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON reach.other = links.a)
+    SELECT doc_id, CAST(len(runs) AS BIGINT) AS n_shingles, component_id{more}
+    FROM s JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) USING (doc_id)"""
+
+
 def op13_negatives(spark: SparkSession, sf: str) -> DataFrame:
     """Hard negatives of every hundredth embedding, some labels changed first."""
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -106,6 +130,11 @@ NEGATIVES_SQL = """
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (op1_bpe, op2_toxicity, op3_licenses, op4_jaccard, op5_html, op6_winnowing, op7_sharding,
-              op8_decontamination, op9_quality, op10_warc, op13_negatives)
+              op8_decontamination, op9_quality, op10_warc, op12_near_dedup, op13_negatives)
+}
+SQL: dict[str, str] = {
+    "op3_licenses": licenses.scan_sql(),
+    "op4_jaccard": components_sql(jaccard.WORDS),
+    "op12_near_dedup": components_sql(chosen_path.WORDS, ", doc_id = component_id AS kept"),
+    "op13_negatives": NEGATIVES_SQL,
 }
-SQL: dict[str, str] = {"op3_licenses": licenses.scan_sql(), "op13_negatives": NEGATIVES_SQL}
