@@ -15,8 +15,9 @@ pair whose nodes are small at the fourth level, 1e-13 at the first).
 * In a large node each class is compared with the node's pivot, the class that
   meets most others, which ties near copies of one text together.  Then nodes
   whose classes are not all connected by now branch again, level by level.
-* What is left after ``DEPTH`` levels are hundreds of near copies whose trees
-  don't part them.  They are joined exactly on the rarest elements of their sets.
+* Near copies are not parted by branching: a large child that holds more than half
+  of its parent, and what is large after ``DEPTH`` levels, branches no further.
+  Its classes are joined exactly on the rarest elements of their sets.
 
 Only connections matter: each class is verified against its nearest candidate
 first, other pairs only if they are not connected by then.
@@ -193,31 +194,29 @@ def shared_nodes(rows: DataFrame) -> DataFrame:
     return rows.join(met.where("x <> y").select("node", "size"), "node")
 
 
-def branched(rows: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
+def branched(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """The children of ``rows`` by the orders that their nodes choose."""
     spread = len(ROOTS)
     first, second = (F.pmod(F.xxhash64("node", F.lit(i)), F.lit(COORDINATES - spread)).cast("int") + spread for i in (1, 2))
     orders = F.when(F.pmod(F.xxhash64("node", F.lit(3)), F.lit(4)) == 0, F.array(first, second)).otherwise(F.array(first))
-    named = rows.select("node", "id").join(found.select("id", F.col("component").alias("of")), "id", "left")
-    named = named.withColumn("of", F.coalesce("of", "id"))
     child = token_node(F.col("order"), F.col("tokens"), F.col("node"))
-    opened = named.join(classes, "id").select("*", F.explode(F.array_distinct(orders)).alias("order"))
-    return opened.select(child.alias("node"), *ABOUT, "of")
+    opened = rows.select("node", "id", "of", F.col("size").alias("parent")).join(classes, "id")
+    opened = opened.select("*", F.explode(F.array_distinct(orders)).alias("order"))
+    return opened.select(child.alias("node"), *ABOUT, "of", "parent")
 
 
 # -- connecting
 
 
-def connected(pairs: DataFrame, links: DataFrame | None, sets: DataFrame) -> DataFrame:
-    """``links`` and those of ``pairs`` that connect something; nearest candidates are verified first."""
+def nearest_first(pairs: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links that connect what ``pairs`` connect, and their components; each class's nearest candidate is verified first."""
     ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other"), "far"),
                                           F.struct(F.col("b").alias("id"), F.col("a").alias("other"), "far"))).alias("x")).select("x.*")
     nearest = ends.groupBy("id").agg(F.min(F.struct("far", "other")).alias("m")).select(
         F.least("id", "m.other").alias("a"), F.greatest("id", "m.other").alias("b")).distinct()
-    for choice in (lambda: nearest if links is None else apart(nearest, components(links)), lambda: apart(pairs, components(links))):
-        new = verify(choice(), sets)
-        links = materialise(new if links is None else links.union(new), "links")
-    return links
+    links = materialise(verify(nearest, sets), "links")
+    links = materialise(links.union(verify(apart(pairs, components(links)), sets)), "links")
+    return links, components(links)
 
 
 def rest_pairs(sets: DataFrame, found: DataFrame) -> DataFrame:
@@ -240,28 +239,28 @@ def linked(docs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
     top = materialise(shared_nodes(top), "nodes")
     pairs = materialise(within_small(top).union(around_pivots(top)).distinct(), "pairs")
     sets = materialise(whole_sets(docs, rows, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "sets")
-    links = connected(pairs, None, sets)
-    found = components(links)
+    links, found = nearest_first(pairs, sets)
 
-    level, deeper = top.where(F.col("size") > SMALL), []
+    of = found.select("id", F.col("component").alias("of"))
+    level = top.where(F.col("size") > SMALL).select("node", "id").join(of, "id", "left").withColumn("of", F.coalesce("of", "id"))
+    level = materialise(shared_nodes(level), "nodes")
+    deeper, rest = [], []
     for _ in range(DEPTH):
-        level = shared_nodes(level.select("node", "id").join(found.select("id", "component"), "id", "left")
-                             .select("node", "id", F.coalesce("component", "id").alias("of")))
-        children = materialise(shared_nodes(branched(level, classes, found)), "nodes")
-        deeper += [within_small(children), around_pivots(children)]
-        level = children.where(F.col("size") > SMALL)
         if level.isEmpty():
             break
-    more = materialise(reduce(DataFrame.union, deeper).distinct(), "pairs")
-    left = materialise(level.select("id").distinct(), "rest")
-    if more.isEmpty() and left.isEmpty():
+        children = materialise(shared_nodes(branched(level, classes)), "nodes")
+        deeper += [within_small(children), around_pivots(children)]
+        large = children.where(F.col("size") > SMALL)
+        rest.append(large.where(F.col("size") * 2 > F.col("parent")).select("id"))
+        level = large.where(F.col("size") * 2 <= F.col("parent"))
+    if not deeper:
         return found
+    more = materialise(reduce(DataFrame.union, deeper).select("a", "b").distinct(), "pairs")
+    left = materialise(reduce(DataFrame.union, [*rest, level.select("id")]).distinct(), "rest")
     ids = more.select(F.explode(F.array("a", "b")).alias("id")).union(left).distinct()
     sets = materialise(whole_sets(docs, rows, ids), "sets")
-    links = connected(more, links, sets)
-    found = components(links)
     exact = rest_pairs(sets.join(left, "id", "left_semi"), found)
-    return components(materialise(links.union(verify(exact, sets)), "links"))
+    return components(materialise(links.union(verify(more.union(exact).distinct(), sets)), "links"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
