@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tareline.llm import bpe, chosen_path, decontaminate, html_text, jaccard, licenses, negatives, quality, sharding, toxicity, warc, winnowing
+from tareline.llm import alignment, bpe, chosen_path, decontaminate, html_text, jaccard, licenses, negatives, quality, sharding, toxicity, warc, winnowing
 
 Query = Callable[[SparkSession, str], DataFrame]
 VOCABULARY = "word_bpe_49k.json"
@@ -80,6 +80,12 @@ def op10_warc(spark: SparkSession, sf: str) -> DataFrame:
     return warc.audit(stored, warc.damaged(stored, 50))
 
 
+def op11_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's tokens of two vocabularies linked, with the counts of the linked pairs."""
+    paths = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return alignment.align(table(spark, sf, "documents"), *paths, keep=["doc_id"])
+
+
 def op12_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Components of the documents that share four fifths of their runs of four words, and the one that is kept."""
     return chosen_path.near_duplicates(table(spark, sf, "documents"))
@@ -130,7 +136,7 @@ NEGATIVES_SQL = """
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (op1_bpe, op2_toxicity, op3_licenses, op4_jaccard, op5_html, op6_winnowing, op7_sharding,
-              op8_decontamination, op9_quality, op10_warc, op12_near_dedup, op13_negatives)
+              op8_decontamination, op9_quality, op10_warc, op11_alignment, op12_near_dedup, op13_negatives)
 }
 SQL: dict[str, str] = {
     "op3_licenses": licenses.scan_sql(),
