@@ -106,13 +106,25 @@ def covered_totals(df: DataFrame, keys: Sequence[str], factor: str, value: str)
     )
 
 
+def merged_sources(column: str, sep: str = ", ") -> Column:
+    """The different sources of a group as sorted text, missing ones left out; missing if there is none.
+
+    A cell is as long as the vocabulary of sources at most, whatever the group.
+    """
+    return F.nullif(F.array_join(F.array_sort(F.collect_set(F.col(column).cast("string"))), sep), F.lit(""))
+
+
 def consolidate_factors(df: DataFrame, keys: Sequence[str], factor: str = "conversion_factor",
-                        policy: str = "mean", digits: int | None = None) -> DataFrame:
-    """One factor per key: ``mean``, ``min`` or ``max``; the mean may be rounded."""
+                        policy: str = "mean", digits: int | None = None, sources: Sequence[str] = ()) -> DataFrame:
+    """One factor per key: ``mean``, ``min`` or ``max``; the mean may be rounded.
+
+    ``sources`` names columns of provenance, which are merged per key so that
+    the factor keeps the list of what it was made of.
+    """
     mean = exact_mean(factor)
     choice = {"mean": mean if digits is None else rounded(mean, digits),
               "min": F.min(factor), "max": F.max(factor)}[policy]
-    return df.groupBy(*keys).agg(choice.alias(factor))
+    return df.groupBy(*keys).agg(choice.alias(factor), *[merged_sources(c).alias(c) for c in sources])
 
 
 def distinct_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -94,13 +94,15 @@ def lift_category(
     category: Column,
     value: str,
     into: str,
+    **more: Column,
 ) -> DataFrame:
     """Turn the value of one category into a column of its key.
 
     One conditional aggregate; the category must be unique per key (see
-    ``consolidate_factors``), the largest value is taken otherwise.
+    ``consolidate_factors``), the largest value is taken otherwise.  ``more``
+    names further aggregates over the category's rows, such as their sources.
     """
-    return df.where(category).groupBy(*keys).agg(F.max(value).alias(into))
+    return df.where(category).groupBy(*keys).agg(F.max(value).alias(into), *[c.alias(n) for n, c in more.items()])
 
 
 def explode_list(df: DataFrame, column: str, sep: str = ", ") -> DataFrame:

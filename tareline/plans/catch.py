@@ -18,7 +18,13 @@ from pyspark.sql import functions as F
 
 from tareline import vocab
 from tareline.functions.nulls import if_known, is_in
-from tareline.operators.aggregate import bucket_uncovered, consolidate_factors, min_max_with_holders, series_difference
+from tareline.operators.aggregate import (
+    bucket_uncovered,
+    consolidate_factors,
+    merged_sources,
+    min_max_with_holders,
+    series_difference,
+)
 from tareline.operators.filters import member_filter
 from tareline.operators.joins import apply_factor, join_on, match_factor, semi_keys
 from tareline.operators.lookup import mark_non_members
@@ -76,6 +82,35 @@ def catch_min_max_series(by_product: DataFrame) -> DataFrame:
     ).withColumn("difference", F.col("year_total_catch_max") - F.col("year_total_catch_min"))
 
 
+def national_and_wide(factors: DataFrame, digits: int | None) -> tuple[DataFrame, DataFrame]:
+    """Factors averaged per product and country, with their merged sources; and the bloc-wide ones among them.
+
+    Columns ``national_CF, national_ref`` and ``EU_wide_CF, EU_ref``.
+    """
+    own = consolidate_factors(factors, ["scientific_name", "landings_code", "iso3c"], digits=digits, sources=["reference"])
+    own = materialise(own, "factors").withColumnsRenamed({"conversion_factor": "national_CF", "reference": "national_ref"})
+    wide = own.where(F.col("iso3c") == vocab.WIDE_CODE).select(
+        "scientific_name", "landings_code", F.col("national_CF").alias("EU_wide_CF"), F.col("national_ref").alias("EU_ref"))
+    return own, wide
+
+
+def catch_per_presentation(landings: DataFrame, factors: DataFrame, labels: Sequence[str] = (), digits: int | None = None,
+                           members: DataFrame | None = None, sources: Sequence[str] | None = None,
+                           taxa: DataFrame | None = None) -> DataFrame:
+    """Yearly landings and both catches per vessel country, taxon and presentation, covered or not.
+
+    Each factor comes with the sources it was averaged from (``national_ref``,
+    ``EU_ref``).  ``labels`` names columns of the landings, such as the common
+    name, that are kept as part of the key.
+    """
+    landings, factors = restricted(landings, factors, members, sources, taxa)
+    own, wide = national_and_wide(factors, digits)
+    panel = annual_panel(landings, [*labels, *PRODUCT, "iso3c"])
+    matched = match_factor(panel, own, {**ON_PRODUCT, "iso3c": "iso3c"}, "national_CF", "national_CF", {"national_ref": "national_ref"})
+    matched = match_factor(matched, wide, ON_PRODUCT, "EU_wide_CF", "EU_wide_CF", {"EU_ref": "EU_ref"})
+    return apply_factor(matched, "landings", {"catch_by_national_CF": "national_CF", "catch_by_EU_wide_CF": "EU_wide_CF"})
+
+
 def catch_national_vs_wide(landings: DataFrame, factors: DataFrame, span: tuple[int, int] | None = None,
                            digits: int | None = None, members: DataFrame | None = None,
                            sources: Sequence[str] | None = None, taxa: DataFrame | None = None) -> DataFrame:
@@ -87,12 +122,8 @@ def catch_national_vs_wide(landings: DataFrame, factors: DataFrame, span: tuple[
     left out.  Members, sources and taxa restrict as in ``min_max_by_product``.
     """
     landings, factors = restricted(landings, factors, members, sources, taxa)
-    own = consolidate_factors(factors, ["scientific_name", "landings_code", "iso3c"], digits=digits)
-    own = materialise(own, "factors")
-    wide = (own.where(F.col("iso3c") == vocab.WIDE_CODE)
-            .select("scientific_name", "landings_code", F.col("conversion_factor").alias("EU_wide_CF")))
-    both = join_on(own.withColumnRenamed("conversion_factor", "national_CF"), wide,
-                   ["scientific_name", "landings_code"], "inner")
+    own, wide = national_and_wide(factors, digits)
+    both = join_on(own, wide, ["scientific_name", "landings_code"], "inner")
     panel = annual_panel(landings, [*PRODUCT, "iso3c"])
     matched = join_on(panel, both, {**ON_PRODUCT, "iso3c": "iso3c"}, "inner")
     caught = apply_factor(matched, "landings", {"national_catch": "national_CF", "EU_catch": "EU_wide_CF"})
@@ -127,31 +158,37 @@ def largest_gaps(series: DataFrame, keys: Iterable[str]) -> DataFrame:
 
 
 def case_study_catch(landings: DataFrame, factors: DataFrame, cases: DataFrame, years: Iterable[int],
-                     grain: str = "row") -> DataFrame:
+                     grain: str = "row", labels: Sequence[str] = ()) -> DataFrame:
     """Peak landings of the case products under vessel, port and bloc-wide factors.
 
     ``grain='row'`` looks for the largest reported row per product and vessel,
     ``'year'`` for the largest yearly total over ports.  Only products and years
     in which some vessel factor and the bloc-wide one disagree are kept.  The
     result is distinct, so repeated rows are dropped at the start.
+
+    Each factor comes with its source (``vessel_ref``, ``port_ref``; ``EU_ref``
+    lists those of the bloc-wide factors).  ``labels`` names columns of the
+    landings that stay beside the product, such as the common name and the
+    reporting entity; yearly totals are kept apart by them.
     """
     wanted = landings.where(is_in("year", years) & (F.col("value") != 0) & F.col("iso3c").isNotNull())
     # Stored, the case list has a known size: a short one filters the facts without a shuffle.
     cases = materialise(cases.select("scientific_name", "landings_code").distinct(), "cases")
     wanted = semi_keys(wanted, cases, ON_PRODUCT)
     ports = ["port_iso3c"] if grain == "row" else []
-    columns = [*PRODUCT, "iso3c", *ports, "year"]
+    columns = [*PRODUCT, *labels, "iso3c", *ports, "year"]
     rows = (wanted.select(*columns, "value").distinct() if grain == "row"
             else annual_panel(wanted, columns[:-1], out="value"))
     peak = max_rows_per_group(materialise(rows, "rows"), [*PRODUCT, "iso3c"], "value", null_safe=False)
 
     national = factors.where(F.col("iso3c") != vocab.WIDE_CODE)
     by_country = {**ON_PRODUCT, "iso3c": "iso3c"}
-    matched = match_factor(peak, national, by_country, into="vessel_CF")
+    matched = match_factor(peak, national, by_country, into="vessel_CF", extra={"reference": "vessel_ref"})
     if ports:
-        matched = match_factor(matched, national, {**ON_PRODUCT, "port_iso3c": "iso3c"}, into="port_CF")
-    wide = lift_category(factors, ["scientific_name", "landings_code"],
-                         F.col("iso3c") == vocab.WIDE_CODE, "conversion_factor", "EU_CF")
+        matched = match_factor(matched, national, {**ON_PRODUCT, "port_iso3c": "iso3c"}, into="port_CF",
+                               extra={"reference": "port_ref"})
+    wide = lift_category(factors, ["scientific_name", "landings_code"], F.col("iso3c") == vocab.WIDE_CODE,
+                         "conversion_factor", "EU_CF", EU_ref=merged_sources("reference"))
     matched = join_on(matched, wide, ON_PRODUCT)
     products = {"catch_by_vessel_CF": "vessel_CF", "catch_by_EU_CF": "EU_CF"}
     if ports:

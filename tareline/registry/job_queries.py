@@ -459,6 +459,21 @@ def national_vs_wide(spark: SparkSession, sf: str) -> DataFrame:
     return national_series(spark, sf)
 
 
+@query("catch_per_presentation", sql("lv fv cv", """
+    SELECT l.common_name, l.scientific_name, l.presentation, l.iso3c, l.year, landings, n.cf AS national_CF, n.ref AS national_ref,
+           w.cf AS EU_wide_CF, w.ref AS EU_ref, round(landings * n.cf, 4) AS catch_by_national_CF,
+           round(landings * w.cf, 4) AS catch_by_EU_wide_CF
+    FROM (SELECT common_name, scientific_name, presentation, iso3c, year, sum(value) AS landings FROM lv GROUP BY ALL) l
+    LEFT JOIN own n ON l.scientific_name = n.scientific_name AND l.presentation = n.landings_code AND l.iso3c = n.iso3c
+    LEFT JOIN own w ON l.scientific_name = w.scientific_name AND l.presentation = w.landings_code AND w.iso3c = 'EU'""", """
+    own AS (SELECT scientific_name, landings_code, iso3c, any_value(cv.conversion_factor) AS cf,
+                   string_agg(DISTINCT reference, ', ' ORDER BY reference) AS ref
+            FROM cv JOIN fv USING (scientific_name, landings_code, iso3c) GROUP BY ALL)"""))
+def per_presentation(spark: SparkSession, sf: str) -> DataFrame:
+    found = catch.catch_per_presentation(landings(spark, sf), factors(spark, sf), ["common_name"], digits=4)
+    return rounded(found, "catch_by_national_CF", "catch_by_EU_wide_CF")
+
+
 @query("largest_gaps", sql("lv cv", """
     SELECT *, abs(difference) AS gap FROM series
     WHERE (scientific_name, abs(difference)) IN (SELECT (scientific_name, max(abs(difference))) FROM series
@@ -491,19 +506,21 @@ def by_wide_coverage(spark: SparkSession, sf: str) -> DataFrame:
 
 
 SQL_STUDY = SQL_CASES + """,
-    seen AS (SELECT DISTINCT scientific_name, presentation, iso3c, port_iso3c, year, value
+    seen AS (SELECT DISTINCT scientific_name, presentation, common_name, reporting_entity, iso3c, port_iso3c, year, value
              FROM lvp JOIN (SELECT scientific_name, landings_code AS presentation FROM cases)
                   USING (scientific_name, presentation)),
     peak AS (SELECT * EXCLUDE (best) FROM (
                  SELECT *, max(value) OVER (PARTITION BY scientific_name, presentation, iso3c) AS best FROM seen)
              WHERE value = best),
-    nat AS (SELECT scientific_name, landings_code AS presentation, iso3c, conversion_factor AS cf FROM fv WHERE iso3c <> 'EU'),
+    nat AS (SELECT scientific_name, landings_code AS presentation, iso3c, conversion_factor AS cf, reference FROM fv
+            WHERE iso3c <> 'EU'),
     caught AS (
-        SELECT p.*, v.cf AS vessel_CF, h.cf AS port_CF, EU_CF, round(value * v.cf, 4) AS catch_by_vessel_CF,
+        SELECT p.*, v.cf AS vessel_CF, v.reference AS vessel_ref, h.cf AS port_CF, h.reference AS port_ref, EU_CF, EU_ref, round(value * v.cf, 4) AS catch_by_vessel_CF,
                round(value * h.cf, 4) AS catch_by_port_CF, round(value * EU_CF, 4) AS catch_by_EU_CF
         FROM peak p LEFT JOIN nat v USING (scientific_name, presentation, iso3c)
         LEFT JOIN nat h ON p.scientific_name = h.scientific_name AND p.presentation = h.presentation AND port_iso3c = h.iso3c
-        LEFT JOIN (SELECT scientific_name, landings_code AS presentation, max(conversion_factor) AS EU_CF
+        LEFT JOIN (SELECT scientific_name, landings_code AS presentation, max(conversion_factor) AS EU_CF,
+                          string_agg(DISTINCT reference, ', ' ORDER BY reference) AS EU_ref
                    FROM fv WHERE iso3c = 'EU' GROUP BY ALL) w
              ON p.scientific_name = w.scientific_name AND p.presentation = w.presentation),
     study AS (SELECT DISTINCT * FROM caught WHERE (scientific_name, presentation, year) IN (
@@ -513,7 +530,7 @@ SQL_STUDY = SQL_CASES + """,
 def study(spark: SparkSession, sf: str) -> DataFrame:
     wanted = materialise(cases(spark, sf).select("scientific_name", "landings_code").distinct(), "cases")
     landed = landings(spark, sf, port=True, products=wanted, years=(1995, 2001))
-    found = catch.case_study_catch(landed, factors(spark, sf), wanted, range(1995, 2002))
+    found = catch.case_study_catch(landed, factors(spark, sf), wanted, range(1995, 2002), labels=["common_name", "reporting_entity"])
     return rounded(found, "catch_by_vessel_CF", "catch_by_port_CF", "catch_by_EU_CF")
 
 
@@ -533,11 +550,12 @@ def case_study(spark: SparkSession, sf: str) -> DataFrame:
                  SELECT *, max(value) OVER (PARTITION BY scientific_name, presentation, iso3c) AS best FROM yearly)
              WHERE value = best),
     caught AS (
-        SELECT DISTINCT scientific_name, presentation, iso3c, year, value, cf AS vessel_CF, EU_CF,
+        SELECT DISTINCT scientific_name, presentation, iso3c, year, value, cf AS vessel_CF, vessel_ref, EU_CF, EU_ref,
                round(value * cf, 4) AS catch_by_vessel_CF, round(value * EU_CF, 4) AS catch_by_EU_CF
-        FROM peak LEFT JOIN (SELECT scientific_name, landings_code AS presentation, iso3c, conversion_factor AS cf
-                             FROM fv WHERE iso3c <> 'EU') USING (scientific_name, presentation, iso3c)
-        LEFT JOIN (SELECT scientific_name, landings_code AS presentation, max(conversion_factor) AS EU_CF
+        FROM peak LEFT JOIN (SELECT scientific_name, landings_code AS presentation, iso3c, conversion_factor AS cf,
+                                    reference AS vessel_ref FROM fv WHERE iso3c <> 'EU') USING (scientific_name, presentation, iso3c)
+        LEFT JOIN (SELECT scientific_name, landings_code AS presentation, max(conversion_factor) AS EU_CF,
+                          string_agg(DISTINCT reference, ', ' ORDER BY reference) AS EU_ref
                    FROM fv WHERE iso3c = 'EU' GROUP BY ALL) USING (scientific_name, presentation))"""))
 def case_study_yearly(spark: SparkSession, sf: str) -> DataFrame:
     wanted = materialise(cases(spark, sf).select("scientific_name", "landings_code").distinct(), "cases")

@@ -41,14 +41,16 @@ def landings(spark: SparkSession, sf: str, port: bool = False, fine: bool = Fals
     if years is not None:
         line = line.where(f"l_shipdate >= make_date({years[0]}, 1, 1) AND l_shipdate < make_date({years[1] + 1}, 1, 1)")
     part = table(spark, sf, "part").select(
-        "p_partkey", F.col("p_brand").alias("scientific_name"), form(fine).alias("presentation"))
+        "p_partkey", F.col("p_brand").alias("scientific_name"), form(fine).alias("presentation"),
+        F.split_part("p_name", F.lit(" "), F.lit(2)).alias("common_name"))
     if products is not None:
         part = semi_keys(part, products, {"scientific_name": "scientific_name", "presentation": "landings_code"})
     supplier = table(spark, sf, "supplier").select("s_suppkey", nation_code("s_nationkey").alias("iso3c"))
     rows = line.join(part, F.expr("l_partkey = p_partkey")).join(supplier, F.expr("l_suppkey = s_suppkey"))
     if port:
         orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
-        customer = table(spark, sf, "customer").select("c_custkey", nation_code("c_nationkey").alias("port_iso3c"))
+        customer = table(spark, sf, "customer").select("c_custkey", nation_code("c_nationkey").alias("port_iso3c"),
+                                                         F.concat(F.lit("Port "), F.col("c_mktsegment")).alias("reporting_entity"))
         # Orders meet their customers first, so the lines are shuffled for one join less.
         ports = orders.join(customer, F.expr("o_custkey = c_custkey"))
         rows = rows.join(ports, F.expr("l_orderkey = o_orderkey"))
@@ -56,7 +58,8 @@ def landings(spark: SparkSession, sf: str, port: bool = False, fine: bool = Fals
         "scientific_name",
         "presentation",
         "iso3c",
-        *(["port_iso3c"] if port else []),
+        "common_name",
+        *(["port_iso3c", "reporting_entity"] if port else []),
         F.year("l_shipdate").alias("year"),
         F.col("l_returnflag").alias("use"),
         F.col("l_linestatus").alias("unit"),
@@ -104,11 +107,12 @@ SQL_VIEWS = {
     "lv": """
         SELECT p_brand AS scientific_name, p_type AS presentation, 'N' || CAST(s_nationkey AS VARCHAR) AS iso3c,
                CAST(year(l_shipdate) AS INTEGER) AS year, l_returnflag AS use, l_linestatus AS unit,
-               l_quantity AS value, l_extendedprice AS price
+               l_quantity AS value, l_extendedprice AS price, split_part(p_name, ' ', 2) AS common_name
         FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey""",
     "lvp": """
         SELECT p_brand AS scientific_name, p_type AS presentation, 'N' || CAST(s_nationkey AS VARCHAR) AS iso3c,
-               'N' || CAST(c_nationkey AS VARCHAR) AS port_iso3c,
+               'N' || CAST(c_nationkey AS VARCHAR) AS port_iso3c, split_part(p_name, ' ', 2) AS common_name,
+               'Port ' || c_mktsegment AS reporting_entity,
                CAST(year(l_shipdate) AS INTEGER) AS year, l_returnflag AS use, l_linestatus AS unit,
                l_quantity AS value, l_extendedprice AS price
         FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey
