@@ -13,10 +13,33 @@ from tareline.operators.aggregate import consolidate_factors
 from tareline.operators.filters import member_filter
 from tareline.operators.joins import apply_factor, join_on
 from tareline.operators.reshape import unpivot_measures
+from tareline.session import materialise
 
-def code_prefix(code: str, length: int | None) -> Column:
-    """The first characters of a product code without its spaces, or the code as it is."""
-    return F.col(code) if length is None else F.substring(F.replace(F.col(code), F.lit(" "), F.lit("")), 1, length)
+
+
+def plain_code(code: str) -> Column:
+    """A product code without its spaces."""
+    return F.replace(F.col(code), F.lit(" "), F.lit(""))
+
+
+def prefixes(code: Column, shortest: int) -> Column:
+    """The beginnings of a code from ``shortest`` characters to the whole of it; of a shorter code the code itself."""
+    least = F.least(F.lit(shortest), F.length(code))
+    return F.transform(F.sequence(least, F.length(code)), lambda n: F.substring(code, F.lit(1), n))
+
+
+def posted_by_prefix(codes: DataFrame, posted: DataFrame, code: str, value: Column, into: str, shortest: int) -> DataFrame:
+    """``code, into``: for each of ``codes`` the aggregate ``value`` of the posted rows nearest to it in the tariff.
+
+    A posted code counts under each of its beginnings, so the rows under one
+    beginning are the whole branch of the tariff.  A code takes the longest of
+    its own beginnings under which there are any; lengths may be mixed on both
+    sides.  Both sides are summed to codes first; one aggregate picks the longest.
+    """
+    branch = posted.withColumn("__prefix", F.explode(prefixes(plain_code(code), shortest))).groupBy("__prefix").agg(value.alias(into))
+    own = codes.select(code).distinct().withColumn("__prefix", F.explode(prefixes(plain_code(code), shortest)))
+    met = join_on(own, branch, ["__prefix"], "inner")
+    return met.groupBy(code).agg(F.max_by(into, F.length("__prefix")).alias(into))
 
 
 MEASURES = {"q_by_exporter": "cf_exporter", "q_by_max": "max_cf_by_code",
@@ -24,7 +47,7 @@ MEASURES = {"q_by_exporter": "cf_exporter", "q_by_max": "max_cf_by_code",
 
 
 def trade_live_weight(flows: DataFrame, factors: DataFrame, official: DataFrame, members: DataFrame,
-                      digits: int | None = None, code_length: int | None = None,
+                      digits: int | None = None, shortest_prefix: int | None = None,
                       exclude: Sequence[str] = ()) -> DataFrame:
     """Live weight of imports under four factors, per year, product and exporter.
 
@@ -32,14 +55,14 @@ def trade_live_weight(flows: DataFrame, factors: DataFrame, official: DataFrame,
     country, factor.  ``official``: product, factor.  Long form with the traded
     quantity as ``product form`` and the estimates as ``nominal weight``.
 
-    With ``code_length`` official factors meet flows on so many first characters
-    of both codes (spaces removed), so codes of different length match; several
-    official codes under one prefix are averaged.  ``exclude`` names taxa whose
-    factors take no part (``factors`` then has a column ``scientific_name``).
+    With ``shortest_prefix`` official codes need not be those of the flows: a flow
+    takes the mean of the official factors under the longest beginning of its
+    code, of so many characters at least, that some official code has too
+    (spaces removed).  Without it codes must be equal.  ``exclude`` names taxa
+    whose factors take no part (``factors`` then has a column ``scientific_name``).
     """
     if exclude:
         factors = factors.where(not_in("scientific_name", exclude))
-    official = official.withColumn("__code", code_prefix("product", code_length))
     keys = ["year", "product", "exporter"]
     traded = member_filter(flows, "importer", members).groupBy(*keys).agg(F.sum("q").alias("product_q"))
     by_code = factors.groupBy("product").agg(
@@ -47,11 +70,14 @@ def trade_live_weight(flows: DataFrame, factors: DataFrame, official: DataFrame,
     own = consolidate_factors(factors, ["product", "country"], "factor", digits=digits)
     own = own.withColumnRenamed("factor", "cf_exporter")
     mean = exact_mean("factor") if digits is None else rounded(exact_mean("factor"), digits)
-    posted = official.groupBy("__code").agg(mean.alias("cf_official"))
+    if shortest_prefix is None:
+        posted = official.groupBy("product").agg(mean.alias("cf_official"))
+    else:
+        traded = materialise(traded, "traded")
+        posted = posted_by_prefix(traded, official, "product", mean, "cf_official", shortest_prefix)
 
     matched = join_on(traded, own, {"product": "product", "exporter": "country"})
-    matched = join_on(matched, by_code, ["product"]).withColumn("__code", code_prefix("product", code_length))
-    matched = join_on(matched, posted, ["__code"])
+    matched = join_on(join_on(matched, by_code, ["product"]), posted, ["product"])
     weights = apply_factor(matched, "product_q", MEASURES).select(*keys, "product_q", *MEASURES)
     long = unpivot_measures(weights, ["product_q", *MEASURES])
     is_product = F.col("calculation") == "product_q"

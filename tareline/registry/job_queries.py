@@ -787,15 +787,43 @@ def traded(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(weights, "value")
 
 
-@query("trade_by_code_prefix", SQL["trade_live_weight"])
+@query("trade_by_code_prefix", sql("lvp fv", """
+    SELECT year, product, exporter, calculation, value,
+           CASE calculation WHEN 'product_q' THEN 'product form' ELSE 'nominal weight' END AS "group"
+    FROM (
+        SELECT year, product, exporter, q AS product_q, round(q * own, 4) AS q_by_exporter, round(q * top, 4) AS q_by_max,
+               round(q * low, 4) AS q_by_min, round(q * posted, 4) AS q_by_official
+        FROM flows
+        LEFT JOIN (SELECT product, exporter, floor(CAST(sum(CAST(cf AS DECIMAL(18,6))) AS DOUBLE) / count(*) * 10000.0 + 0.5)
+                                             / 10000.0 AS own FROM held GROUP BY ALL) USING (product, exporter)
+        LEFT JOIN (SELECT product, max(cf) AS top, min(cf) AS low FROM held GROUP BY ALL) USING (product)
+        LEFT JOIN (SELECT product, arg_max(posted, length(prefix)) AS posted
+                   FROM (SELECT DISTINCT product FROM flows) JOIN branches ON starts_with(product, prefix)
+                   GROUP BY ALL) USING (product))
+    UNPIVOT INCLUDE NULLS (value FOR calculation IN (product_q, q_by_exporter, q_by_max, q_by_min, q_by_official))""", """
+    flows AS (SELECT year, code AS product, iso3c AS exporter, sum(value) AS q FROM lvp
+              WHERE port_iso3c IN (SELECT 'N' || n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey
+                                   WHERE r_name = 'EUROPE') GROUP BY ALL),
+    held AS (SELECT code AS product, iso3c AS exporter, conversion_factor AS cf FROM fv
+             WHERE scientific_name NOT IN ('Brand#11', 'Brand#23', 'Brand#13')),
+    official AS (SELECT CASE p_partkey % 3 WHEN 0 THEN left(code, 4) WHEN 1 THEN code
+                                           ELSE code || lpad(CAST(p_partkey % 10 * 10 AS VARCHAR), 2, '0') END AS code,
+                        conversion_factor AS cf FROM fv WHERE p_partkey % 11 = 0 AND p_partkey % 7 < 4 AND left(code, 4) <> '0305'),
+    branches AS (SELECT prefix, floor(CAST(sum(CAST(cf AS DECIMAL(18,6))) AS DOUBLE) / count(*) * 10000.0 + 0.5) / 10000.0 AS posted
+                 FROM (SELECT left(code, CAST(unnest(generate_series(4, length(code))) AS INTEGER)) AS prefix, cf FROM official)
+                 GROUP BY prefix)"""))
 def traded_by_prefix(spark: SparkSession, sf: str) -> DataFrame:
-    """Official codes are longer than those of the flows and written with spaces; three characters tell them apart."""
+    """Official codes have 4, 6 or 8 digits, written with spaces; those of a heading and of some codes below do not exist."""
     flows = landings(spark, sf, port=True).select(
-        "year", F.col("presentation").alias("product"), F.col("iso3c").alias("exporter"),
+        "year", F.col("code").alias("product"), F.col("iso3c").alias("exporter"),
         F.col("port_iso3c").alias("importer"), F.col("value").alias("q"))
-    held = factors(spark, sf).select(F.col("landings_code").alias("product"), F.col("iso3c").alias("country"),
-                                     F.col("conversion_factor").alias("factor"), "implementation", "scientific_name")
-    spaced = F.concat_ws(" ", F.substring("product", 1, 2), F.substring("product", 3, 1), F.lit("00"))
-    official = held.where("implementation = 'EU-wide CF'").withColumn("product", spaced)
-    weights = trade.trade_live_weight(flows, held, official, members(spark, sf), digits=4, code_length=3, exclude=["no such taxon"])
+    rows = factors(spark, sf).withColumn("factor", F.col("conversion_factor"))
+    held = rows.select(F.col("code").alias("product"), F.col("iso3c").alias("country"), "factor", "scientific_name")
+    key, code = F.col("p_partkey"), F.col("code")
+    heading, sub, item = F.substring(code, 1, 4), F.substring(code, 5, 2), F.lpad((key % 10 * 10).cast("string"), 2, "0")
+    written = F.when(key % 3 == 0, heading).when(key % 3 == 1, F.concat_ws(" ", heading, sub)).otherwise(
+        F.concat_ws(" ", heading, sub, item))
+    official = rows.where((key % 11 == 0) & (key % 7 < 4) & (heading != "0305")).select(written.alias("product"), "factor")
+    weights = trade.trade_live_weight(flows, held, official, members(spark, sf), digits=4, shortest_prefix=4,
+                                      exclude=["Brand#11", "Brand#23", "Brand#13"])
     return rounded(weights, "value")

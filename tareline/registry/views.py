@@ -29,6 +29,12 @@ def form(fine: bool) -> Column:
     return F.concat_ws(" ", "p_type", noun) if fine else F.col("p_type")
 
 
+def tariff_code() -> Column:
+    """Six digits that stand for a traded product."""
+    sub = F.lpad((F.col("p_partkey") % 7 * 10 + 11).cast("string"), 2, "0")
+    return F.concat(F.lit("0"), (301 + F.col("p_size") % 5).cast("string"), sub)
+
+
 def landings(spark: SparkSession, sf: str, port: bool = False, fine: bool = False,
              products: DataFrame | None = None, years: tuple[int, int] | None = None) -> DataFrame:
     """Lineitems as landed quantities; ``port`` adds the customer's nation.
@@ -42,7 +48,8 @@ def landings(spark: SparkSession, sf: str, port: bool = False, fine: bool = Fals
         line = line.where(f"l_shipdate >= make_date({years[0]}, 1, 1) AND l_shipdate < make_date({years[1] + 1}, 1, 1)")
     part = table(spark, sf, "part").select(
         "p_partkey", F.col("p_brand").alias("scientific_name"), form(fine).alias("presentation"),
-        F.split_part("p_name", F.lit(" "), F.lit(2)).alias("common_name"))
+        F.split_part("p_name", F.lit(" "), F.lit(2)).alias("common_name"),
+        tariff_code().alias("code"))
     if products is not None:
         part = semi_keys(part, products, {"scientific_name": "scientific_name", "presentation": "landings_code"})
     supplier = table(spark, sf, "supplier").select("s_suppkey", nation_code("s_nationkey").alias("iso3c"))
@@ -59,6 +66,7 @@ def landings(spark: SparkSession, sf: str, port: bool = False, fine: bool = Fals
         "presentation",
         "iso3c",
         "common_name",
+        "code",
         *(["port_iso3c", "reporting_entity"] if port else []),
         F.year("l_shipdate").alias("year"),
         F.col("l_returnflag").alias("use"),
@@ -86,6 +94,7 @@ def factors(spark: SparkSession, sf: str, fine: bool = False, affiliation: bool
                    .otherwise("other").alias("continent_affiliation")]
     return rows.select(
         F.col("p_partkey"),
+        tariff_code().alias("code"),
         F.col("p_brand").alias("scientific_name"),
         form(fine).alias("landings_code"),
         F.when(wide, vocab.WIDE_CODE).otherwise(nation_code(key)).alias("iso3c"),
@@ -112,6 +121,7 @@ SQL_VIEWS = {
     "lvp": """
         SELECT p_brand AS scientific_name, p_type AS presentation, 'N' || CAST(s_nationkey AS VARCHAR) AS iso3c,
                'N' || CAST(c_nationkey AS VARCHAR) AS port_iso3c, split_part(p_name, ' ', 2) AS common_name,
+               '0' || CAST(301 + p_size % 5 AS VARCHAR) || lpad(CAST(p_partkey % 7 * 10 + 11 AS VARCHAR), 2, '0') AS code,
                'Port ' || c_mktsegment AS reporting_entity,
                CAST(year(l_shipdate) AS INTEGER) AS year, l_returnflag AS use, l_linestatus AS unit,
                l_quantity AS value, l_extendedprice AS price
@@ -119,6 +129,7 @@ SQL_VIEWS = {
              JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey""",
     "fv": """
         SELECT p_partkey, p_brand AS scientific_name, p_type AS landings_code,
+               '0' || CAST(301 + p_size % 5 AS VARCHAR) || lpad(CAST(p_partkey % 7 * 10 + 11 AS VARCHAR), 2, '0') AS code,
                CASE WHEN p_size % 25 = 0 THEN 'EU' ELSE 'N' || CAST(p_size % 25 AS VARCHAR) END AS iso3c,
                round(1 + (p_retailprice - 900) / 100, 3) AS conversion_factor,
                CASE WHEN p_size % 25 = 0 THEN 'EU-wide CF' ELSE 'national CF' END AS implementation,
