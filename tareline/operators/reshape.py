@@ -14,6 +14,8 @@ from tareline.operators.joins import join_on, semi_keys
 from tareline.session import materialise
 
 YEAR_COLUMN = r"^[12]\d{3}$"
+#: Column of packed year cells.
+CELLS = "__cells"
 
 
 def split_key(df: DataFrame, header: str, key: str, sep: str = ",") -> DataFrame:
@@ -36,7 +38,7 @@ def split_pair(df: DataFrame, column: str, into: tuple[str, str], sep: str = " -
         *[n for c in df.columns for n in (into if c == column else (c,))])
 
 
-def pack_years(df: DataFrame, pattern: str = YEAR_COLUMN, into: str = "__cells") -> DataFrame:
+def pack_years(df: DataFrame, pattern: str = YEAR_COLUMN, into: str = CELLS) -> DataFrame:
     """The year columns of each row as one map from year to cell text.
 
     Tables with different year columns have one schema afterwards, so they can
@@ -51,7 +53,7 @@ def pack_years(df: DataFrame, pattern: str = YEAR_COLUMN, into: str = "__cells")
     return df.select(*keys, cells.alias(into))
 
 
-def unpack_years(df: DataFrame, value: str = "value", flag: str | None = "flag", cells: str = "__cells") -> DataFrame:
+def unpack_years(df: DataFrame, value: str = "value", flag: str | None = "flag", cells: str = CELLS) -> DataFrame:
     """One row per key and year of packed cells, keeping missing cells."""
     keys = [quoted(c) for c in df.columns if c != cells]
     long = df.select(*keys, F.explode(cells).alias("year", "__cell"))

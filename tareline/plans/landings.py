@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,8 +11,7 @@ from tareline import vocab
 from tareline.functions.recode import recode
 from tareline.operators.filters import clean_filter
 from tareline.operators.lookup import decode_codes, resolve_country, resolve_synonyms
-from tareline.operators.reshape import YEAR_COLUMN, pack_years, split_pair, unpack_years
-from tareline.operators.sets import union_sources
+from tareline.operators.reshape import YEAR_COLUMN, split_pair, unpack_years
 from tareline.sources.wide import read_wide_flagged
 
 LANDINGS_NAMES = {
@@ -24,14 +23,13 @@ LANDINGS_NAMES = {
 CATCH_NAMES = {"fishreg": "fishing_region", "geo": "reporting_entity"}
 
 
-def tidy_wide(frames: Sequence[DataFrame], dictionaries: Mapping[str, DataFrame], names: Mapping[str, str],
-              synonyms: DataFrame | None = None, years: str = YEAR_COLUMN, strict: bool = True) -> DataFrame:
-    """Stack wide tables, decode, split names, then one row per year.
+def tidy_wide(wide: DataFrame, dictionaries: Mapping[str, DataFrame], names: Mapping[str, str],
+              synonyms: DataFrame | None = None, strict: bool = True) -> DataFrame:
+    """Decode rows with packed year cells, split names, then one row per year.
 
-    The year cells of a row are packed first, so tables of any headers are
-    decoded by one set of joins: a lookup per key, not one per cell or header.
+    The cells stay packed until the end, so a lookup is made per key and not per
+    cell, and files of any headers are decoded by one set of joins.
     """
-    wide = union_sources(*[pack_years(f, years) for f in frames], allow_missing=True)
     known = {c: d for c, d in dictionaries.items() if c in wide.columns}
     coded = decode_codes(wide, known, code_suffix="_code", strict=strict)
     named = split_pair(coded, "species", ("common_name", "scientific_name"))
@@ -48,13 +46,13 @@ def clean_landings(spark: SparkSession, paths: list[str] | str, dictionaries: Ma
     With ``strict=False`` ambiguous dictionary and synonym entries are left out
     instead of ending the run.
     """
-    return tidy_wide(read_wide_flagged(spark, paths), dictionaries, LANDINGS_NAMES, synonyms, years, strict)
+    return tidy_wide(read_wide_flagged(spark, paths, years=years), dictionaries, LANDINGS_NAMES, synonyms, strict)
 
 
 def clean_catch(spark: SparkSession, paths: list[str] | str, dictionaries: Mapping[str, DataFrame],
                 synonyms: DataFrame | None = None, years: str = YEAR_COLUMN, strict: bool = True) -> DataFrame:
     """Tidy catch by fishing region, from files of the same layout."""
-    return tidy_wide(read_wide_flagged(spark, paths), dictionaries, CATCH_NAMES, synonyms, years, strict)
+    return tidy_wide(read_wide_flagged(spark, paths, years=years), dictionaries, CATCH_NAMES, synonyms, strict)
 
 
 def with_countries(landings: DataFrame, countries: DataFrame) -> DataFrame:

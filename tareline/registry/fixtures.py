@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tareline.session import new_scratch_path
@@ -34,6 +34,24 @@ def write_wide(wide: DataFrame, keys: list[str], header: str, name: str) -> str:
     return path
 
 
+def move_files(spark: SparkSession, source: str, folder: str, name: str) -> None:
+    """Move the part files of ``source`` to ``folder`` under a name of their own, ``name`` and a number."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path
+    files = path(folder).getFileSystem(context._jsc.hadoopConfiguration())
+    files.mkdirs(path(folder))
+    parts = [s.getPath() for s in files.listStatus(path(source)) if s.getPath().getName().startswith("part-")]
+    for i, part in enumerate(parts):
+        files.rename(part, path(f"{folder}/{name}{i or ''}.tsv"))
+
+
+def write_dictionary(dictionary: DataFrame, name: str) -> str:
+    """Codes and labels as a dictionary file: two tab-separated columns without header or quotes."""
+    path = new_scratch_path(dictionary.sparkSession, name)
+    dictionary.select("code", "label").write.options(sep="\t", header=False, quote="").csv(path)
+    return path
+
+
 SQL_CELLS = """
     k AS (SELECT DISTINCT {keys} FROM {source}),
     y AS (SELECT DISTINCT year FROM {source}),

@@ -6,14 +6,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tareline import vocab
+from tareline.functions.measure import display
 from tareline.functions.recode import recode
 from tareline.plans import catch, coverage, factors as factor_jobs, trade
 from tareline.plans.landings import clean_catch, clean_landings, with_countries
 from tareline.registry.base import SQL, query, sql
-from tareline.registry.fixtures import SQL_CELLS, calendar, wide_cells, write_wide
+from tareline.registry.fixtures import SQL_CELLS, calendar, move_files, wide_cells, write_dictionary, write_wide
 from tareline.registry.operator_queries import CODE, PRODUCT, consolidated, rounded
 from tareline.registry.views import factors, landings, members, nation_code, table
-from tareline.session import materialise
+from tareline.session import materialise, new_scratch_path
+from tareline.sources.tables import read_code_dictionary
+from tareline.sources.wide import list_wide_files
 
 
 # Factors
@@ -48,12 +51,15 @@ def cases(spark: SparkSession, sf: str) -> DataFrame:
            max(conversion_factor) OVER w AS max_in_group,
            max(conversion_factor) OVER w - min(conversion_factor) OVER w AS range_in_group,
            conversion_factor / min(conversion_factor) OVER w AS cf_relative,
-           max(conversion_factor) OVER w / min(conversion_factor) OVER w AS max_cf_relative
+           max(conversion_factor) OVER w / min(conversion_factor) OVER w AS max_cf_relative,
+           printf('%.2f', round_even(conversion_factor / min(conversion_factor) OVER w, 2)) AS cf_relative_shown,
+           printf('%.2f', round_even(max(conversion_factor) OVER w - min(conversion_factor) OVER w, 2)) AS range_shown
     FROM fv JOIN cases USING (scientific_name, landings_code)
     WINDOW w AS (PARTITION BY scientific_name, landings_code)""", SQL_CASES))
 def relative(spark: SparkSession, sf: str) -> DataFrame:
     rows = factors(spark, sf).select("p_partkey", *CODE, "conversion_factor")
-    return factor_jobs.relative_factors(rows, cases(spark, sf))
+    found = factor_jobs.relative_factors(rows, cases(spark, sf))
+    return found.withColumns({"cf_relative_shown": display("cf_relative"), "range_shown": display("range_in_group")})
 
 
 @query("relative_by_presentation", sql("fv", """
@@ -315,7 +321,9 @@ def dictionaries(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
         F.when(F.col("name") < "blue gear", F.concat_ws(" - ", "name", "p_brand")).otherwise(F.col("name")).alias("label"))
     nations = nation.select(nation_code("n_nationkey").alias("code"), F.col("n_name").alias("label"))
     forms = spark.sql("SELECT * FROM VALUES ('SMALL', 'Fresh, small'), ('PROMO', 'Fresh') AS t(code, label)")
-    return {"species": species, "pres": forms, "fishreg": forms, "natvessr": nations, "geo": nations}
+    tables = {"species": species, "pres": forms, "natvessr": nations}
+    read = {name: read_code_dictionary(spark, write_dictionary(d, f"{name}.dic")) for name, d in tables.items()}
+    return read | {"fishreg": read["pres"], "geo": read["natvessr"]}
 
 
 SQL_TAXA = """
@@ -334,12 +342,16 @@ def synonyms_of_taxa(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def wide_files(spark: SparkSession, sf: str, keys: list[str], header: str, name: str) -> list[str]:
-    """Two files whose year columns run in opposite order."""
+    """The files that a folder lists: two kinds whose year columns run in opposite order, and a file of totals that is dropped."""
     rows = landings(spark, sf).withColumns({"dest_use": F.lit("TOTAL"), "geo": F.col("iso3c")})
     years = calendar(table(spark, sf, "lineitem"))
-    halves = [(rows.where("unit = 'F'"), years), (rows.where("unit = 'O'"), years[::-1])]
-    return [write_wide(wide_cells(df, keys, "value", order), keys, header, f"{name}-{i}")
-            for i, (df, order) in enumerate(halves)]
+    folder = new_scratch_path(spark, "wide")
+    parts = {"f": (rows.where("unit = 'F'"), years), "o": (rows.where("unit = 'O'"), years[::-1])}
+    totals = rows.withColumns({k: F.lit("all") for k in keys if k not in ("unit", "dest_use")}).coalesce(1)
+    for part, (df, order) in (parts | {"main": (totals, years)}).items():
+        written = write_wide(wide_cells(df, keys, "value", order), keys, header, f"{name}-{part}")
+        move_files(spark, written, folder, f"{name}_{part}")
+    return list_wide_files(spark, folder, name)
 
 
 @query("clean_landings", sql("lv", f"""

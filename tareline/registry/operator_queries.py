@@ -54,8 +54,7 @@ WIDE_KEYS = ["scientific_name", "presentation", "unit", "iso3c"]
 def read_wide(spark: SparkSession, sf: str) -> DataFrame:
     wide = wide_cells(landings(spark, sf), WIDE_KEYS, "value", calendar(table(spark, sf, "lineitem")))
     path = write_wide(wide, WIDE_KEYS, "species,pres,unit,geo\\time", "wide")
-    frames = [reshape.unpivot_years(f) for f in read_wide_flagged(spark, path, source_file=None)]
-    return sets.union_sources(*frames)
+    return reshape.unpack_years(read_wide_flagged(spark, path, source_file=None))
 
 
 @query("union_sources", """
