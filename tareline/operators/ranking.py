@@ -7,6 +7,7 @@ whole group: a group may hold a large share of all rows.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -136,29 +137,38 @@ def prefer_source(df: DataFrame, keys: Sequence[str], source: Column | str, pref
     """Resolve several rows per key by authority.
 
     A row stays if it is the only one of its key or its source is preferred.  A
-    key with several rows and no preferred source disappears.  Lone rows are
-    found by an aggregate that carries the row along, so no join is needed.
-    Reads ``df`` twice; store it first if it is costly to compute.
+    key with several rows and no preferred source disappears.  ``df`` is computed
+    once and stored: rows are counted on the key columns alone, and the whole
+    rows meet the keys that occur once.
     """
+    stored = materialise(df, "sources")
     authoritative = is_in(source, preferred)
-    lone = only_unambiguous(df, keys).where(~authoritative)
-    return df.where(authoritative).unionByName(lone)
+    return stored.where(authoritative).unionByName(only_unambiguous(stored, keys).where(~authoritative))
 
 
 def only_unambiguous(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows whose key occurs once."""
-    row = F.struct(*map(quoted, df.columns))
-    return (df.groupBy(*[F.col(quoted(k)).alias(f"__key{i}") for i, k in enumerate(keys)])
-            .agg(F.count("*").alias("__n"), F.any_value(row).alias("__row"))
-            .where("__n = 1").select("__row.*"))
+    """Rows whose key occurs once.
+
+    Only keys and counts go through the aggregate; rows meet the keys afterwards.
+    Reads ``df`` twice; store it first if it is costly to compute.
+    """
+    named = {quoted(k): f"__key{i}" for i, k in enumerate(keys)}
+    once = df.groupBy(*[F.col(k).alias(n) for k, n in named.items()]).agg(F.count("*").alias("__n")).where("__n = 1")
+    met = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(n)) for k, n in named.items()])
+    return df.join(once.drop("__n"), met, "left_semi")
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """First row per key in a given order, missing last, by one aggregate."""
-    rank = F.struct(*[part for c in order for part in (F.col(quoted(c)).isNull(), F.col(quoted(c)))])
-    return (df.groupBy(*[F.col(quoted(k)).alias(f"__key{i}") for i, k in enumerate(keys)])
-            .agg(F.min_by(F.struct(*map(quoted, df.columns)), rank).alias("__row"))
-            .select("__row.*"))
+    """First row per key in a given order, missing last; of equal rows the first one stored.
+
+    Rows are numbered and stored.  The aggregate finds the number of the first
+    row on keys and order alone; the whole rows meet these numbers.
+    """
+    stored = materialise(df.withColumn("__number", F.monotonically_increasing_id()), "numbered")
+    rank = F.struct(*[part for c in order for part in (F.col(quoted(c)).isNull(), F.col(quoted(c)))], F.col("__number"))
+    first = (stored.groupBy(*[F.col(quoted(k)).alias(f"__key{i}") for i, k in enumerate(keys)])
+             .agg(F.min(rank).alias("__rank")).select(F.col("__rank.__number").alias("__first")))
+    return stored.join(first, F.col("__number") == F.col("__first"), "left_semi").drop("__number")
 
 
 def groups_with(df: DataFrame, keys: Sequence[str], flag: Column, null_safe: bool = True) -> DataFrame:

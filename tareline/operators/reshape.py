@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Mapping, Sequence
 
@@ -14,6 +15,8 @@ from tareline.operators.joins import join_on, semi_keys
 from tareline.session import materialise
 
 YEAR_COLUMN = r"^[12]\d{3}$"
+#: Cells of a grid that one task makes, about.
+TASK_CELLS = 1_000_000
 #: Column of packed year cells.
 CELLS = "__cells"
 
@@ -119,7 +122,7 @@ def complete_grid(
     b: str,
     fill: Mapping[str, object] | None = None,
     only: DataFrame | None = None,
-    salts: int = 256,
+    salts: int | None = None,
 ) -> DataFrame:
     """Every combination of the occurring ``a`` and ``b`` values, joined to ``df``.
 
@@ -127,14 +130,18 @@ def complete_grid(
     product of two key lists; facts never take part in it.  ``only``, a table
     with column ``a``, restricts the first list before the grid is built.  The
     ``b`` list is copied once per salt and meets the ``a`` values of that salt,
-    so the work is spread over the salts.  ``df`` is read three times and
-    therefore stored first.
+    so the work is spread over the salts: as many as give about ``TASK_CELLS``
+    cells each, by approximate counts of both lists, and one ``a`` value each at
+    most.  ``df`` is read several times and therefore stored first.
     """
     df = materialise(df, "grid")
     if only is not None:
         left = semi_keys(df, only.select(a).distinct(), [a]).select(a).distinct()
     else:
         left = df.select(a).distinct()
+    if salts is None:
+        long, wide = df.agg(F.approx_count_distinct(a), F.approx_count_distinct(b)).first()
+        salts = max(1, min(long, math.ceil(long * wide / TASK_CELLS)))
     spread = left.withColumn("__salt", F.pmod(F.hash(a), F.lit(salts)))
     copied = df.select(b).distinct().withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     grid = spread.join(copied, "__salt").drop("__salt")

@@ -123,7 +123,6 @@ def compile_factors(
         "implementation": F.when(F.col("iso3c") == vocab.WIDE_CODE, vocab.WIDE_CF).otherwise(vocab.NATIONAL_CF),
     }).select("scientific_name", "state", "presentation", "landings_code", "conversion_factor", "country",
               "iso3c", "iso2c", "continent_affiliation", "implementation", "note", "reference")
-    full = materialise(full, "compiled")
     return prefer_source(full, [*PRODUCT, "iso3c"], "reference", vocab.PREFERRED_SOURCES)
 
 
