@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tareline.functions.nulls import is_blank
@@ -90,6 +91,38 @@ def resolve_country(df: DataFrame, name: str, countries: DataFrame, into: Mappin
     return join_on(keyed, table, {"__name": "__name_key"}).drop("__name")
 
 
+def fixed_overrides(spark: SparkSession, spellings: Mapping[str, tuple[str, str]],
+                    overrides: Mapping[str, Mapping[str, str]]) -> DataFrame:
+    """Rows ``name_key, of_key, country, iso3c, iso2c, continent`` of other spellings and of values to replace."""
+    rows = [(key, of, name, None, None, None) for key, (of, name) in spellings.items()]
+    rows += [(key, key, *(one.get(c) for c in ("country", "iso3c", "iso2c", "continent"))) for key, one in overrides.items()]
+    schema = "name_key string, of_key string, country string, iso3c string, iso2c string, continent string"
+    return spark.createDataFrame(rows, schema)
+
+
+def with_overrides(countries: DataFrame, *overrides: DataFrame) -> DataFrame:
+    """A country table with other spellings added and single values replaced.
+
+    ``countries`` has columns ``name_key, country, iso3c, iso2c, continent``;
+    override rows as of ``fixed_overrides``, earlier tables taking precedence.
+    A row takes what it does not state from the country ``of_key``.  A spelling
+    that ``countries`` itself lists is left alone; a row with its own key as
+    ``of_key`` replaces values of that country, or adds it.
+    """
+    shape = ["country", "iso3c", "iso2c", "continent"]
+    ranked = [o.select("name_key", "of_key", *shape, F.lit(i).alias("__tier")) for i, o in enumerate(overrides)]
+    best = reduce(DataFrame.unionByName, ranked).groupBy("name_key").agg(F.min_by(F.struct("of_key", *shape), "__tier").alias("__o"))
+    known = countries.select("name_key", F.lit(True).alias("__listed")).distinct()
+    own = F.col("__o.of_key") == F.col("name_key")
+    wanted = join_on(best, known, ["name_key"]).where(own | F.col("__listed").isNull())
+    base = countries.select(F.col("name_key").alias("__base"), *[F.col(c).alias(f"__{c}") for c in shape])
+    made = wanted.join(base, F.col("__o.of_key") == F.col("__base"), "left").where(own | F.col("__base").isNotNull()).select(
+        "name_key", *[F.coalesce(f"__o.{c}", f"__{c}").alias(c) for c in shape])
+    rest = countries.select("name_key", *shape).join(made.select(F.col("name_key").alias("__made")),
+                                                     F.col("name_key") == F.col("__made"), "left_anti")
+    return rest.unionByName(made)
+
+
 def membership_flag(df: DataFrame, column: str, members: DataFrame, out: str,
                     yes: str = "EU", no: str = "non-EU") -> DataFrame:
     """Label rows by membership of a one-column table; missing is no member."""

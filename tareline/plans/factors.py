@@ -8,7 +8,8 @@ continent_affiliation, implementation, note, reference``.  A product is a
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,10 +30,12 @@ from tareline.operators.filters import drop_exception
 from tareline.operators.joins import attach_group_stats, join_on, semi_keys
 from tareline.operators.lookup import (
     align_vocab,
+    fixed_overrides,
     membership_flag,
     resolve_common_names,
     resolve_country,
     resolve_synonyms,
+    with_overrides,
 )
 from tareline.operators.ranking import only_unambiguous, prefer_source, top_k
 from tareline.operators.reshape import explode_list
@@ -90,12 +93,17 @@ def compile_factors(
     countries: DataFrame,
     members: DataFrame,
     strict: bool = True,
+    overrides: DataFrame | None = None,
 ) -> DataFrame:
     """All factor sources as one harmonised table, duplicates resolved by authority.
 
-    With ``strict=False`` ambiguous synonyms and country spellings are left out
-    instead of ending the run.
+    Usual spellings of countries, the bloc's own code and the continent of
+    Greenland are known; ``overrides`` (rows as of ``fixed_overrides``) takes
+    precedence over them.  With ``strict=False`` ambiguous synonyms and country
+    spellings are left out instead of ending the run.
     """
+    fixed = fixed_overrides(countries.sparkSession, vocab.COUNTRY_SPELLINGS, vocab.COUNTRY_OVERRIDES)
+    countries = materialise(with_overrides(countries, *([overrides] if overrides is not None else []), fixed), "countries")
     coded = union_sources(national, third_country, allow_missing=True)
     official = coded.select(*[F.col("factor").alias(c) if c == "conversion_factor" else F.col(c) for c in CODED])
     official = official.withColumns({
@@ -209,29 +217,50 @@ def factor_drift(official: DataFrame, code: str = "CN8", year: str = "year", fac
     return spread.where(F.col("high") - F.col("low") > least)
 
 
-def spread_examples(factors: DataFrame, keys: Sequence[str], factor: str, least_range: float = 0.3,
-                    least_count: int = 3) -> DataFrame:
-    """Factor rows of products with many and widely spread factors."""
+def spread_examples(factors: DataFrame, keys: Sequence[str], factor: str, least_range: float = 0.3, least_count: int = 3,
+                    exclude: Sequence[Mapping[str, str]] | None = None) -> DataFrame:
+    """Factor rows of products with many and widely spread factors.
+
+    ``exclude`` lists rows to leave out by the values of some columns, by
+    default those known to be in error, as far as ``factors`` has the columns.
+    """
+    if exclude is None:
+        exclude = [e for e in vocab.SPREAD_EXCLUSIONS if set(e) <= set(factors.columns)]
+    for row in exclude:
+        same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.lit(v)) for c, v in row.items()])
+        factors = factors.where(~same)
     spread = attach_group_stats(
         factors, keys,
         n=F.count("*"), upper=F.max(factor), lower=F.min(factor), range=F.max(factor) - F.min(factor))
     return spread.where((F.col("range") > least_range) & (F.col("n") > least_count))
 
 
-def spread_labels(examples: DataFrame, non_members: Sequence[str] = tuple(vocab.SPREAD_NON_MEMBERS)) -> DataFrame:
+def spread_labels(examples: DataFrame, non_members: Sequence[str] = tuple(vocab.SPREAD_NON_MEMBERS),
+                  countries: Mapping[str, str] | None = None, common_names: Mapping[str, str] | None = None) -> DataFrame:
     """Display names of the examples and whether their country is a member.
 
     Columns used: ``country, scientific_name, common_name, type_of_processing``.
-    The bloc's own rows are left out; they are no country's factor.
+    Countries are renamed by lower-case spelling, common names as they are; the
+    entries of ``countries`` and ``common_names`` take precedence over the fixed
+    ones.  The bloc's own rows are left out, they are no country's factor, and so
+    are the labels known to be said twice.
     """
+    spelt = recode(name_key("country"), {**vocab.SPREAD_COUNTRIES, **(countries or {})}, "")
+    shown = recode("common_name", {**vocab.SPREAD_COMMON_NAMES, **(common_names or {})}, "")
+    dogfish = F.when(F.contains("common_name", F.lit(vocab.DOGFISH)), vocab.DOGFISH_NAME)
+    examples = examples.withColumns({
+        "country": F.when(spelt != "", spelt).otherwise(F.col("country")),
+        "common_name": F.when(shown != "", shown).otherwise(F.coalesce(dogfish, "common_name")),
+    })
     national = examples.where(F.col("country") != vocab.WIDE_CODE)
     processing = F.col("type_of_processing")
     named = national.withColumn("scientific_name", sentence_case("scientific_name"))
-    return named.withColumns({
+    labelled = named.withColumns({
         "Species_prep": paste("scientific_name", F.lit(" ("), processing, F.lit(")"), sep=""),
         "Common_name_prep": paste("common_name", F.lit(" ("), processing, F.lit(")"), sep=""),
         "State_membership": F.when(is_in("country", non_members), "non-EU").otherwise("EU"),
     })
+    return labelled.where(not_in("Common_name_prep", vocab.SPREAD_EXCLUDED_LABELS))
 
 
 def separation_rules(text: Column, kind: Column) -> list[tuple[Column, str | None]]:

@@ -92,10 +92,12 @@ def drift(spark: SparkSession, sf: str) -> DataFrame:
                max(conversion_factor) OVER w AS upper, min(conversion_factor) OVER w AS lower,
                max(conversion_factor) OVER w - min(conversion_factor) OVER w AS range
         FROM fv WINDOW w AS (PARTITION BY scientific_name, landings_code, reference))
-    WHERE range > 0.3 AND n > 3""".replace("p_partkey,", "p_partkey, reference,")))
+    WHERE range > 0.3 AND n > 3 AND scientific_name <> 'Brand#13' AND NOT (scientific_name = 'Brand#12' AND landings_code = 'PROMO')
+    """.replace("p_partkey,", "p_partkey, reference,")))
 def spread(spark: SparkSession, sf: str) -> DataFrame:
     rows = factors(spark, sf).select("p_partkey", *CODE, "iso3c", "reference", "conversion_factor")
-    return factor_jobs.spread_examples(rows, [*CODE, "reference"], "conversion_factor")
+    excluded = [{"scientific_name": "Brand#13"}, {"scientific_name": "Brand#12", "landings_code": "PROMO"}]
+    return factor_jobs.spread_examples(rows, [*CODE, "reference"], "conversion_factor", exclude=excluded)
 
 
 @query("presentation_alignment", sql("lv", """
@@ -180,12 +182,15 @@ def cases_of(c: Column, mapping: dict[str, str], default: str | None = None) ->
 
 
 @query("compile_factors", r"""
-    WITH nr AS (SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey),
+    WITH nr AS (SELECT n_nationkey, r_name, CASE n_nationkey WHEN 0 THEN 'EU' WHEN 2 THEN 'UK' WHEN 5 THEN 'Greenland'
+                                                             ELSE n_name END AS n_name
+                FROM nation JOIN region ON n_regionkey = r_regionkey),
     p AS (SELECT *, split_part(p_name, ' ', 1) AS adj, split_part(p_name, ' ', 2) AS noun,
                  round(1 + (p_retailprice - 900) / 100, 3) AS cf FROM part),
     countries AS (SELECT n_nationkey, n_name AS country, CASE n_nationkey WHEN 0 THEN 'EU' ELSE 'N' || n_nationkey END AS iso3c,
                          CASE n_nationkey WHEN 0 THEN 'EU' ELSE 'n' || n_nationkey END AS iso2c,
-                         CASE WHEN n_nationkey = 0 OR r_name IN ('EUROPE', 'MIDDLE EAST') THEN 'Europe' ELSE r_name END AS continent
+                         CASE WHEN n_nationkey IN (0, 5) OR r_name IN ('EUROPE', 'MIDDLE EAST') THEN 'Europe' ELSE r_name END
+                             AS continent
                   FROM nr),
     official AS (
         SELECT n_name AS country, p_brand || '. spp.' AS scientific_name,
@@ -195,11 +200,11 @@ def cases_of(c: Column, mapping: dict[str, str], default: str | None = None) ->
                     ELSE 'none' END AS presentation,
                cf AS conversion_factor, CASE adj WHEN 'blue' THEN NULL ELSE adj END AS note,
                CASE adj WHEN 'small' THEN 'EU Council Regulations Annex' ELSE 'FAO' END AS reference
-        FROM p JOIN nation ON n_nationkey = p_size % 25 WHERE adj <> 'red'
+        FROM p JOIN nr ON n_nationkey = p_size % 25 WHERE adj <> 'red'
         UNION ALL
         SELECT n_name, 'Brand#' || CAST(s_suppkey % 25 AS VARCHAR) || '. spp.', 'Fresh', 'gutted', 1 + s_nationkey / 100, NULL,
                'EU Council Website Third Country Info'
-        FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+        FROM supplier JOIN nr ON s_nationkey = n_nationkey),
     curated AS (SELECT * FROM (VALUES ('frozen ring', 'gutted'), ('frozen ring', 'gutted, tail off'),
                                       ('fresh bolt', 'gutted and headed'), ('salted gear', 'filleted'),
                                       ('alive plate', 'whole'), ('dried anvil', 'whole')) v(text, presentation)),
@@ -209,7 +214,7 @@ def cases_of(c: Column, mapping: dict[str, str], default: str | None = None) ->
                     ELSE 'Salted' END AS state,
                presentation, cf AS conversion_factor, adj AS note,
                CASE adj WHEN 'old' THEN 'EU Council Regulations Annex' ELSE 'FAO 2000' END AS reference
-        FROM p JOIN nation ON n_nationkey = p_size % 25
+        FROM p JOIN nr ON n_nationkey = p_size % 25
              JOIN curated ON text = CASE noun WHEN 'ring' THEN 'frozen' WHEN 'bolt' THEN 'fresh' WHEN 'gear' THEN 'salted'
                                          WHEN 'plate' THEN 'alive' ELSE 'dried' END || ' ' || noun
         WHERE p_type <> 'PROMO' AND adj NOT IN ('hot') AND noun <> 'anvil'
@@ -235,6 +240,8 @@ def cases_of(c: Column, mapping: dict[str, str], default: str | None = None) ->
     WHERE n = 1 OR reference IN ('EU Council Regulations Annex', 'EU Council Website Third Country Info')""")
 def compiled(spark: SparkSession, sf: str) -> DataFrame:
     nation = table(spark, sf, "nation").join(table(spark, sf, "region"), F.expr("n_regionkey = r_regionkey"))
+    shown = F.when(F.col("n_nationkey") == 0, "EU").when(F.col("n_nationkey") == 2, "UK").when(F.col("n_nationkey") == 5, "Greenland")
+    nation = nation.withColumn("n_name", F.coalesce(shown, "n_name"))
     part = table(spark, sf, "part").join(nation, F.expr("n_nationkey = p_size % 25"))
     adj, noun = F.split("p_name", " ")[0], F.split("p_name", " ")[1]
     factor = F.round(1 + (F.col("p_retailprice") - 900) / 100, 3)
@@ -268,12 +275,13 @@ def compiled(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit("Brand#"), F.col("n_nationkey").cast("string")).alias("synonym"),
         F.concat(F.lit("brand#"), ((F.col("n_nationkey") + 1) % 25).cast("string")).alias("accepted"),
         F.when(F.col("r_name") == "EUROPE", "synonym").otherwise("accepted name").alias("status"))
-    wide = F.col("n_nationkey") == 0
-    countries = nation.select(
-        F.lower("n_name").alias("name_key"), F.col("n_name").alias("country"),
-        F.when(wide, "EU").otherwise(nation_code("n_nationkey")).alias("iso3c"),
-        F.when(wide, "EU").otherwise(F.lower(nation_code("n_nationkey"))).alias("iso2c"),
-        F.when(wide | F.col("r_name").isin("EUROPE", "MIDDLE EAST"), "Europe").otherwise(F.col("r_name")).alias("continent"))
+    # The bloc, the spelling UK and the continent of Greenland come from the library's own rows.
+    listed = F.when(F.col("n_name") == "UK", "United Kingdom").otherwise(F.col("n_name"))
+    european = F.col("r_name").isin("EUROPE", "MIDDLE EAST") & (F.col("n_name") != "Greenland")
+    countries = nation.where("n_nationkey <> 0").select(
+        F.lower(listed).alias("name_key"), listed.alias("country"), nation_code("n_nationkey").alias("iso3c"),
+        F.lower(nation_code("n_nationkey")).alias("iso2c"),
+        F.when(european, "Europe").otherwise(F.col("r_name")).alias("continent"))
     return factor_jobs.compile_factors(national, third_country, general, curated, synonyms, countries, members(spark, sf))
 
 
@@ -287,17 +295,29 @@ def sources(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("spread_labels", """
-    SELECT p_partkey, n_name AS country, upper(left(p_brand, 1)) || lower(substr(p_brand, 2)) AS scientific_name,
-           p_name AS common_name, p_type AS type_of_processing, p_brand || ' (' || p_type || ')' AS Species_prep,
-           p_name || ' (' || p_type || ')' AS Common_name_prep,
-           CASE WHEN n_name IN ('NATION_1', 'NATION_7') THEN 'non-EU' ELSE 'EU' END AS State_membership
-    FROM part JOIN nation ON p_size % 25 = n_nationkey WHERE n_nationkey <> 0""")
+    SELECT p_partkey, country, upper(left(p_brand, 1)) || lower(substr(p_brand, 2)) AS scientific_name,
+           common_name, lower(p_type) AS type_of_processing, p_brand || ' (' || lower(p_type) || ')' AS Species_prep,
+           common_name || ' (' || lower(p_type) || ')' AS Common_name_prep,
+           CASE WHEN country IN ('Russia', 'UK') THEN 'non-EU' ELSE 'EU' END AS State_membership
+    FROM (SELECT *, CASE n_nationkey WHEN 1 THEN 'Bulgaria' WHEN 2 THEN 'UK' WHEN 3 THEN 'Russia' WHEN 4 THEN 'Hong Kong'
+                                     WHEN 5 THEN 'Nation five' ELSE n_name END AS country,
+                 CASE WHEN p_name = 'red ring' THEN 'Monkfish' WHEN p_name = 'blue bolt' THEN 'Common ling'
+                      WHEN p_name LIKE '% gear' THEN 'Piked dogfish' WHEN p_name = 'old plate' THEN 'Greenland halibut'
+                      ELSE p_name END AS common_name
+          FROM part JOIN nation ON p_size % 25 = n_nationkey WHERE n_nationkey <> 0)
+    WHERE NOT (common_name = 'Greenland halibut' AND p_type = 'SMALL')""".replace("lower(p_type)",
+    "CASE p_type WHEN 'SMALL' THEN 'frozen' ELSE lower(p_type) END"))
 def labelled_spread(spark: SparkSession, sf: str) -> DataFrame:
+    spelt = {0: "Eu", 1: "BULG", 2: "Uk", 3: "Russian Federation", 4: "China, H. Kong"}
+    key = F.col("n_nationkey").cast("string")
+    country = recode(key, {str(k): name for k, name in spelt.items()}, "")
+    names = {"red ring": "Angler(=Monk)", "blue bolt": "Ling", "old plate": "Greenland halibut"}
+    common = F.when(F.col("p_name").endswith(" gear"), F.concat("p_name", F.lit(" dogfish"))).otherwise(recode("p_name", names))
     rows = table(spark, sf, "part").join(table(spark, sf, "nation"), F.expr("p_size % 25 = n_nationkey")).select(
-        "p_partkey", F.when(F.col("n_nationkey") == 0, "EU").otherwise(F.col("n_name")).alias("country"),
-        F.upper("p_brand").alias("scientific_name"), F.col("p_name").alias("common_name"),
-        F.col("p_type").alias("type_of_processing"))
-    return factor_jobs.spread_labels(rows, ["NATION_1", "NATION_7"])
+        "p_partkey", F.when(country != "", country).otherwise(F.col("n_name")).alias("country"),
+        F.upper("p_brand").alias("scientific_name"), common.alias("common_name"),
+        F.when(F.col("p_type") == "SMALL", "frozen").otherwise(F.lower("p_type")).alias("type_of_processing"))
+    return factor_jobs.spread_labels(rows, countries={"nation_5": "Nation five"})
 
 
 @query("taxa_of_codes", """

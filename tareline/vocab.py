@@ -254,5 +254,46 @@ UNKNOWN_PROCESSING = "unknown"
 CAVIAR_CODE = "^16043"
 CAVIAR = "caviar"
 
+# Spellings of countries (lower case) that stand for another name, and the name to show.
+COUNTRY_SPELLINGS = {
+    "faeroe islands": ("faroe islands", "Faroe Islands"),
+    "uk": ("united kingdom", "UK"),
+    "usa": ("united states", "USA"),
+}
+
+# Codes and continents that no list of countries gives: the bloc's own, and Greenland counted as European.
+COUNTRY_OVERRIDES = {
+    "eu": {"country": "EU", "iso3c": "EU", "iso2c": "EU", "continent": "Europe"},
+    "greenland": {"continent": "Europe"},
+}
+
+# Countries of the spread examples by lower-case spelling, and the name to show.
+SPREAD_COUNTRIES = {
+    "bulg": "Bulgaria",
+    "china, h. kong": "Hong Kong",
+    "eu": "EU",
+    "faeroe islands": "Faroe Islands",
+    "korea rep": "Korea",
+    "russian federation": "Russia",
+    "uk": "UK",
+    "usa": "USA",
+}
+
+# Common names to show in the spread examples; the last one for any name with this word in it.
+SPREAD_COMMON_NAMES = {
+    "Angler(=Monk)": "Monkfish",
+    "Ling": "Common ling",
+    "Saithe(=Pollock)": "Saithe",
+    "Atlantic redfishes nei": "Atlantic redfishes",
+}
+DOGFISH, DOGFISH_NAME = "dogfish", "Piked dogfish"
+
+# Rows and labels that the spread examples leave out, as their factors are in error or said twice.
+SPREAD_EXCLUSIONS = [
+    {"scientific_name": "clupea harengus", "type_of_processing": "fresh/chilled"},
+    {"scientific_name": "lepidorhombus"},
+]
+SPREAD_EXCLUDED_LABELS = ["Greenland halibut (frozen)"]
+
 # Countries of the spread examples that are not members.
 SPREAD_NON_MEMBERS = ["Greenland", "Iceland", "Norway", "Russia", "UK"]
