@@ -42,33 +42,44 @@ def top_k(df: DataFrame, value: str, k: int, tie_break: Sequence[str]) -> DataFr
     return df.orderBy(F.col(value).desc_nulls_last(), *tie_break).limit(k)
 
 
+def sort_columns(order: Sequence[str]) -> list[Column]:
+    """Columns to sort by, those written with a leading ``-`` descending; missing values last."""
+    return [F.col(quoted(c[1:])).desc_nulls_last() if c.startswith("-") else F.col(quoted(c)).asc_nulls_last() for c in order]
+
+
 def running_total(
     df: DataFrame,
-    order: Sequence[Column],
+    order: Sequence[str],
     value: str,
     keys: Sequence[str] = (),
     out: str = "running_total",
     total: str = "total",
     chunks: int | None = None,
 ) -> DataFrame:
-    """Running and full total of ``value`` per group, in a unique row order.
+    """Running and full total of ``value`` per group, in a unique row order (as of ``sort_columns``).
 
-    1. Range-partition by (group, order) and number the partitions, so a hot
-       group spans several.  The numbered table is stored: both later passes
-       must see the same chunks, whatever adaptive execution or a lost executor
-       does.
+    1. Range-partition keys, order and value by (group, order) and number the
+       partitions, so a hot group spans several.  This slim table is stored, no
+       other column is: later passes must see the same chunks, whatever adaptive
+       execution or a lost executor does.
     2. Add up each chunk; there are ``chunks`` of them, by default one per
        ``CHUNK_ROWS`` rows and one per shuffle partition at least, so a chunk is
        small whatever the input and the window over chunk totals is too.
     3. Join the total of earlier chunks back and run the window inside chunks.
+    4. The rows with all their columns, if there are others, meet their totals by
+       keys and order.  ``df`` is read again for that; rows that tie in a group
+       then end the query with an error.
 
-    ``order`` must be unique inside a group.  Missing values count as zero.
+    Missing values count as zero.
     """
-    keys = list(keys)
+    keys, place = list(keys), [c.removeprefix("-") for c in order]
+    by = sort_columns(order)
     if chunks is None:
         least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         chunks = max(least, -(-df.count() // CHUNK_ROWS))
-    ranged = df.repartitionByRange(chunks, *[F.col(k).asc() for k in keys], *order)
+    shape = list(dict.fromkeys([*keys, *place, value]))
+    whole = set(df.columns) <= set(shape)
+    ranged = df.select(*map(quoted, shape)).repartitionByRange(chunks, *[F.col(quoted(k)).asc() for k in keys], *by)
     stored = materialise(ranged.withColumn("__chunk", F.spark_partition_id()), "running")
 
     sums = stored.groupBy(*keys, "__chunk").agg(F.sum(value).alias("__sum"))
@@ -80,16 +91,24 @@ def running_total(
         F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__before"),
         F.coalesce(F.sum("__sum").over(group), F.lit(0)).alias(total),
     )
-    within = (Window.partitionBy(*keys, "__chunk").orderBy(*order)
-              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return (
+    chunk = Window.partitionBy(*keys, "__chunk").orderBy(*by)
+    within = chunk.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = (
         join_on(stored, offsets, [*keys, "__chunk"], "inner", null_safe=True)
         .withColumn(out, F.col("__before") + F.coalesce(F.sum(value).over(within), F.lit(0)))
-        .drop("__chunk", "__before")
     )
-
-
-def row_index(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str = "row_index") -> DataFrame:
+    if whole:
+        return summed.select(*map(quoted, df.columns), total, out)
+    # Rows that tie stand side by side in one chunk.
+    spot = F.struct(*map(quoted, place))
+    tie = F.raise_error(F.concat(F.lit("rows tie in the order "), F.lit(", ".join(order)))).cast("boolean")
+    alone = F.when(F.lag(spot).over(chunk).eqNullSafe(spot), tie).otherwise(F.lit(True))
+    summed = summed.withColumn("__alone", alone).where("__alone")
+    at = list(dict.fromkeys([*keys, *place]))
+    return join_on(df, summed.select(*map(quoted, at), total, out), at, "inner", null_safe=True)
+
+
+def row_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "row_index") -> DataFrame:
     """Row number inside each group, in a unique row order."""
     ones = df.withColumn("__one", F.lit(1).cast("long"))
     return running_total(ones, order, "__one", keys, out, "__total").drop("__one", "__total")
@@ -98,8 +117,7 @@ def row_index(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out:
 def cumulative_share(df: DataFrame, key: str, value: str) -> DataFrame:
     """Total per key, running total in descending order and its share of all (missing if all is zero)."""
     totals = df.groupBy(key).agg(F.coalesce(F.sum(value), F.lit(0)).alias("total"))
-    order = [F.col("total").desc(), F.col(key).asc_nulls_last()]
-    running = running_total(totals, order, "total", out="cumulative_sum", total="__all")
+    running = running_total(totals, ["-total", key], "total", out="cumulative_sum", total="__all")
     return running.withColumn("proportion", ratio("cumulative_sum", "__all")).drop("__all")
 
 
@@ -116,7 +134,7 @@ def group_median(df: DataFrame, keys: Sequence[str], value: str, out: str = "med
     Equal values are counted first; running counts then locate the middle.
     """
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__n"))
-    placed = running_total(counted, [F.col(value).asc()], "__n", keys, "__upto", "__all")
+    placed = running_total(counted, [value], "__n", keys, "__upto", "__all")
 
     def at(position: Column) -> Column:
         hit = (F.col("__upto") >= position) & (F.col("__upto") - F.col("__n") < position)
@@ -129,7 +147,7 @@ def group_median(df: DataFrame, keys: Sequence[str], value: str, out: str = "med
 def rank_categories(df: DataFrame, category: str, statistic: str, out: str = "rank") -> DataFrame:
     """Categories ranked by the median of a statistic; equal medians share a rank."""
     medians = group_median(df, [category], statistic)
-    levels = row_index(medians.select("median").distinct(), [], [F.col("median").asc()], out)
+    levels = row_index(medians.select("median").distinct(), [], ["median"], out)
     return join_on(medians, levels, ["median"])
 
 

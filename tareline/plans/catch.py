@@ -209,7 +209,7 @@ def case_study_long(case_study: DataFrame, members: DataFrame) -> DataFrame:
         "catch_by_vessel_CF", "catch_by_EU_CF", F.col("iso3c").cast("string").alias("vessel"))
     long = unpivot_measures(shape, ["landings", "catch_by_vessel_CF", "catch_by_EU_CF"])
     marked = mark_non_members(long, "vessel", "iso3c", members).distinct()
-    order = [F.col(c).asc_nulls_last() for c in ("calculation", "year", "port_iso3c", "value")]
+    order = ["calculation", "year", "port_iso3c", "value"]
     return row_index(marked, [*PRODUCT, "vessel"], order, "index_to_plot_all_values")
 
 

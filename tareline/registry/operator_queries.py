@@ -615,8 +615,7 @@ def running_share(spark: SparkSession, sf: str) -> DataFrame:
            row_number() OVER (PARTITION BY scientific_name, iso3c ORDER BY landings DESC, presentation, year) AS row_index
     FROM panel""", SQL_PANEL))
 def numbered(spark: SparkSession, sf: str) -> DataFrame:
-    order = [F.col("landings").desc(), F.col("presentation").asc(), F.col("year").asc()]
-    return ranking.row_index(panel(spark, sf), ["scientific_name", "iso3c"], order)
+    return ranking.row_index(panel(spark, sf), ["scientific_name", "iso3c"], ["-landings", "presentation", "year"])
 
 
 @query("discrepancy_groups", sql("fv", """
@@ -650,7 +649,7 @@ def at_maximum(spark: SparkSession, sf: str) -> DataFrame:
 def ordered(spark: SparkSession, sf: str) -> DataFrame:
     rows = factors(spark, sf)
     ranges = rows.groupBy(*CODE).agg((F.max("conversion_factor") - F.min("conversion_factor")).alias("range"))
-    rank = ranking.row_index(ranges, [], [F.col("range").desc(), *[F.col(c).asc() for c in CODE]], "rank")
+    rank = ranking.row_index(ranges, [], ["-range", *CODE], "rank")
     return ranking.order_by_ranking(rows.select("p_partkey", *CODE), rank, CODE)
 
 

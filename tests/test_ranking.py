@@ -24,7 +24,7 @@ def hot_rows(n=3000):
 def test_running_total_and_index_with_a_hot_group(many_chunks):
     data = hot_rows()
     df = many_chunks.createDataFrame(data, "k string, id int, v double").repartition(8)
-    order = [F.col("v").desc(), F.col("id").asc()]
+    order = ["-v", "id"]
     out = ranking.running_total(df, order, "v", ["k"])
     found = {r.id: (r.running_total, r.total) for r in out.collect()}
     index = {r.id: r.row_index for r in ranking.row_index(df, ["k"], order).collect()}
@@ -39,7 +39,7 @@ def test_running_total_and_index_with_a_hot_group(many_chunks):
 
 def test_running_total_uses_several_chunks(many_chunks):
     df = many_chunks.range(10000).select("id", F.lit(1).alias("one"))
-    out = ranking.running_total(df, [F.col("id").asc()], "one")
+    out = ranking.running_total(df, ["id"], "one")
     assert out.where("running_total <> id + 1").count() == 0
     assert out.agg(F.max("total")).first()[0] == 10000
     ranged = df.repartitionByRange(F.col("id").asc()).select(F.spark_partition_id().alias("p")).distinct()
@@ -48,10 +48,26 @@ def test_running_total_uses_several_chunks(many_chunks):
 
 def test_running_total_with_more_chunks_than_shuffle_partitions(many_chunks):
     df = many_chunks.range(5000).select("id", F.lit(1).alias("one"))
-    out = ranking.running_total(df, [F.col("id").asc()], "one", chunks=37)
+    out = ranking.running_total(df, ["id"], "one", chunks=37)
     assert out.where("running_total <> id + 1").count() == 0
 
 
+def test_numbering_stores_no_payload(many_chunks, monkeypatch):
+    """A thousand chunks; only keys, order and value are written, the rows meet their numbers afterwards."""
+    stored, store = [], ranking.materialise
+    monkeypatch.setattr(ranking, "materialise", lambda df, name="stage": stored.append(df.columns) or store(df, name))
+    df = many_chunks.range(3000).select((F.col("id") % 3).alias("k"), "id", F.lit(1).alias("v"), F.repeat(F.lit("x"), F.lit(100)).alias("text"))
+    out = ranking.running_total(df, ["-id"], "v", ["k"], chunks=1000)
+    assert out.where("running_total <> floor((2999 - id) / 3) + 1 OR length(text) <> 100").count() == 0
+    assert out.count() == 3000 and set(stored[0]) == {"k", "id", "v", "__chunk"}
+
+
+def test_ties_of_numbered_rows_end_the_query(many_chunks):
+    df = many_chunks.createDataFrame([("a", 1, "x"), ("a", 1, "y")], "k string, id int, text string")
+    with pytest.raises(Exception, match="rows tie"):
+        ranking.row_index(df, ["k"], ["id"]).collect()
+
+
 def test_share_of_a_zero_total_is_missing(many_chunks):
     df = many_chunks.createDataFrame([("a", 0.0), ("b", 0.0)], "k string, v double")
     assert {r.proportion for r in ranking.cumulative_share(df, "k", "v").collect()} == {None}
