@@ -82,12 +82,18 @@ def catch_min_max_series(by_product: DataFrame) -> DataFrame:
     ).withColumn("difference", F.col("year_total_catch_max") - F.col("year_total_catch_min"))
 
 
+def referenced(factors: DataFrame) -> DataFrame:
+    """Factors with a column of their source, missing where the table has none."""
+    return factors if "reference" in factors.columns else factors.withColumn("reference", F.lit(None).cast("string"))
+
+
 def national_and_wide(factors: DataFrame, digits: int | None) -> tuple[DataFrame, DataFrame]:
     """Factors averaged per product and country, with their merged sources; and the bloc-wide ones among them.
 
     Columns ``national_CF, national_ref`` and ``EU_wide_CF, EU_ref``.
     """
-    own = consolidate_factors(factors, ["scientific_name", "landings_code", "iso3c"], digits=digits, sources=["reference"])
+    key = ["scientific_name", "landings_code", "iso3c"]
+    own = consolidate_factors(referenced(factors), key, digits=digits, sources=["reference"])
     own = materialise(own, "factors").withColumnsRenamed({"conversion_factor": "national_CF", "reference": "national_ref"})
     wide = own.where(F.col("iso3c") == vocab.WIDE_CODE).select(
         "scientific_name", "landings_code", F.col("national_CF").alias("EU_wide_CF"), F.col("national_ref").alias("EU_ref"))
@@ -181,6 +187,7 @@ def case_study_catch(landings: DataFrame, factors: DataFrame, cases: DataFrame,
             else annual_panel(wanted, columns[:-1], out="value"))
     peak = max_rows_per_group(materialise(rows, "rows"), [*PRODUCT, "iso3c"], "value", null_safe=False)
 
+    factors = referenced(factors)
     national = factors.where(F.col("iso3c") != vocab.WIDE_CODE)
     by_country = {**ON_PRODUCT, "iso3c": "iso3c"}
     matched = match_factor(peak, national, by_country, into="vessel_CF", extra={"reference": "vessel_ref"})

@@ -3,6 +3,8 @@ from helpers import rows
 from pyspark.sql import functions as F
 
 from tareline import vocab
+from tareline.operators.aggregate import consolidate_factors
+from tareline.operators.lookup import fixed_overrides, with_overrides
 from tareline.plans import catch, coverage, factors as jobs, trade
 from tareline.plans.landings import unit_prices, usable_catch, with_countries
 
@@ -302,3 +304,70 @@ def test_codes_are_flattened_to_taxa(spark):
     codes = spark.createDataFrame([("160431", "a, b", "whole"), ("0303", "c", "whole"), ("0303", "c", "whole")],
                                   "Code string, Taxa string, Separation string")
     assert rows(jobs.taxa_of_codes(codes)) == [("0303", "c", "whole"), ("160431", "a", "caviar"), ("160431", "b", "caviar")]
+
+
+# Provenance, tariff branches and shipped rows
+
+def test_averaged_factors_keep_their_sources(spark):
+    df = spark.createDataFrame([("a", 1.0, "FAO"), ("a", 2.0, "EU"), ("a", 3.0, "FAO"), ("b", 1.0, None)],
+                               "k string, conversion_factor double, reference string")
+    found = consolidate_factors(df, ["k"], sources=["reference"])
+    assert rows(found, "k", "conversion_factor", "reference") == [("a", 2.0, "EU, FAO"), ("b", 1.0, None)]
+
+
+def test_catch_per_presentation_names_both_sources(spark):
+    landed = spark.createDataFrame(
+        [("Cod", "Gadus", "Fresh, gutted", "PRT", 2001, 10.0), ("Cod", "Gadus", "Fresh, gutted", "PRT", 2001, 5.0),
+         ("Cod", "Gadus", "Frozen, whole", "PRT", 2001, 2.0)],
+        "common_name string, scientific_name string, presentation string, iso3c string, year int, value double")
+    held = spark.createDataFrame(
+        [("Gadus", "Fresh, gutted", "PRT", 1.0, "B"), ("Gadus", "Fresh, gutted", "PRT", 2.0, "A"),
+         ("Gadus", "Fresh, gutted", "EU", 1.2, "C"), ("Gadus", "Frozen, whole", "EU", 1.1, "D")],
+        "scientific_name string, landings_code string, iso3c string, conversion_factor double, reference string")
+    out = catch.catch_per_presentation(landed, held, ["common_name"])
+    assert rows(out, "common_name", "presentation", "landings", "national_CF", "national_ref", "EU_wide_CF", "EU_ref",
+                "catch_by_national_CF") == [
+        ("Cod", "Fresh, gutted", 15.0, 1.5, "A, B", 1.2, "C", 22.5), ("Cod", "Frozen, whole", 2.0, None, None, 1.1, "D", None)]
+
+
+def test_codes_take_the_nearest_branch_of_the_tariff(spark):
+    codes = spark.createDataFrame([("030354",), ("030389",), ("0304",), ("0399 10",), ("160",), (None,)], "product string")
+    posted = spark.createDataFrame(
+        [("0303 54 10", 2.0), ("0303 54 90", 4.0), ("0303", 1.0), ("0304 71", 3.0), ("160", 9.0), ("1604", 7.0), (None, 5.0)],
+        "product string, factor double")
+    found = trade.posted_by_prefix(codes, posted, "product", F.avg("factor"), "cf", 4)
+    assert rows(found, "product", "cf") == [("030354", 3.0), ("030389", 7.0 / 3), ("0304", 3.0), ("160", 9.0)]
+
+
+COUNTRIES = "name_key string, country string, iso3c string, iso2c string, continent string"
+
+
+def test_shipped_country_rows_yield_to_the_users_own(spark):
+    known = spark.createDataFrame(
+        [("united kingdom", "United Kingdom", "GBR", "GB", "Europe"), ("greenland", "Greenland", "GRL", "GL", "Americas"),
+         ("usa", "U.S.A.", "USA", "US", "Americas"), ("united states", "United States", "USA", "US", "Americas")], COUNTRIES)
+    fixed = fixed_overrides(spark, vocab.COUNTRY_SPELLINGS, vocab.COUNTRY_OVERRIDES)
+    assert rows(with_overrides(known, fixed)) == sorted([
+        ("eu", "EU", "EU", "EU", "Europe"), ("greenland", "Greenland", "GRL", "GL", "Europe"), ("uk", "UK", "GBR", "GB", "Europe"),
+        ("united kingdom", "United Kingdom", "GBR", "GB", "Europe"), ("united states", "United States", "USA", "US", "Americas"),
+        ("usa", "U.S.A.", "USA", "US", "Americas")])
+    own = fixed_overrides(spark, {}, {"greenland": {"continent": "Americas"}, "eu": {"iso3c": "EUE"}})
+    found = {r.name_key: (r.iso3c, r.continent) for r in with_overrides(known, own, fixed).collect()}
+    assert found["greenland"] == ("GRL", "Americas") and found["eu"] == ("EUE", None)
+
+
+def test_spread_examples_leave_known_errors_out(spark):
+    data = [("lepidorhombus", "frozen", 1.0 + i) for i in range(5)] + [("gadus", "frozen", 1.0 + i) for i in range(5)]
+    data += [("clupea harengus", "fresh/chilled", 1.0 + i) for i in range(5)] + [("clupea harengus", "frozen", 1.0 + i) for i in range(5)]
+    df = spark.createDataFrame(data, "scientific_name string, type_of_processing string, cf double")
+    kept = jobs.spread_examples(df, ["scientific_name", "type_of_processing"], "cf")
+    assert rows(kept.select("scientific_name", "type_of_processing").distinct()) == [("clupea harengus", "frozen"), ("gadus", "frozen")]
+    assert jobs.spread_examples(df, ["scientific_name", "type_of_processing"], "cf", exclude=[]).count() == 20
+
+
+def test_spread_labels_show_usual_names(spark):
+    df = spark.createDataFrame([("Uk", "gadus", "Angler(=Monk)", "frozen"), ("Korea rep", "x", "Greenland halibut", "frozen"),
+                                ("Spain", "y", "Spiny dogfish nei", "frozen"), ("eu", "z", "Ling", "frozen")],
+                               "country string, scientific_name string, common_name string, type_of_processing string")
+    assert rows(jobs.spread_labels(df), "country", "common_name", "State_membership") == [
+        ("Spain", "Piked dogfish", "EU"), ("UK", "Monkfish", "non-EU")]
