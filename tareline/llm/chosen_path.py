@@ -181,9 +181,8 @@ def within_small(rows: DataFrame) -> DataFrame:
 def around_pivots(rows: DataFrame) -> DataFrame:
     """Candidates of the large nodes: every class with the one that meets most others in all trees."""
     large = rows.where(F.col("size") > SMALL)
-    weight = large.groupBy("id").agg(F.sum("size").alias("weight"))
     rank = F.struct("weight", (-F.col("id")).alias("first"), *ABOUT)
-    pivots = large.join(weight, "id").groupBy("node").agg(F.max(rank).alias("pivot"))
+    pivots = large.groupBy("node").agg(F.max(rank).alias("pivot"))
     pivots = pivots.select("node", *[F.col(f"pivot.{c}").alias(f"{c}_b") for c in ABOUT])
     return candidate(sides(large)[0].join(pivots, "node").where((F.col("id_a") != F.col("id_b")) & alike()))
 
@@ -202,7 +201,7 @@ def branched(rows: DataFrame, classes: DataFrame) -> DataFrame:
     child = token_node(F.col("order"), F.col("tokens"), F.col("node"))
     opened = rows.select("node", "id", "of", F.col("size").alias("parent")).join(classes, "id")
     opened = opened.select("*", F.explode(F.array_distinct(orders)).alias("order"))
-    return opened.select(child.alias("node"), *ABOUT, "of", "parent")
+    return opened.select(child.alias("node"), *ABOUT, "weight", "of", "parent")
 
 
 # -- connecting
@@ -237,12 +236,17 @@ def linked(docs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
     roots = F.explode(F.array(*[F.lit(i) for i in ROOTS])).alias("order")
     top = classes.select("*", roots).select(token_node(F.col("order"), F.col("tokens")).alias("node"), *ABOUT, F.col("id").alias("of"))
     top = materialise(shared_nodes(top), "nodes")
+    # How many others a class meets at the roots, once for all levels.
+    weights = top.groupBy("id").agg(F.sum("size").alias("weight"))
+    top = materialise(top.join(weights, "id"), "nodes")
     pairs = materialise(within_small(top).union(around_pivots(top)).distinct(), "pairs")
     sets = materialise(whole_sets(docs, rows, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "sets")
     links, found = nearest_first(pairs, sets)
 
     of = found.select("id", F.col("component").alias("of"))
-    level = top.where(F.col("size") > SMALL).select("node", "id").join(of, "id", "left").withColumn("of", F.coalesce("of", "id"))
+    large = top.where(F.col("size") > SMALL)
+    classes = classes.join(large.select("id", "weight").distinct(), "id")
+    level = large.select("node", "id").join(of, "id", "left").withColumn("of", F.coalesce("of", "id"))
     level = materialise(shared_nodes(level), "nodes")
     deeper, rest = [], []
     for _ in range(DEPTH):
