@@ -42,7 +42,7 @@ from tareline.session import materialise
 #: Between a character that is no white space and blanks that something follows.
 CUT = re.compile(r"(?<=\S)(?= +[^ ])")
 #: A block ends with so many documents or so many bytes of text (one text at least).
-BLOCK_DOCS, BLOCK_BYTES = 1 << 15, 48 << 20
+BLOCK_DOCS, BLOCK_BYTES = 1 << 15, 16 << 20
 #: A task forgets its pieces of text beyond so many bytes (strings and what is known of them).
 MEMORY_BYTES = 160 << 20
 #: Plane 0 holds the documents, plane ``i`` the digit ``i - 1`` of the links beyond the first.
@@ -155,16 +155,16 @@ class Block:
         self.rows: list = []
         self.digests: list[Row] = []
         self.bytes = 0
-        #: Merged postings: pair, document and number of links, ordered by pair and document.
-        self.postings = tuple(np.zeros(0, np.int64) for _ in range(3))
+        #: Postings of the pieces of the block: pair, document and number of links.
+        self.postings: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def merge(self, pair: np.ndarray, doc: np.ndarray, links: np.ndarray) -> None:
-        """OR of the bitmaps so far and those of a piece of the block; links of a pair in a document add up."""
-        pair, doc, links = (np.concatenate(x) for x in zip(self.postings, (pair, doc, links)))
+    def merged(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """OR of the bitmaps of all pieces, ordered by pair and document; links of a pair in a document add up."""
+        pair, doc, links = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*self.postings) if self.postings else [()] * 3))
         order = np.lexsort((doc, pair))
         pair, doc, links = pair[order], doc[order], links[order]
         first = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (doc[1:] != doc[:-1])])[: len(pair)])
-        self.postings = pair[first], doc[first], np.add.reduceat(links, first) if len(first) else links
+        return pair[first], doc[first], np.add.reduceat(links, first) if len(first) else links
 
     def add(self, rows: list, texts: list[str | None], pieces: Pieces) -> None:
         """Encode documents and take them in."""
@@ -189,19 +189,18 @@ class Block:
         spread = held[flat]
         at = np.arange(spread.sum()) + np.repeat(starts[flat] - np.cumsum(spread) + spread, spread)
         base = len(self.rows)
-        postings = [(links[at], base + np.repeat(doc, spread), np.repeat(times, spread))]
+        self.postings.append((links[at], base + np.repeat(doc, spread), np.repeat(times, spread)))
         for i, row in enumerate(rows):
             found = whole.get(i)
             if found:
                 *sizes, groups, pairs = found
                 self.digests.append((*sizes, len(pairs), digest(groups)))
-                postings.append((np.array(pairs, np.int64), np.full(len(pairs), base + i), np.ones(len(pairs), np.int64)))
+                self.postings.append((np.array(pairs, np.int64), np.full(len(pairs), base + i), np.ones(len(pairs), np.int64)))
             elif i in whole or not numbers[i]:
                 self.digests.append(NOTHING)
             else:
                 self.digests.append((*(int(t[i]) for t in told), digest(b";".join(texts_of[i]))))
             self.rows.append(row)
-        self.merge(*map(np.concatenate, zip(*postings)))
         self.bytes += sum(len(t or "") for t in texts)
 
     @staticmethod
@@ -212,7 +211,7 @@ class Block:
 
     def bitmaps(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, pa.Array, np.ndarray]]:
         """Plane, pairs, number of documents, bitmaps and whether they are bit sets, a plane at a time."""
-        pair, doc, links = self.postings
+        pair, doc, links = self.merged()
         beyond, plane = links - 1, DOCUMENTS
         chosen = np.ones(len(pair), bool)
         while len(pair):
@@ -312,7 +311,8 @@ def scores(index: DataFrame, counts: DataFrame) -> DataFrame:
     """``block, place, n_best, count_sum``: what the postings of a block return to its documents."""
     best = counts.groupBy("a").agg(F.max("documents").alias("most"))
     known = counts.join(best, "a").select("pair", "documents", (F.col("documents") == F.col("most")).alias("best"))
-    postings = index.where("pair IS NOT NULL").select("block", "pair", "plane", "bitmap", "dense").join(known, "pair")
+    # The counts may outgrow any broadcast: one way at every size.
+    postings = index.where("pair IS NOT NULL").select("block", "pair", "plane", "bitmap", "dense").join(known.hint("merge"), "pair")
 
     def returned(group: pa.Table) -> pa.Table:
         best_links, total = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
