@@ -16,7 +16,7 @@ counts, add up to the scores of its documents.
 
 Neither tokenizer's tokens reach from a character that is no white space to a
 blank after it, so texts are cut there and each different piece of text is
-encoded once, as long as a task remembers it.
+encoded once, as long as a Python worker remembers it.
 """
 
 from __future__ import annotations
@@ -43,7 +43,7 @@ from tareline.session import materialise
 CUT = re.compile(r"(?<=\S)(?= +[^ ])")
 #: A block ends with so many documents or so many bytes of text (one text at least).
 BLOCK_DOCS, BLOCK_BYTES = 1 << 15, 16 << 20
-#: A task forgets its pieces of text beyond so many bytes (strings and what is known of them).
+#: A worker forgets its pieces of text beyond so many bytes (strings and what is known of them).
 MEMORY_BYTES = 160 << 20
 #: Plane 0 holds the documents, plane ``i`` the digit ``i - 1`` of the links beyond the first.
 DOCUMENTS = 0
@@ -113,7 +113,7 @@ def tokenizers(path_a: str, path_b: str) -> Tokenizers:
 
 
 class Pieces:
-    """What a task knows of the pieces of text it has met, by number; bounded in bytes."""
+    """What is known of the pieces of text met so far, by number; bounded in bytes."""
 
     def __init__(self, tokens: Tokenizers) -> None:
         self.tokens = tokens
@@ -139,6 +139,12 @@ class Pieces:
             self.size += 260 + len(text) + len(groups or b"") + 8 * len(links)
 
 
+@cache
+def remembered(path_a: str, path_b: str) -> Pieces:
+    """The pieces that a Python worker knows, which its next task goes on with."""
+    return Pieces(tokenizers(path_a, path_b))
+
+
 #: Of a document: ``n_a, n_b, n_groups, n_links, groups_sha256``.
 Row = tuple[int, int, int, int, str]
 NOTHING: Row = (0, 0, 0, 0, "")
@@ -281,7 +287,7 @@ def indexed(docs: DataFrame, path_a: str, path_b: str, text: str, keep: list[str
                     pa.array(pair[part]), pa.array([plane] * m, pa.int32()), bitmap[part], pa.array(dense[part])], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces_of, number = Pieces(tokenizers(path_a, path_b)), TaskContext.get().partitionId() << 32
+        pieces_of, number = remembered(path_a, path_b), TaskContext.get().partitionId() << 32
         block, row_type = Block(), None
         for batch in batches:
             row_type = batch.column("row").type
