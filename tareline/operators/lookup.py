@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tareline.functions.nulls import is_blank
 from tareline.functions.text import name_key
 from tareline.operators.joins import join_on
+from tareline.session import small_table
 
 
 def decode_codes(df: DataFrame, dictionaries: Mapping[str, DataFrame], code_suffix: str | None = None,
@@ -97,7 +98,7 @@ def fixed_overrides(spark: SparkSession, spellings: Mapping[str, tuple[str, str]
     rows = [(key, of, name, None, None, None) for key, (of, name) in spellings.items()]
     rows += [(key, key, *(one.get(c) for c in ("country", "iso3c", "iso2c", "continent"))) for key, one in overrides.items()]
     schema = "name_key string, of_key string, country string, iso3c string, iso2c string, continent string"
-    return spark.createDataFrame(rows, schema)
+    return small_table(spark, rows, schema)
 
 
 def with_overrides(countries: DataFrame, *overrides: DataFrame) -> DataFrame:

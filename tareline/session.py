@@ -6,7 +6,10 @@ import math
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 _local_scratch: str | None = None
 
@@ -39,6 +42,13 @@ def recommended_conf(shuffle_bytes: int | None = None) -> dict[str, str]:
     }
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows of the driver as a local relation, whose size Spark knows when it plans."""
+    kinds = StructType.fromDDL(schema)
+    columns = [pa.array([r[i] for r in rows], to_arrow_type(f.dataType)) for i, f in enumerate(kinds)]
+    return spark.createDataFrame(pa.table(columns, names=kinds.names), kinds)
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """Shared folder for stored intermediates, as named by the cluster.
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tareline.operators.reshape import CELLS, YEAR_COLUMN
+from tareline.session import small_table
 
 #: Both ``file:///x`` and ``file:/x`` are in use for a path without an authority.
 NO_AUTHORITY = "^([^:/]+):///"
@@ -68,7 +69,7 @@ def layout_table(spark: SparkSession, headers: dict[str, str], years: str) -> tu
              [one.parts.get(n) for n in names], [one.others.get(n) for n in names]) for path, one in layouts.items()]
     schema = ("__file string, __header string, __size int, __years array<string>, __at array<int>, "
               "__part array<int>, __other array<int>")
-    return spark.createDataFrame(rows, schema), names
+    return small_table(spark, rows, schema), names
 
 
 def read_wide_flagged(spark: SparkSession, paths: list[str] | str, source_file: str | None = "source_file",
