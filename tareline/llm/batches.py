@@ -57,15 +57,19 @@ def with_text_columns(
     ``make`` is called once per task and returns a function from the texts of
     a piece (str, or bytes with ``as_bytes``; None where null) to the arrays of
     ``fields``.  ``keep`` names the columns that pass through (all by default).
-    They travel as one struct, so their names never clash with the working columns.
+    They travel as one struct, so their names never clash with the working columns;
+    one called like a field is replaced by it.  When a task ends, ``close`` of the
+    function (if it has one) drops what it remembered, and Arrow's unused memory goes
+    back to the machine: Python workers outlive tasks.
     """
     spark = df.sparkSession
     reach_library(spark)
     if not 0 < int(spark.conf.get(BATCH_SETTING)) <= BATCH_ROWS:
         spark.conf.set(BATCH_SETTING, BATCH_ROWS)
-    kept = df.columns if keep is None else keep
+    made_names = {f.name.lower() for f in fields}
+    kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in made_names]
     packed = df.select(
-        F.struct(*[F.col(f"`{c}`") for c in kept]).alias(ROW),
+        F.struct(*[F.col(f"`{c}`") for c in kept] or [F.lit(None).cast("int").alias(ROW)]).alias(ROW),
         F.col(f"`{text}`").cast("binary" if as_bytes else "string").alias(TEXT),
     )
     schema = T.StructType([packed.schema[ROW], *fields])
@@ -73,9 +77,13 @@ def with_text_columns(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = make()
-        for batch in batches:
-            for piece in pieces(batch):
-                made = compute(piece.column(TEXT).to_pylist())
-                yield pa.RecordBatch.from_arrays([piece.column(ROW), *made], names=names)
+        try:
+            for batch in batches:
+                for piece in pieces(batch):
+                    made = compute(piece.column(TEXT).to_pylist())
+                    yield pa.RecordBatch.from_arrays([piece.column(ROW), *made], names=names)
+        finally:
+            getattr(compute, "close", int)()
+            pa.default_memory_pool().release_unused()
 
-    return packed.mapInArrow(run, schema).select(f"{ROW}.*", *[f.name for f in fields])
+    return packed.mapInArrow(run, schema).select(*[F.col(f"{ROW}.`{c}`") for c in kept], *[f.name for f in fields])

@@ -17,9 +17,10 @@ whether a rule for the two comes before either part is used up.
 from __future__ import annotations
 
 import json
+import os
 import re
 from collections.abc import Callable
-from functools import cache
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +35,8 @@ END = "</w>"
 #: Python takes the four ASCII separators for blanks, the vocabularies do not.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 BLANKS = re.compile(r"(?:[^\S\x1c-\x1f])+")
-#: Bounds on what a Python worker remembers: encoded runs, and token pairs.
-MAX_CHUNKS, MAX_PAIRS = 600_000, 400_000
+#: Bounds on what a task remembers: letters of runs (longer ones than LONG are coded each time), and token pairs.
+MAX_LETTERS, LONG, MAX_PAIRS = 2_000_000, 64, 400_000
 
 
 #: Latin letters that no rule changes but for their case, and one mark.
@@ -83,6 +84,7 @@ class Bpe:
         self.pairs: dict[tuple[str, str], bool] = {}
         self.final_pairs: dict[tuple[str, str], bool] = {}
         self.chunks: dict[str, bytes] = {}
+        self.letters_kept = 0
 
     # -- compatibility
 
@@ -153,9 +155,7 @@ class Bpe:
         found: dict[str, bytes] = {}
         last, before = [""], ""
         for word in words:
-            shared = min(len(before), len(word) - 1)
-            while word[:shared] != before[:shared]:
-                shared -= 1
+            shared = min(len(os.path.commonprefix((before, word))), len(word) - 1)
             del last[shared + 1 :]
             for end in range(len(last), len(word)):
                 last.append(self.last_token(word, end, last))
@@ -206,10 +206,22 @@ class Bpe:
         runs = [self.runs(t) for t in texts]
         distinct = set().union(*runs)
         new = {c for c in distinct if c not in self.chunks}
-        if len(self.chunks) + len(new) > MAX_CHUNKS:
-            self.chunks, new = {}, distinct
-        self.chunks |= self.learn(new)
-        return [b"".join(map(self.chunks.__getitem__, r)) for r in runs]
+        if self.letters_kept > MAX_LETTERS:
+            self.forget()
+            new = distinct
+        learnt, kept = self.learn(new), self.chunks
+        long = {c: learnt.pop(c) for c in new if len(c) > LONG}
+        kept |= learnt
+        self.letters_kept += sum(map(len, learnt))
+        if not long:
+            return [b"".join(map(kept.__getitem__, r)) for r in runs]
+        return [b"".join([kept[c] if len(c) <= LONG else long[c] for c in r]) for r in runs]
+
+    def forget(self) -> None:
+        """Drop what was remembered of texts; the vocabulary stays."""
+        for kept in (self.chunks, self.pairs, self.final_pairs):
+            kept.clear()
+        self.letters_kept = 0
 
 
 class Tokens:
@@ -230,13 +242,13 @@ class Tokens:
             return " ".join([self.by_id[i] for i in numbers if i in self.by_id])
 
 
-@cache
+@lru_cache(maxsize=1)
 def encoder(path: str) -> Bpe:
-    """The vocabulary at ``path``, read once per Python worker."""
+    """The vocabulary at ``path``, read once per Python worker; the one used last stays."""
     return Bpe(path)
 
 
-@cache
+@lru_cache(maxsize=1)
 def decoder(path: str) -> Tokens:
     return Tokens(path)
 
@@ -244,9 +256,11 @@ def decoder(path: str) -> Tokens:
 def encode(df: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Add ``n_tokens`` and ``ids`` (packed little-endian uint32) of each whole text.
 
-    Null and empty texts have no ids.  A task remembers a bounded number of
-    chunks and token pairs; forgetting costs time, never results.  ``path``
-    must be readable on every executor, like the installed libraries.
+    Null and empty texts have no ids; an empty table gives an empty one, repeated
+    rows stay, columns called like the new ones are replaced.  A task remembers a
+    bounded number of letters and token pairs and forgets them when it ends; that
+    costs time, never results.  ``path`` must be readable on every executor, like
+    the installed libraries.
     """
 
     def make() -> Callable[[list], list[pa.Array]]:
@@ -256,6 +270,7 @@ def encode(df: DataFrame, path: str, text: str = "text", keep: list[str] | None
             ids = bpe.encode(texts)
             return [pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())]
 
+        compute.close = bpe.forget
         return compute
 
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())]
@@ -263,7 +278,10 @@ def encode(df: DataFrame, path: str, text: str = "text", keep: list[str] | None
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", keep: list[str] | None = None) -> DataFrame:
-    """Add ``decoded``, the text of packed ids; null ids decode to the empty text."""
+    """Add ``decoded``, the text of packed ids; null ids decode to the empty text.
+
+    Repeated rows stay, an empty table stays empty, a column called ``decoded`` is replaced.
+    """
 
     def make() -> Callable[[list], list[pa.Array]]:
         tokens = decoder(path)
