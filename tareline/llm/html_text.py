@@ -9,6 +9,7 @@ small labelled table of pages decides which blocks are main text.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable
 from functools import cache
 from html.parser import HTMLParser
@@ -40,7 +41,7 @@ NAMES = re.compile(
 )
 #: Whole names of comments and of lists of them.
 COMMENT = re.compile(
-    r"(?<!\S)(?!(?:tag|category|topic)-)(?:\w+[-_]+)*(?:comments?|reply|replies)"
+    r"(?<!\S)(?!(?:tag|category|topic)-)(?:\w[\w-]*[-_])?(?:comments?|reply|replies)"
     r"(?:[-_]*\d+|[-_]+(?:area|body|content|entry|inner|item|list|section|text|thread|wrap|wrapper))?(?!\S)"
 )
 #: Lists of other articles, whose articles are not the page's own.
@@ -90,6 +91,7 @@ class Blocks(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, bool, bool, bool, bool]] = []  # tag, main, other, silent, without articles of the page
+        self.opened: Counter[str] = Counter()  # open elements by tag
         self.text: list[str] = []
         self.link_words = self.links = 0
         self.heading = False
@@ -119,14 +121,19 @@ class Blocks(HTMLParser):
         if tag in VOID or tag not in BLOCKS and tag not in SILENT:
             return
         if tag == "p" and self.open and self.open[-1][0] == "p":
-            self.open.pop()
+            self.close_from(-1)
         main, other, silent, firm = self.state()
         named, lists = named_other(tag, attrs, main)
         if tag in MAIN and not firm:
             other = False  # whatever the containers around it are called
         other = other or tag in OTHER or tag == "header" and not main or named
+        self.opened[tag] += 1
         self.open.append((tag, main or tag in MAIN, other, silent or tag in SILENT, firm or lists or tag in FIRM))
 
+    def close_from(self, i: int) -> None:
+        self.opened.subtract(e[0] for e in self.open[i:])
+        del self.open[i:]
+
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
@@ -138,10 +145,11 @@ class Blocks(HTMLParser):
         if tag in BLOCKS:
             self.flush()
             self.heading, self.label = False, 0
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                del self.open[i:]
-                break
+        if self.opened[tag] > 0:
+            i = len(self.open) - 1
+            while self.open[i][0] != tag:
+                i -= 1
+            self.close_from(i)
 
     def handle_data(self, data: str) -> None:
         if not self.state()[2]:
