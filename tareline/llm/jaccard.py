@@ -297,8 +297,14 @@ def similar(docs: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """One document of each component, the one of the smallest id, with the columns it came with.
 
-    Documents without words or without an id are kept as they are.
+    Documents without words or without an id are kept as they are.  Of rows that
+    repeat an id only one stays, the one of the smallest text (null before empty).
     """
     first = similar(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept"))
-    keep = materialise(first.distinct(), "kept")
-    return docs.join(few(keep), F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+    keep = materialise(first.groupBy("__kept").agg(F.count(F.lit(1)).alias("__rows")), "kept")
+    repeated = (F.col("__rows") > 1) & F.col("__kept").isNotNull()
+    same = F.col("doc_id").eqNullSafe(F.col("__kept"))
+    lone = docs.join(few(keep.where(~repeated).select("__kept")), same, "left_semi")
+    again = docs.join(few(keep.where(repeated).select("__kept")), same, "left_semi")
+    row = F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.struct("text")).alias("__row")
+    return lone.unionByName(again.groupBy(F.col("doc_id").alias("__kept")).agg(row).select("__row.*"))
