@@ -3,6 +3,7 @@
 import hashlib
 import os
 import sys
+import time
 import zlib
 from collections import Counter
 
@@ -168,6 +169,57 @@ def test_isotonic_is_monotone():
     assert (np.diff(steps(np.sort(x))) >= 0).all()
 
 
+# -- memory, time and names
+
+def test_bpe_of_very_long_words(spark):
+    rng = np.random.default_rng(3)
+    word = "".join(rng.choice(list("abcdefgh"), 80_000))
+    text = f"{word}z {word}y"
+    coder = bpe.Bpe(PATH)
+    ids = Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+    assert coder.encode([text, "short " + text])[0] == np.array(ids, "<u4").tobytes()
+    assert max(map(len, coder.chunks)) <= bpe.LONG
+    coder.forget()
+    assert not (coder.chunks or coder.pairs or coder.final_pairs) and coder.encode(["short"]) == bpe.Bpe(PATH).encode(["short"])
+
+
+def test_bpe_forgets_beyond_its_bound(monkeypatch):
+    monkeypatch.setattr(bpe, "MAX_LETTERS", 10)
+    coder, rules = bpe.Bpe(PATH), Tokenizer.from_file(PATH)
+    for text in ("some words go", "other words come", "some words go"):
+        assert np.frombuffer(coder.encode([text])[0], "<u4").tolist() == rules.encode(text, add_special_tokens=False).ids
+        assert coder.letters_kept <= 10 + len(text)
+
+
+@pytest.mark.parametrize("page", [
+    "<article class='" + "post__entry--" * 5000 + "'><p>Hello there, reader.</p></article>",
+    "<div>" * 20_000 + "</b>" * 20_000 + "<p>Hello there, reader.</p>",
+    "<b>" * 50_000 + "</i>" * 50_000,
+])
+def test_pages_with_long_names_or_unmatched_ends_take_no_time(page):
+    start = time.perf_counter()
+    html_text.blocks(page)
+    assert time.perf_counter() - start < 5
+
+
+def test_columns_called_like_results_are_replaced(spark):
+    pages = spark.createDataFrame([(1, "<article><p>One two three four.</p></article>", "old")], "page_id long, html string, text string")
+    got = html_text.extract(pages)
+    assert got.columns.count("text") == 1 and got.first()["text"] != "old" and got.first()["page_id"] == 1
+    docs = spark.createDataFrame([(1, "one two", "old", 7)], "doc_id long, text string, IDS string, `a.b` int")
+    coded = bpe.decode(bpe.encode(docs, PATH), PATH)
+    assert coded.columns == ["doc_id", "text", "a.b", "n_tokens", "ids", "decoded"] and coded.first()["decoded"]
+
+
+def test_keep_first_leaves_one_row_of_repeated_ids(spark):
+    text = "one two three four five six seven"
+    rows = [(5, text, "a"), (5, text, "a"), (6, text, "b"), (7, None, "c"), (7, "", "c"), (8, "other words than those above here", "d"),
+            (None, "no id and words of its own", "e")]
+    kept = jaccard.keep_first(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted(
+        [(5, text, "a"), (7, None, "c"), (8, rows[5][1], "d"), (None, rows[6][1], "e")], key=str)
+
+
 # -- 3: licenses
 
 def test_op3_equals_sql(spark):
@@ -196,10 +248,68 @@ def test_licenses_plan_is_native(spark):
 
 def test_licenses_odd_rows(odd):
     got = licenses.scan(odd).toPandas()
-    assert len(got) == len(ODD) - 1  # one row repeats id and text
+    assert len(got) == len(ODD)  # rows that repeat id and text stay
     assert got.n_words.max() == 60_000
 
 
+APACHE = next(t for t, x in licenses.TEMPLATES.items() if t.startswith("licensed under the apache"))
+
+
+@pytest.mark.parametrize("text, label, score", [
+    (f"{APACHE} " + "the license " * 20, "apache-2.0", 1.0),
+    ("the license " * 20 + APACHE, "apache-2.0", 1.0),
+    ("in compliance with the license " * 6, "", 0.0),
+    ("under the apache license the license " * 4, "", 0.0),
+    (" ".join(reversed(APACHE.split())), "", 0.0),
+])
+def test_licenses_verify_each_run_once_and_in_order(spark, text, label, score):
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = licenses.scan(docs).first()
+    assert (got["labels"], got["score"]) == (label, score)
+
+
+def brute_licenses(text, templates, merge=licenses.MERGE, cover=licenses.COVER):
+    words, found = text.split(), {}
+    for template, label in templates.items():
+        own = template.split()
+        runs = list(zip(own, own[1:]))
+        at = [[i for i in range(len(words) - 1) if (words[i], words[i + 1]) == run] for run in runs]
+        for d in {i - j for j, places in enumerate(at) for i in places}:
+            n, last = 0, None
+            for j, places in enumerate(at):
+                near = [(abs(i - j - d), i) for i in places if abs(i - j - d) <= merge]
+                if near and (last is None or min(near)[1] > last):
+                    n, last = n + 1, min(near)[1]
+            if n / len(runs) >= cover:
+                found[label] = max(found.get(label, 0), n / len(runs))
+    return ",".join(sorted(found)), max(found.values(), default=0.0)
+
+
+def test_licenses_equal_brute_force_on_changed_templates(spark, tmp_path):
+    rng, long = np.random.default_rng(5), " ".join(f"w{k % 90}" for k in range(150))
+    templates = {**licenses.TEMPLATES, long: "long"}  # more runs than one number holds
+    texts = []
+    for k in range(150):
+        words = list(templates)[k % len(templates)].split()
+        for _ in range(int(rng.integers(0, 9))):
+            i = int(rng.integers(0, len(words)))
+            words[i : i + int(rng.integers(0, 3))] = rng.choice(["the", "license", "with", "x"], int(rng.integers(0, 3))).tolist()
+        texts.append(" ".join(["the license"] * int(rng.integers(0, 4)) + words + ["with the license"] * int(rng.integers(0, 4))))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan(docs, {}, templates).collect()}
+    want = {k: brute_licenses(t, templates) for k, t in enumerate(texts)}
+    assert got == want and sum(not x for x, _ in want.values()) > 5 and sum(bool(x) for x, _ in want.values()) > 50
+    docs.toPandas().to_parquet(tmp_path / "documents.parquet")
+    con = connect(SF)
+    con.execute(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    assert differences(licenses.scan(docs, None, templates), con, licenses.scan_sql(None, templates)) == []
+
+
+def test_licenses_need_two_words():
+    with pytest.raises(ValueError, match="two words"):
+        licenses.template_rows({"gpl": "gpl"}, {})
+
+
 # -- 4: Jaccard
 
 def brute_components(rows):
