@@ -58,9 +58,8 @@ def with_text_columns(
     a piece (str, or bytes with ``as_bytes``; None where null) to the arrays of
     ``fields``.  ``keep`` names the columns that pass through (all by default).
     They travel as one struct, so their names never clash with the working columns;
-    one called like a field is replaced by it.  When a task ends, ``close`` of the
-    function (if it has one) drops what it remembered, and Arrow's unused memory goes
-    back to the machine: Python workers outlive tasks.
+    one called like a field is replaced by it.  When a task ends, Arrow's unused
+    memory goes back to the machine: Python workers outlive tasks.
     """
     spark = df.sparkSession
     reach_library(spark)
@@ -83,7 +82,6 @@ def with_text_columns(
                     made = compute(piece.column(TEXT).to_pylist())
                     yield pa.RecordBatch.from_arrays([piece.column(ROW), *made], names=names)
         finally:
-            getattr(compute, "close", int)()
             pa.default_memory_pool().release_unused()
 
     return packed.mapInArrow(run, schema).select(*[F.col(f"{ROW}.`{c}`") for c in kept], *[f.name for f in fields])

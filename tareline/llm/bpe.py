@@ -35,8 +35,8 @@ END = "</w>"
 #: Python takes the four ASCII separators for blanks, the vocabularies do not.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 BLANKS = re.compile(r"(?:[^\S\x1c-\x1f])+")
-#: Bounds on what a task remembers: letters of runs (longer ones than LONG are coded each time), and token pairs.
-MAX_LETTERS, LONG, MAX_PAIRS = 2_000_000, 64, 400_000
+#: Bounds on what a Python worker remembers: letters of runs (longer ones than LONG are coded each time), and token pairs.
+MAX_LETTERS, LONG, MAX_PAIRS = 4_000_000, 64, 400_000
 
 
 #: Latin letters that no rule changes but for their case, and one mark.
@@ -257,10 +257,9 @@ def encode(df: DataFrame, path: str, text: str = "text", keep: list[str] | None
     """Add ``n_tokens`` and ``ids`` (packed little-endian uint32) of each whole text.
 
     Null and empty texts have no ids; an empty table gives an empty one, repeated
-    rows stay, columns called like the new ones are replaced.  A task remembers a
-    bounded number of letters and token pairs and forgets them when it ends; that
-    costs time, never results.  ``path`` must be readable on every executor, like
-    the installed libraries.
+    rows stay, columns called like the new ones are replaced.  A worker remembers a
+    bounded number of letters and token pairs; forgetting costs time, never results.
+    ``path`` must be readable on every executor, like the installed libraries.
     """
 
     def make() -> Callable[[list], list[pa.Array]]:
@@ -270,7 +269,6 @@ def encode(df: DataFrame, path: str, text: str = "text", keep: list[str] | None
             ids = bpe.encode(texts)
             return [pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())]
 
-        compute.close = bpe.forget
         return compute
 
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())]
@@ -288,3 +286,24 @@ def decode(df: DataFrame, path: str, ids: str = "ids", keep: list[str] | None =
         return lambda packed: [pa.array([tokens.decode(i) for i in packed], pa.string())]
 
     return with_text_columns(df, ids, make, [T.StructField("decoded", T.StringType())], keep, as_bytes=True)
+
+
+def encode_and_decode(df: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``encode`` and then ``decode`` of its ids, in one pass of the texts.
+
+    Same cases and columns as the two.  Apart, they would chain two Python workers
+    in a task, and both would come to hold the vocabulary as workers change places.
+    """
+
+    def make() -> Callable[[list], list[pa.Array]]:
+        bpe, tokens = encoder(path), decoder(path)
+
+        def compute(texts: list) -> list[pa.Array]:
+            ids = bpe.encode(texts)
+            return [pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary()),
+                    pa.array(map(tokens.decode, ids), pa.string())]
+
+        return compute
+
+    fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())]
+    return with_text_columns(df, text, make, fields, keep)

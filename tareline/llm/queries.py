@@ -22,8 +22,7 @@ def op1_bpe(spark: SparkSession, sf: str) -> DataFrame:
     """Every document encoded and decoded again, as digests of both."""
     path = public_tokenizers.path(VOCABULARY)
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    coded = bpe.encode(docs, path, keep=["doc_id"])
-    return bpe.decode(coded, path).select(
+    return bpe.encode_and_decode(docs, path, keep=["doc_id"]).select(
         "doc_id", "n_tokens",
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),

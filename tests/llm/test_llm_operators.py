@@ -183,6 +183,13 @@ def test_bpe_of_very_long_words(spark):
     assert not (coder.chunks or coder.pairs or coder.final_pairs) and coder.encode(["short"]) == bpe.Bpe(PATH).encode(["short"])
 
 
+def test_bpe_in_one_pass_equals_both_steps(odd, empty):
+    for df in (odd, empty):
+        both, one = bpe.decode(bpe.encode(df, PATH), PATH), bpe.encode_and_decode(df, PATH)
+        assert one.columns == both.columns
+        assert sorted(map(str, one.collect())) == sorted(map(str, both.collect()))
+
+
 def test_bpe_forgets_beyond_its_bound(monkeypatch):
     monkeypatch.setattr(bpe, "MAX_LETTERS", 10)
     coder, rules = bpe.Bpe(PATH), Tokenizer.from_file(PATH)
