@@ -40,7 +40,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of the documents that are left, and the text that the ids decode to."""
     path = public_tokenizers.path("word_bpe_49k.json")
-    return bpe.decode(bpe.encode(docs, path, keep=["doc_id", "lang", "source"]), path)
+    return bpe.encode_and_decode(docs, path, keep=["doc_id", "lang", "source"])
 
 
 STAGES = [
