@@ -207,15 +207,16 @@ class Bpe:
         distinct = set().union(*runs)
         new = {c for c in distinct if c not in self.chunks}
         if self.letters_kept > MAX_LETTERS:
-            self.forget()
-            new = distinct
-        learnt, kept = self.learn(new), self.chunks
-        long = {c: learnt.pop(c) for c in new if len(c) > LONG}
-        kept |= learnt
-        self.letters_kept += sum(map(len, learnt))
-        if not long:
-            return [b"".join(map(kept.__getitem__, r)) for r in runs]
-        return [b"".join([kept[c] if len(c) <= LONG else long[c] for c in r]) for r in runs]
+            self.chunks.clear()
+            self.letters_kept, new = 0, distinct
+        self.chunks |= self.learn(new)
+        ids = [b"".join(map(self.chunks.__getitem__, r)) for r in runs]
+        for c in new:
+            if len(c) <= LONG:
+                self.letters_kept += len(c)
+            else:
+                del self.chunks[c]
+        return ids
 
     def forget(self) -> None:
         """Drop what was remembered of texts; the vocabulary stays."""
