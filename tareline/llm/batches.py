@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 from collections.abc import Callable, Iterator
+from functools import cache
 from pathlib import Path
 
 import pyarrow as pa
@@ -44,6 +46,19 @@ def reach_library(spark: SparkSession) -> None:
         paths["PYTHONPATH"] = os.pathsep.join(filter(None, [known, root]))
 
 
+@cache
+def trimmer() -> Callable[[int], int] | None:
+    """The C library's call that gives freed memory back to the machine, where it has one."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Return what a task freed: Python workers outlive tasks, and idle ones keep it from the next stage."""
+    pa.default_memory_pool().release_unused()
+    if trimmer():
+        trimmer()(0)
+
+
 def with_text_columns(
     df: DataFrame,
     text: str,
@@ -58,8 +73,8 @@ def with_text_columns(
     a piece (str, or bytes with ``as_bytes``; None where null) to the arrays of
     ``fields``.  ``keep`` names the columns that pass through (all by default).
     They travel as one struct, so their names never clash with the working columns;
-    one called like a field is replaced by it.  When a task ends, Arrow's unused
-    memory goes back to the machine: Python workers outlive tasks.
+    one called like a field is replaced by it.  When a task ends, unused memory goes
+    back to the machine (`give_back`).
     """
     spark = df.sparkSession
     reach_library(spark)
@@ -82,6 +97,6 @@ def with_text_columns(
                     made = compute(piece.column(TEXT).to_pylist())
                     yield pa.RecordBatch.from_arrays([piece.column(ROW), *made], names=names)
         finally:
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     return packed.mapInArrow(run, schema).select(*[F.col(f"{ROW}.`{c}`") for c in kept], *[f.name for f in fields])
