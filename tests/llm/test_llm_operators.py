@@ -612,6 +612,41 @@ def test_decontamination_odd_rows(spark, odd, empty):
     assert decontaminate.report(odd, benchmark.limit(0)).where("contaminated").count() == 0
 
 
+def test_suffix_array_and_longest_matches():
+    rng = np.random.default_rng(8)
+    runs = [rng.integers(1, 4, n).tolist() for n in (40, 1, 7, 90)]
+    numbers = np.array([0, *[x for r in runs for x in [*r, 0]], *[0] * 10])
+    place, ends = np.flatnonzero(numbers), np.flatnonzero(numbers == 0)
+    run = ends[np.searchsorted(ends, place)] - place
+    suffixes = [numbers[p : p + n].tolist() for p, n in zip(place, run)]
+    assert [suffixes[i] for i in decontaminate.suffix_array(numbers, place, run)] == sorted(suffixes)
+
+    def text(n):
+        return [b"abc"[i : i + 1] for i in rng.integers(0, 3, n)]
+
+    items = [("long", text(200)), ("short", text(4)), ("middle", text(12)), (None, text(10))]
+    docs = [b" ".join(x) for x in (text(300), items[0][1] + [b"z"] + items[0][1][5:150], items[2][1], text(3), [])]
+    for named in (items, items[:1]):
+        sizes, got = decontaminate.find(docs, decontaminate.make_block(named, 10))
+        for doc, size, found in zip(docs, sizes, got):
+            assert size == len(doc.split())
+            assert sorted(found, key=str) == sorted(longest_matches(doc.split(), named), key=str)
+
+
+def longest_matches(words, items):
+    """All maximal runs that a text shares with an item: ten words or more, or all of a shorter item."""
+    out = []
+    for name, item in items:
+        for a in range(len(words)):
+            for j in range(len(item)):
+                n = 0
+                while a + n < len(words) and j + n < len(item) and words[a + n] == item[j + n]:
+                    n += 1
+                if n >= min(10, len(item)) and not (a and j and words[a - 1] == item[j - 1]):
+                    out.append((name, a, j, n))
+    return out
+
+
 # -- 10: WARC
 
 def test_op10_finds_every_damaged_record(spark):
