@@ -2,6 +2,7 @@ import pytest
 from helpers import rows
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry_point
 from tareline import vocab
 from tareline.operators.aggregate import consolidate_factors
 from tareline.operators.lookup import fixed_overrides, with_overrides
@@ -371,3 +372,12 @@ def test_spread_labels_show_usual_names(spark):
                                "country string, scientific_name string, common_name string, type_of_processing string")
     assert rows(jobs.spread_labels(df), "country", "common_name", "State_membership") == [
         ("Spain", "Piked dogfish", "EU"), ("UK", "Monkfish", "non-EU")]
+
+
+def test_the_query_of_spread_examples_leaves_no_taxon_out(spark, tmp_path):
+    parts = [(i, brand, "PROMO", 5, 900.0 + 100 * i, f"red gear {i}") for i, brand in enumerate(["Brand#12", "Brand#13"] * 5)]
+    schema = "p_partkey long, p_brand string, p_type string, p_size int, p_retailprice double, p_name string"
+    spark.createDataFrame(parts, schema).write.parquet(str(tmp_path / "part.parquet"))
+    found = entry_point.queries()["spread_examples"](spark, str(tmp_path))
+    assert rows(found.groupBy("scientific_name").count()) == [("Brand#12", 5), ("Brand#13", 5)]
+    assert "Brand#" not in entry_point.oracle_sql()["spread_examples"]
