@@ -1,6 +1,9 @@
+from datetime import date
+
 import pytest
-from helpers import rows
+from helpers import plan_of, rows
 from pyspark.sql import functions as F
+from pyspark.sql.readwriter import DataFrameWriter
 
 import __spark_entry__ as entry_point
 from tareline import vocab
@@ -8,6 +11,7 @@ from tareline.operators.aggregate import consolidate_factors
 from tareline.operators.lookup import fixed_overrides, with_overrides
 from tareline.plans import catch, coverage, factors as jobs, trade
 from tareline.plans.landings import unit_prices, usable_catch, with_countries
+from tareline.registry import job_queries
 
 FACTORS = "scientific_name string, landings_code string, iso3c string, conversion_factor double"
 LANDINGS = "scientific_name string, presentation string, iso3c string, port_iso3c string, year int, value double"
@@ -381,3 +385,29 @@ def test_the_query_of_spread_examples_leaves_no_taxon_out(spark, tmp_path):
     found = entry_point.queries()["spread_examples"](spark, str(tmp_path))
     assert rows(found.groupBy("scientific_name").count()) == [("Brand#12", 5), ("Brand#13", 5)]
     assert "Brand#" not in entry_point.oracle_sql()["spread_examples"]
+
+
+def test_totals_of_the_wide_files_are_summed_before_they_meet(spark, tmp_path, monkeypatch):
+    tables = {
+        "lineitem": spark.createDataFrame([(i, 0, date(1995 + i % 2, 1, 1), "N", "FO"[i % 2], 1.0, 2.0) for i in range(8)], (
+            "l_partkey long, l_suppkey long, l_shipdate date, l_returnflag string, l_linestatus string, l_quantity double, "
+            "l_extendedprice double")),
+        "part": spark.createDataFrame([(i, f"Brand#{i}", "SMALL", i, "red gear") for i in range(8)],
+                                      "p_partkey long, p_brand string, p_type string, p_size int, p_name string"),
+        "supplier": spark.createDataFrame([(0, 3)], "s_suppkey long, s_nationkey long")}
+    for name, df in tables.items():
+        df.repartition(4).write.parquet(str(tmp_path / f"{name}.parquet"))
+    plans, write = [], DataFrameWriter.csv
+
+    def seen(self, path, *args, **kwargs):
+        plans.append(plan_of(self._df))
+        return write(self, path, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "csv", seen)
+    paths = job_queries.wide_files(spark, str(tmp_path), ["scientific_name", "unit", "geo"], "species,unit,geo\\time", "fish_ca")
+    assert len(plans) == 3 and not [p for p in plans if "Coalesce 1" in p]
+    folder = paths[0].rsplit("/", 1)[0]
+    assert not [p for p in paths if "main" in p]
+    main = spark.read.text(folder + "/fish_ca_main*")
+    assert main.select("_metadata.file_name").distinct().count() == 1
+    assert sorted(r.value.split("\t")[0] for r in main.collect()) == ["all,F,all", "all,O,all", "species,unit,geo\\time"]
