@@ -484,7 +484,7 @@ def holders(spark: SparkSession, sf: str) -> DataFrame:
 @query("group_by_all_but", sql("lv", """
     SELECT scientific_name, presentation, iso3c, year, use, sum(value) AS value FROM lv GROUP BY ALL"""))
 def grouped_by_rest(spark: SparkSession, sf: str) -> DataFrame:
-    return aggregate.group_by_all_but(landings(spark, sf), ["value"], drop=["unit", "price"])
+    return aggregate.group_by_all_but(landings(spark, sf), ["value"], drop=["unit", "price", "common_name", "code"])
 
 
 @query("bucket_uncovered", sql("lv cv", """
