@@ -35,12 +35,17 @@ END = "</w>"
 #: Python takes the four ASCII separators for blanks, the vocabularies do not.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 BLANKS = re.compile(r"(?:[^\S\x1c-\x1f])+")
-#: Bounds on what a Python worker remembers: letters of runs (longer ones than LONG are coded each time), and token pairs.
-MAX_LETTERS, LONG, MAX_PAIRS = 4_000_000, 64, 400_000
+#: Bounds on what a Python worker remembers: letters of runs (longer ones than LONG are coded each time), token pairs, and steps.
+MAX_LETTERS, LONG, MAX_PAIRS, MAX_STEPS = 4_000_000, 64, 400_000, 200_000
 
+#: A token, its length and its packed id.
+Entry = tuple[str, int, bytes]
+#: The longest end of a prefix that begins a token; the tokens that end there, longest first: inside a word, at its end.
+State = tuple[str, list[Entry], list[Entry]]
 
 #: Latin letters that no rule changes but for their case, and one mark.
 LATIN = re.compile(r"([a-zA-ZÀ-ÖØ-Þß-öø-ÿ]+)([.,;:!?]?)")
+MARKS = frozenset(".,;:!?")
 
 
 def self_of(byte: int) -> str:
@@ -76,7 +81,9 @@ class Bpe:
             self.made[a + b] = rank, (a, b)
         self.lefts: dict[str, list[tuple[str, int]]] = {}
         self.rights: dict[str, list[tuple[str, int]]] = {}
-        self.longest = max(map(len, [*self.inner, *self.final]))
+        self.begins = {t[:n] for of in (self.inner, self.final) for t in of for n in range(len(t) + 1)}
+        self.states: dict[str, State] = {}
+        self.steps: dict[str, State] = {}
         rules = Tokenizer.from_file(path)
         self.normalise = rules.normalizer.normalize_str
         self.pre_tokens = rules.pre_tokenizer.pre_tokenize_str
@@ -116,57 +123,66 @@ class Bpe:
                     return False
         return True
 
-    def last_token(self, text: str, end: int, last: list[str]) -> str:
-        """Last token of the encoding of ``text[:end]``; ``last`` holds those of shorter prefixes."""
-        inner, pairs = self.inner, self.pairs
-        for start in range(max(0, end - self.longest), end):
-            token = text[start:end]
-            if token in inner:
-                apart = pairs.get((last[start], token))
-                if apart is None:
-                    apart = self.remember(pairs, last[start], token, token)
-                if apart:
-                    return token
-        raise ValueError(f"the vocabulary has no token for {text[:end]!r}")
-
-    def final_stem(self, word: str, last: list[str]) -> str:
-        """The last token of a whole word, without its end mark."""
-        final, pairs = self.final, self.final_pairs
-        for start in range(max(0, len(word) - self.longest), len(word)):
-            stem = word[start:]
-            if stem in final:
-                apart = pairs.get((last[start], stem))
-                if apart is None:
-                    apart = self.remember(pairs, last[start], stem, stem + END)
-                if apart:
-                    return stem
-        raise ValueError(f"the vocabulary has no last token for {word!r}")
-
     # -- the trie
 
+    def step(self, text: str) -> State:
+        """The longest end of ``text`` that begins a token, with the tokens that end there."""
+        if len(self.steps) >= MAX_STEPS:
+            self.steps.clear()
+        state = text
+        while state not in self.begins:
+            state = state[1:]
+        found = self.states.get(state)
+        if found is None:
+            ends = [state[i:] for i in range(len(state))]
+            found = self.states[state] = (state, *([(t, len(t), of[t]) for t in ends if t in of] for of in (self.inner, self.final)))
+        self.steps[text] = found
+        return found
+
     def encode_words(self, words: list[str]) -> dict[str, bytes]:
         """Packed ids of distinct words (in byte letters), given in order.
 
         Words in order are their trie in depth-first order: what a word shares
-        with the one before is the path from the root to where they part.
-        ``last`` is the stack of states along the present path, so the state
-        of a shared prefix is computed once.
+        with the one before is the path from the root to where they part.  The
+        stacks hold what is known of the prefixes along the present path (the
+        longest end that begins a token, the last token, the packed ids), so a
+        shared prefix is computed once.
         """
         found: dict[str, bytes] = {}
-        last, before = [""], ""
+        states, last, ids, before = [""], [""], [b""], ""
+        known, pairs, final_pairs = self.steps.get, self.pairs, self.final_pairs
         for word in words:
-            shared = min(len(os.path.commonprefix((before, word))), len(word) - 1)
-            del last[shared + 1 :]
-            for end in range(len(last), len(word)):
-                last.append(self.last_token(word, end, last))
-            stem = self.final_stem(word, last)
-            ids, end = [self.final[stem]], len(word) - len(stem)
-            while end:
-                token = last[end]
-                ids.append(self.inner[token])
-                end -= len(token)
-            ids.reverse()
-            found[word], before = b"".join(ids), word
+            size = len(word)
+            shared = 0
+            for x, y in zip(before, word):
+                if x != y:
+                    break
+                shared += 1
+            end = min(shared, size - 1, len(states) - 1)  # of a whole word no last token inside a word is known
+            del states[end + 1 :], last[end + 1 :], ids[end + 1 :]
+            state = states[end]
+            while (end := end + 1) < size:
+                text = state + word[end - 1]
+                state, tokens, _ = known(text) or self.step(text)
+                for token, length, code in tokens:
+                    key = last[end - length], token
+                    apart = pairs.get(key)
+                    if apart if apart is not None else self.remember(pairs, *key, token):
+                        break
+                else:
+                    raise ValueError(f"the vocabulary has no token for {word[:end]!r}")
+                states.append(state)
+                last.append(token)
+                ids.append(ids[end - length] + code)
+            text = state + word[-1]
+            for stem, length, code in (known(text) or self.step(text))[2]:
+                key = last[size - length], stem
+                apart = final_pairs.get(key)
+                if apart if apart is not None else self.remember(final_pairs, *key, stem + END):
+                    break
+            else:
+                raise ValueError(f"the vocabulary has no last token for {word!r}")
+            found[word], before = ids[size - length] + code, word
         return found
 
     # -- texts
@@ -181,6 +197,11 @@ class Bpe:
 
     def words(self, run: str) -> list[str]:
         """The rules' words of a run; Latin letters are one word under them, and so is a mark after it."""
+        if run.isascii():
+            if run.isalpha():
+                return [run.lower()]
+            if run[-1:] in MARKS and run[:-1].isalpha():
+                return [run[:-1].lower(), run[-1]]
         plain = LATIN.fullmatch(run)
         if plain:
             letters = plain[1].lower()
@@ -220,7 +241,7 @@ class Bpe:
 
     def forget(self) -> None:
         """Drop what was remembered of texts; the vocabulary stays."""
-        for kept in (self.chunks, self.pairs, self.final_pairs):
+        for kept in (self.chunks, self.pairs, self.final_pairs, self.steps):
             kept.clear()
         self.letters_kept = 0
 

@@ -183,6 +183,25 @@ def test_bpe_of_very_long_words(spark):
     assert not (coder.chunks or coder.pairs or coder.final_pairs) and coder.encode(["short"]) == bpe.Bpe(PATH).encode(["short"])
 
 
+def test_bpe_calls_little_per_word_and_forgets_steps(monkeypatch):
+    words = [f"{a}{b}{c}" for a in ("un", "re", "inter", "zz") for b in ("ver", "lich", "qx", "tion") for c in ("able", "en", "w", "ness", "'s")]
+    coder, rules = bpe.Bpe(PATH), Tokenizer.from_file(PATH)
+    coder.encode([" ".join(words)])
+    coder.chunks.clear()
+    calls = []
+    sys.setprofile(lambda frame, event, _: calls.append(frame.f_code.co_name) if event == "call" else None)
+    try:
+        coder.encode([" ".join(words)])
+    finally:
+        sys.setprofile(None)
+    assert len(calls) < 4 * len(words)  # once pairs and steps are known, a letter needs no call
+    monkeypatch.setattr(bpe, "MAX_STEPS", 3)
+    small = bpe.Bpe(PATH)
+    for word in words:
+        assert np.frombuffer(small.encode([word])[0], "<u4").tolist() == rules.encode(word, add_special_tokens=False).ids
+    assert len(small.steps) <= 3
+
+
 def test_bpe_in_one_pass_equals_both_steps(odd, empty):
     for df in (odd, empty):
         both, one = bpe.decode(bpe.encode(df, PATH), PATH), bpe.encode_and_decode(df, PATH)
