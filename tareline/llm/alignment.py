@@ -25,8 +25,9 @@ import hashlib
 import os
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,11 +46,15 @@ CUT = re.compile(r"(?<=\S)(?= +[^ ])")
 BLOCK_DOCS, BLOCK_BYTES = 1 << 15, 16 << 20
 #: A worker forgets its pieces of text beyond so many bytes (strings and what is known of them).
 MEMORY_BYTES = 160 << 20
+#: Pieces of text that are encoded and aligned at a time.
+LEARNT = 20_000
 #: Plane 0 holds the documents, plane ``i`` the digit ``i - 1`` of the links beyond the first.
 DOCUMENTS = 0
 
 #: ``n_a``, ``n_b``, ``n_groups``, the groups as text, and the pair of every link.
 Piece = tuple[int, int, int, bytes, list[int]]
+#: The same of many texts (their links one after the other), and the number of links of each.
+Told = tuple[Sequence[int], Sequence[int], Sequence[int], Sequence[bytes | None], Sequence[int], Sequence[int]]
 
 
 class Tokenizers:
@@ -68,6 +73,12 @@ class Tokenizers:
                         for t, i in self.a.get_vocab(with_added_tokens=True).items()}
         self.bytes_b = [self.piece_bytes(i) for i in range(self.b.get_piece_size())]
         self.size_a, self.size_b = {i: len(t) for i, t in self.bytes_a.items()}, list(map(len, self.bytes_b))
+        top = max(*self.bytes_a, len(self.bytes_b) - 1) + 1
+        self.sizes_a = np.array([self.size_a.get(i, 0) for i in range(top)])
+        self.sizes_b = np.array(self.size_b)
+        #: An id with what follows it in the groups' text: one more of its side, the other side, the next group.
+        self.said = [f"{i}{mark}".encode() for i in range(top) for mark in ",|;"]
+        self.said_sizes = np.array(list(map(len, self.said)))
 
     def piece_bytes(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
@@ -105,6 +116,37 @@ class Tokenizers:
                 end_b += size_b[b[j]]
         return n, len(b), len(groups), ";".join(groups).encode(), links
 
+    def align_all(self, texts: list[str], a: Sequence[list[int]], b: Sequence[list[int]]) -> Told:
+        """``align`` of many texts, one after the other on one line of bytes."""
+        whole = [t.encode() for t in texts]
+        stops = np.cumsum(list(map(len, whole)))
+        flat_a, flat_b = list(chain.from_iterable(a)), list(chain.from_iterable(b))
+        ids_a, ids_b = np.array(flat_a, np.int64), np.array(flat_b, np.int64)
+        n_a, n_b = np.array(list(map(len, a))), np.array(list(map(len, b)))
+        ends_a, ends_b = np.cumsum(self.sizes_a[ids_a]), np.cumsum(self.sizes_b[ids_b])
+        line = b"".join(whole)
+        if not (n_a.all() and n_b.all() and self.sizes_a[ids_a].all() and self.sizes_b[ids_b].all()
+                and (ends_a[np.cumsum(n_a) - 1] == stops).all() and (ends_b[np.cumsum(n_b) - 1] == stops).all()
+                and b"".join(map(self.bytes_a.__getitem__, flat_a)) == line and b"".join(map(self.bytes_b.__getitem__, flat_b)) == line):
+            one = [self.align(*x) or (0, 0, 0, None, []) for x in zip(texts, a, b)]  # some text is not spelt
+            *told, links = zip(*one)
+            return *told, list(chain.from_iterable(links)), list(map(len, links))
+
+        # A link reaches from one end of any token to the next, a group from one end of tokens of both to the next.
+        ends = np.union1d(ends_a, ends_b)
+        i, j = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
+        both = ends[ends_a[i] == ends_b[j]]
+        group_a, group_b = np.searchsorted(both, ends_a), np.searchsorted(both, ends_b)
+        to_a, to_b = np.searchsorted(ends_a, both, "right"), np.searchsorted(ends_b, both, "right")
+        order = np.empty(len(ids_a) + len(ids_b), np.int64)
+        order[np.arange(len(ids_a)) + np.concatenate([[0], to_b])[group_a]] = 3 * ids_a + (ends_a == both[group_a])
+        order[np.arange(len(ids_b)) + to_a[group_b]] = 3 * ids_b + 2 * (ends_b == both[group_b])
+        said = b"".join(map(self.said.__getitem__, order.tolist()))
+        at = np.concatenate([[0], np.cumsum(self.said_sizes[order])[np.cumsum(n_a + n_b) - 1]]).tolist()
+        groups = [said[x : y - 1] for x, y in zip(at, at[1:])]
+        n_groups, held = (np.diff(np.searchsorted(x, stops, "right"), prepend=0) for x in (both, ends))
+        return n_a, n_b, n_groups, groups, ids_a[i] << 32 | ids_b[j], held
+
 
 @cache
 def tokenizers(path_a: str, path_b: str) -> Tokenizers:
@@ -128,15 +170,16 @@ class Pieces:
 
     def learn(self, texts: set[str]) -> None:
         new = [t for t in texts if t not in self.number]
-        for text, (a, b) in zip(new, self.tokens.encode(new)):
-            self.number[text] = len(self.groups)
-            *sizes, groups, links = self.tokens.align(text, a, b) or (0, 0, 0, None, ())
-            self.groups.append(groups)
-            for column, n in zip(self.sizes, sizes):
-                column.append(n)
-            self.links.extend(links)
-            self.starts.append(len(self.links))
-            self.size += 260 + len(text) + len(groups or b"") + 8 * len(links)
+        for start in range(0, len(new), LEARNT):
+            self.learn_some(new[start : start + LEARNT])
+
+    def learn_some(self, new: list[str]) -> None:
+        *sizes, groups, links, held = self.tokens.align_all(new, *zip(*self.tokens.encode(new)))
+        self.number.update(zip(new, range(len(self.groups), len(self.groups) + len(new))))
+        self.groups += groups
+        for column, more in zip([*self.sizes, self.links, self.starts], [*sizes, links, self.starts[-1] + np.cumsum(held)]):
+            column.frombytes(np.asarray(more, np.int64).tobytes())
+        self.size += 260 * len(new) + sum(map(len, new)) + sum(len(g or b"") for g in groups) + 8 * len(links)
 
 
 @cache
@@ -185,9 +228,7 @@ class Block:
         flat = np.array([n for of in numbers for n in of], np.int64)
         starts, links = np.array(pieces.starts), np.array(pieces.links)
         held = np.diff(starts)
-        told = [np.zeros(len(texts), np.int64) for _ in range(4)]
-        for total, column in zip(told, [*map(np.array, pieces.sizes), held]):
-            np.add.at(total, doc, column[flat])
+        told = [np.bincount(doc, column[flat], len(texts)).astype(np.int64) for column in [*map(np.array, pieces.sizes), held]]
 
         # A piece's links count once for each time that a document holds it.
         key, times = np.unique(doc << 32 | flat, return_counts=True)

@@ -137,3 +137,26 @@ def test_empty_table_and_clashing_columns(spark):
     assert alignment.align(empty, A, B, keep=["doc_id"]).collect() == []
     row = alignment.align(spark.createDataFrame([(1, "the cat", "mine", "own")], SCHEMA), A, B, keep=["doc_id", "block"]).collect()[0]
     assert row.block == "own" and row.n_a == 2
+
+
+ODD = [" plain", " a▁b", " Überraschung", " a", " \u00e9\u0301x", " \U0001f600", " x\n", " 0x1F", " naïve—dash", " ﬁ", " ½²", " \u3000y", " tail "]
+
+
+def test_many_texts_are_aligned_as_one_by_one():
+    tokens = alignment.tokenizers(A, B)
+    spelt = [t for t, (a, b) in zip(ODD, tokens.encode(ODD)) if tokens.align(t, a, b)]
+    assert 3 < len(spelt) < len(ODD)
+    for texts in (ODD, spelt, ODD[:1]):
+        a, b = zip(*tokens.encode(texts))
+        *told, links, held = map(list, tokens.align_all(texts, a, b))
+        one = [tokens.align(*x) or (0, 0, 0, None, []) for x in zip(texts, a, b)]
+        assert list(zip(*told)) == [x[:4] for x in one]
+        assert held == [len(x[4]) for x in one] and links == [n for x in one for n in x[4]]
+
+
+def test_spelt_pieces_are_not_aligned_one_by_one(monkeypatch):
+    monkeypatch.setattr(alignment.Tokenizers, "align", lambda *_: pytest.fail("a piece on its own"))
+    monkeypatch.setattr(alignment, "LEARNT", 2, raising=False)
+    known = alignment.Pieces(alignment.tokenizers(A, B))
+    known.learn({" some", " plain", " words", " of", " text"})
+    assert len(known.groups) == len(known.number) == len(known.starts) - 1 == 5 and None not in known.groups
